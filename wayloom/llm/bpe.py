@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -39,10 +40,11 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(rest)) for b in range(256)]
 
 
-def unassigned_ranges() -> str:
-    """The inside of a character class: what Python's Unicode tables don't assign, in which libraries may differ."""
-    new = np.flatnonzero(np.diff([0, *(unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), 0])).reshape(-1, 2)
-    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in new.tolist())
+@lru_cache(maxsize=1)
+def unassigned() -> frozenset[str]:
+    """Characters that Python's or the regex library's Unicode tables don't assign, in which libraries may differ."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    return frozenset(c for c in every if unicodedata.category(c) == "Cn").union(regex.findall(r"\p{Cn}", every))
 
 
 class ByteBpe:
@@ -72,7 +74,7 @@ class ByteBpe:
         self.special = {t: np.uint32(i).tobytes() for t, i in special.items()}
         self.special_at = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.split = regex.compile(SPLIT)
-        self.unassigned = regex.compile(rf"[\p{{Cn}}{unassigned_ranges()}]")
+        self.late = re.compile("[\u0378-\U0010ffff]")  # those before are all assigned
         self.newer = pre_tokenizers.ByteLevel(add_prefix_space=False)
         self.known: dict[str, bytes] = {}
 
@@ -149,7 +151,7 @@ class ByteBpe:
 
     def words(self, text: str) -> list[str]:
         """The text by the split pattern. Characters too new for the regex library's tables are classed by the tokenizers library."""
-        if text.isascii() or not self.unassigned.search(text):
+        if text.isascii() or not self.late.search(text) or unassigned().isdisjoint(set(text)):
             return self.split.findall(text)
         return [text[a:b] for _, (a, b) in self.newer.pre_tokenize_str(text)]
 
