@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, bpe
+from . import bitpack, bpe, jaccard
 from .common import fresh_path, table
 
 #: Folder of public tokenizer files, the same on every machine.
@@ -21,6 +21,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read_documents(spark, out)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's group of texts that share four fifths of their five-word shingles."""
+    member, _ = jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+    return member.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded."""
     return bpe.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
@@ -28,6 +34,7 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_bpe_round_trip": op7_bpe_round_trip,
 }
 ORACLE_SQL: dict[str, str] = {}
