@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, bpe, jaccard
+from . import bitpack, bpe, decontam, jaccard
 from .common import fresh_path, table
 
 #: Folder of public tokenizer files, the same on every machine.
@@ -32,9 +32,15 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each document that stand in a ten-word window of a benchmark item."""
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_decontaminate": op8_decontaminate,
 }
 ORACLE_SQL: dict[str, str] = {}
