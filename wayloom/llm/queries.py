@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, bpe, decontam, jaccard
+from . import bitpack, bpe, decontam, fracminhash, jaccard
 from .common import fresh_path, table
 
 #: Folder of public tokenizer files, the same on every machine.
@@ -37,10 +37,16 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and of its edited text."""
+    return fracminhash.compare_edited(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_files": op5_token_files,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_decontaminate": op8_decontaminate,
+    "op9_fingerprints": op9_fingerprints,
 }
 ORACLE_SQL: dict[str, str] = {}
