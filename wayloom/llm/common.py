@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when it has at most this many rows of a few fixed-width columns.
@@ -67,3 +67,9 @@ def portions(texts: Iterable[str | None], most: int = PORTION_CHARS) -> Iterator
         chars += n
     if isinstance(texts, list) and texts:
         yield first, len(texts)
+
+
+def row_key(key: str, text: str) -> Column:
+    """Names a row by its id and text: rows without an id are told apart, and equal ids with other texts too."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return F.concat(F.coalesce(F.col(key).cast("string"), F.lit("-")), F.lit(":"), F.xxhash64(t).cast("string"))

@@ -7,7 +7,7 @@ equal hashes alone never count. Items shorter than the window count as one windo
 their words.
 
 Nulls and texts without words have no words and no hits. Items without words or id are ignored. Rows without
-a doc_id are told apart by their text; rows that share a doc_id share their hits. Extra columns are ignored.
+a doc_id are told apart by their text, and so are rows that share a doc_id. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, written
+from .common import row_key, small_side, written
 
 #: What separates words, once A-Z are lower case (fixed value).
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -88,8 +88,7 @@ def hit_windows(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5)
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5) -> DataFrame:
     """(key, n_words, n_hit, n_items, items_sha256, contaminated) of each row of docs."""
-    name = F.coalesce(F.concat(F.lit("i"), F.col(key).cast("string")), F.concat(F.lit("t"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
-    own = docs.select(F.col(key).alias("id"), name.alias("key"), F.col(text).alias("text"))
+    own = docs.select(F.col(key).alias("id"), row_key(key, text).alias("key"), F.col(text).alias("text"))
     items, _ = written(_items(benchmark, item, item_text), "items")
     hits, _ = written(hit_windows(own.select("key", "text"), items, window, k).distinct(), "hits")
     ends = hits.groupBy("key", "s").agg(F.max(F.col("s") + F.col("w")).alias("e"))

@@ -7,13 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, bpe, decontam, fracminhash, jaccard
+from . import bitpack, bpe, decontam, fracminhash, jaccard, secrets
 from .common import fresh_path, table
 
 #: Folder of public tokenizer files, the same on every machine.
 TOKENIZERS = os.environ.get("WAYLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text, with linked weak candidates."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text as ids in bit-packed files, read back; id 2 ends each document."""
     out = fresh_path(spark, "token-ids")
@@ -43,6 +48,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_secret_scan": op4_secret_scan,
     "op5_token_files": op5_token_files,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_bpe_round_trip": op7_bpe_round_trip,
