@@ -7,13 +7,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, bpe, decontam, fracminhash, jaccard, secrets
+from . import bitpack, bpe, decontam, fracminhash, jaccard, secrets, toxicity
 from .common import fresh_path, table
 
 #: Folder of public tokenizer files, the same on every machine.
 TOKENIZERS = os.environ.get("WAYLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every whole text."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every whole text, with linked weak candidates."""
     return secrets.scan(table(spark, sf_dir, "documents"))
@@ -48,6 +53,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op4_secret_scan": op4_secret_scan,
     "op5_token_files": op5_token_files,
     "op6_jaccard_join": op6_jaccard_join,

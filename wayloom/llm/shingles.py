@@ -10,11 +10,16 @@ import numpy as np
 #: Bytes hashed at once. A longer word is hashed by another function, so memory stays bounded.
 PORTION = 1 << 20
 BASE = 0x9E3779B97F4A7C15
+#: Multipliers of a published 64-bit mixing function (fixed values).
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 #: A-Z to lower case, white space (0x20, 0x09-0x0D) to the blank.
 FOLD = bytes(32 if b in (9, 10, 11, 12, 13) else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+#: Letters and digits as they are, all other ASCII to the blank.
+LETTERS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers whose every output bit depends on every input bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(MIX[0])
@@ -35,8 +40,8 @@ def powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row(BASE), row(pow(BASE, -1, 1 << 64)), mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
 
 
-def _piece(data: bytes) -> np.ndarray:
-    """Hashes of the blank-separated words of at most PORTION bytes."""
+def _piece(data: bytes, prefixes: tuple[int, ...] = ()) -> np.ndarray:
+    """Hashes of the blank-separated words of at most PORTION bytes; with prefixes a column more for the first so many bytes of each."""
     up, down, of_byte = powers()
     a = np.frombuffer(data, dtype=np.uint8)
     word = np.zeros(len(a) + 2, dtype=np.int8)
@@ -45,11 +50,15 @@ def _piece(data: bytes) -> np.ndarray:
     first, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     total = np.zeros(len(a) + 1, dtype=np.uint64)
     np.cumsum(of_byte[a] * up[: len(a)], out=total[1:])
-    return mixed((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64))
+    h = mixed((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64))
+    if not prefixes:
+        return h
+    parts = [np.minimum(end, first + p) for p in prefixes]
+    return np.stack([h, *(mixed((total[x] - total[first]) * down[first] + np.uint64(1000 + p)) for x, p in zip(parts, prefixes, strict=True))], axis=1)
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """Hashes of the words of folded data, in order."""
+def word_hashes(data: bytes, prefixes: tuple[int, ...] = ()) -> np.ndarray:
+    """Hashes of the words of folded data, in order; with prefixes also those of each word's beginnings."""
     out, at = [], 0
     while at < len(data):
         end = len(data)
@@ -57,12 +66,20 @@ def word_hashes(data: bytes) -> np.ndarray:
             end = data.rfind(b" ", at, at + PORTION) + 1
             if not end:  # one word of more than PORTION bytes
                 end = data.find(b" ", at + PORTION) % (len(data) + 1)
-                out.append(np.frombuffer(hashlib.blake2b(data[at:end], digest_size=8).digest(), dtype="<u8"))
+                one = np.frombuffer(hashlib.blake2b(data[at:end].rstrip(b" "), digest_size=8).digest(), dtype="<u8")
+                out.append(np.repeat(one, 1 + len(prefixes))[None] if prefixes else one)
                 at = end
                 continue
-        out.append(_piece(data[at:end]))
+        out.append(_piece(data[at:end], prefixes))
         at = end
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+    return np.concatenate(out) if out else np.zeros((0, 1 + len(prefixes)) if prefixes else 0, dtype=np.uint64)
+
+
+def words_and_counts(texts: list[str], prefixes: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets (of 2**bits) of the words of all texts, lower-cased and without ASCII punctuation, and the words of each text."""
+    folded = [t.lower().encode("utf-8", "surrogatepass").translate(LETTERS) for t in texts]
+    data = b" ".join(folded)
+    return (word_hashes(data, prefixes) >> np.uint64(64 - bits)).astype(np.uint32), np.array(_counts(folded, data), dtype=np.int64)
 
 
 def shingle_sets(texts: list[str | None], words: int = 5) -> list[np.ndarray]:
