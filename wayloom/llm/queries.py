@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, bpe, decontam, fracminhash, jaccard, secrets, toxicity
+from . import bitpack, bpe, decontam, fracminhash, jaccard, quality, secrets, toxicity
 from .common import fresh_path, table
 
 #: Folder of public tokenizer files, the same on every machine.
@@ -52,6 +52,11 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fracminhash.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every whole text."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op4_secret_scan": op4_secret_scan,
@@ -60,5 +65,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_decontaminate": op8_decontaminate,
     "op9_fingerprints": op9_fingerprints,
+    "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
