@@ -41,7 +41,7 @@ def least(hashes: str, w: int) -> Column:
     return F.when(n >= w, F.array_distinct(F.transform(F.sequence(F.lit(1), n - (w - 1)), lambda i: F.array_min(F.slice(hashes, i, F.lit(w)))))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+def items_of(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     rows = benchmark.filter(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), words_of(text).alias("v"))
     return rows.withColumn("len", F.size("v")).filter("len > 0").distinct()
 
@@ -89,7 +89,7 @@ def hit_windows(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5)
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, k: int = 5) -> DataFrame:
     """(key, n_words, n_hit, n_items, items_sha256, contaminated) of each row of docs."""
     own = docs.select(F.col(key).alias("id"), row_key(key, text).alias("key"), F.col(text).alias("text"))
-    items, _ = written(_items(benchmark, item, item_text), "items")
+    items, _ = written(items_of(benchmark, item, item_text), "items")
     hits, _ = written(hit_windows(own.select("key", "text"), items, window, k).distinct(), "hits")
     ends = hits.groupBy("key", "s").agg(F.max(F.col("s") + F.col("w")).alias("e"))
     before = F.max("e").over(Window.partitionBy("key").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))

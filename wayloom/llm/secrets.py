@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, written
+from .common import row_key, small_side, written
 
 #: The patterns of base spans and the least length of their decisive part (fixed values).
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -103,3 +103,25 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int =
     every = docs.select(F.col(key).alias("id"), row_key(key, text).alias("key")).join(said, "key", "left")
     none = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
     return every.select(F.col("id").alias(key), none("n_assign"), none("n_access"), none("n_hex"), F.sha2(F.coalesce("b", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), none("n_linked"))
+
+
+def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE, mark: str = "[secret]") -> DataFrame:
+    """docs with every reported span of the text replaced by `mark`; texts without spans are as they were, and not shuffled."""
+    texts, _ = written(candidates(docs, key, text), "candidates")
+    parts, _ = written(parts_of(texts), "parts")
+    found = linked(parts, scope).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    found, _ = written(found.withColumnRenamed("key", "_row"), "spans")
+    ids = small_side(found.select("_row"), found.count())
+    own = docs.withColumn("_row", row_key(key, text))
+    clean = own.join(ids, "_row", "left_anti").drop("_row")
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
+
+    def cut(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["at"]  # overlapping spans share one mark
+        before = F.substr(F.col(text), (acc["at"] + 1).cast("int"), F.greatest(F.lit(0), s["start"] - acc["at"]).cast("int"))
+        out = F.when(fresh, F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"])
+        return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+
+    rebuilt = F.aggregate("spans", start, cut, lambda acc: F.concat(acc["out"], F.substr(F.col(text), (acc["at"] + 1).cast("int"))))
+    dirty = own.join(ids, "_row", "left_semi").join(found, "_row").withColumn(text, rebuilt)
+    return clean.unionByName(dirty.select(*docs.columns))

@@ -232,19 +232,22 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "t
 def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:
     """The named columns of docs and the score of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
-    fields = [docs.schema[c] for c in columns]
-    names = [f"c{i}" for i in range(len(columns))]
+    names = {c: f"c{i}" for i, c in enumerate(columns)}
+    if text not in names:
+        names[text] = "t"
+    given = names[text]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, table = shared.value, language_table()
         for b in batches:
-            texts = ["" if t is None else t for t in b["t"]]
+            texts = ["" if t is None else t for t in b[given]]
             found = [scores(m, some, table) for some in groups(texts)]
-            yield b[names].assign(score=np.concatenate(found) if found else np.zeros(0))
+            yield b[out_names].assign(score=np.concatenate(found) if found else np.zeros(0))
 
-    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, fields, strict=True))
-    out = docs.select(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True)), F.col(text).alias("t")).mapInPandas(run, f"{schema}, score double")
-    return out.select(*(F.col(n).alias(c) for c, n in zip(columns, names, strict=True)), "score")
+    out_names = [names[c] for c in columns]
+    schema = ", ".join(f"{names[c]} {docs.schema[c].dataType.simpleString()}" for c in columns)
+    own = docs.select(*(F.col(c).alias(n) for c, n in names.items())).mapInPandas(run, f"{schema}, score double")
+    return own.select(*(F.col(names[c]).alias(c) for c in columns), "score")
 
 
 def held_out(key: str, fold: int, folds: int) -> Column:
