@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,6 +31,11 @@ from .bpe import groups
 #: Ids in one block, about; a longer document is a block of its own.
 BLOCK_IDS = 500_000
 LANES = 32
+#: What the last token of a word ends with, in this kind of vocabulary (fixed value).
+WORD_END = "</w>"
+STOPS = (".", ",")
+#: New words encoded in one call.
+TOGETHER = 200
 #: Words kept per worker, and the longest kept; the table is emptied when full, which costs time only.
 KEPT_WORDS, KEPT_CHARS = 800_000, 48
 BLOCKS = "shard int, block int, width int, n_tokens bigint, n_docs int, doc_ids binary, offsets binary, payload binary"
@@ -43,6 +49,10 @@ def width_of(vocabulary_size: int) -> int:
 def pack(ids: np.ndarray, width: int) -> bytes:
     """ids in `width` (1 to 32) bits each, low bits first; the last word is padded with zeros."""
     n = len(ids)
+    if width in (8, 16, 32):  # whole bytes: the same layout without shifts
+        out = np.zeros(-(-n // LANES) * LANES, dtype=f"<u{width // 8}")
+        out[:n] = ids
+        return out.tobytes()
     rows = np.zeros((-(-n // LANES), LANES), dtype=np.uint64)
     rows.reshape(-1)[:n] = ids
     out = np.zeros((len(rows), width + 1), dtype=np.uint64)
@@ -56,6 +66,8 @@ def pack(ids: np.ndarray, width: int) -> bytes:
 
 def unpack(payload: bytes, width: int, n: int, first: int = 0) -> np.ndarray:
     """n ids from place `first` on, as unsigned 32-bit integers; only their rows of the payload are read."""
+    if width in (8, 16, 32):
+        return np.frombuffer(payload, dtype=f"<u{width // 8}", count=n, offset=first * width // 8).astype(np.uint32)
     a, b = first // LANES, -(-(first + n) // LANES)
     words = np.frombuffer(payload, dtype="<u4", count=(b - a) * width, offset=a * width * 4).reshape(-1, width)
     wide = np.zeros((len(words), width + 1), dtype=np.uint64)
@@ -69,29 +81,64 @@ def unpack(payload: bytes, width: int, n: int, first: int = 0) -> np.ndarray:
 
 
 class WordEncoder:
-    """A tokenizer of the tokenizers library whose tokens never span white space: each piece between blanks is encoded once."""
+    """A tokenizer of the tokenizers library whose tokens never span white space: each piece between blanks is encoded once.
+
+    New words are encoded many in one call. Words of letters, alone or before a stop or comma, have one or two tokens
+    that end a word, so the ids of such a call fall apart again; where that count fails, each word is encoded alone.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.blank = re.compile(r"[\t\r\n]")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
         self.known: dict[str, bytes] = {}
 
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        return {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)}
+    def alone(self, words: list[str]) -> dict[str, bytes]:
+        return {w: array("I", e.ids).tobytes() for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True)}
+
+    def together(self, words: list[str], ends: list[int]) -> dict[str, bytes]:
+        """The ids of words with so many word ends each."""
+        out: dict[str, bytes] = {}
+        cuts = range(0, len(words), TOGETHER)
+        said = self.tokenizer.encode_batch_fast([" ".join(words[i : i + TOGETHER]) for i in cuts], add_special_tokens=False)
+        for i, e in zip(cuts, said, strict=True):
+            some, ids = words[i : i + TOGETHER], array("I", e.ids)
+            last = np.cumsum(ends[i : i + TOGETHER]) - 1
+            end = np.flatnonzero(self.ends[ids])
+            if len(end) != last[-1] + 1:
+                out |= self.alone(some)
+                continue
+            flat, at = ids.tobytes(), 0
+            for w, b in zip(some, (end[last] * 4 + 4).tolist(), strict=True):
+                out[w] = flat[at:b]
+                at = b
+        return out
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        plain = [w for w in words if w.isalpha()]
+        marked = [w for w in words if w[-1:] in STOPS and w[:-1].isalpha()]
+        rest = list(words.difference(plain, marked))
+        return self.together(plain + marked, [1] * len(plain) + [2] * len(marked)) | self.alone(rest)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self.blank.sub(" ", t).split(" ") for t in texts]
         if len(self.known) > KEPT_WORDS:
             self.known = {}
         known = self.known
-        new = set().union(*parts).difference(known)
-        long = self.learn([w for w in new if len(w) > KEPT_CHARS])
-        known.update(self.learn(list(new.difference(long))))
-        if not long:
-            return [b"".join(map(known.__getitem__, p)) for p in parts]
-        return [b"".join([known[w] if w in known else long[w] for w in p]) for p in parts]
+        found = [list(map(known.get, p)) for p in parts]
+        gaps = [[i for i, x in enumerate(f) if x is None] for f in found]
+        got = self.learn({p[i] for p, g in zip(parts, gaps, strict=True) for i in g})
+        for p, f, g in zip(parts, found, gaps, strict=True):
+            for i in g:
+                f[i] = got[p[i]]
+        for w in [w for w in got if len(w) > KEPT_CHARS]:
+            del got[w]
+        known.update(got)
+        return [b"".join(f) for f in found]
 
 
 @lru_cache(maxsize=4)
