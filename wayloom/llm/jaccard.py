@@ -8,9 +8,10 @@ Two sets link when 100 * |A and B| >= percent * |A or B|. The join is exact up t
 3. In each tile, neighbours by size are candidates. Fixed per-size bitmaps bound their overlap from above;
    the rest are decided by intersecting the sorted arrays.
 4. Tiles whose documents are all in one component by now have nothing left to find. In the others, every
-   pair from two components within the size band is held against the bitmap bound, in numpy blocks, and
-   what passes is decided exactly. So large groups of near copies cost rows by their size, not its square,
-   and no link between components is lost.
+   pair from two components within the size band is held against the bitmap bound, in numpy blocks. Documents
+   with a pair that passes are gathered by their tiles' smallest component, where pairs are decided exactly,
+   the most alike first, until what belongs together is joined. Rows move by document, never by pair, and no
+   link between components is lost.
 
 Null texts and texts without words have the empty set, which links with nothing. Rows without a doc_id
 have no component. Rows that share a doc_id count as one document. Other columns are ignored.
@@ -35,6 +36,8 @@ from .shingles import shingle_sets
 SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
 #: Documents for each range of shingle hashes, and postings gathered before they are dealt out.
 RANGE_DOCS, FLUSH = 400, 1_000_000
+#: Bytes of sets, at most, that one smallest component brings to a part before its tiles are spread.
+PART_BYTES = 64_000_000
 PAIR = "a bigint, b bigint"
 
 
@@ -181,8 +184,20 @@ def _bounded(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInPandas(run, PAIR)
 
 
-def _exact(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose sorted arrays overlap enough. pairs is a written table."""
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether sorted arrays of distinct hashes overlap enough."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return False
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    both = int((y[at] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(k, s): the sorted arrays of the wanted documents, as a written table."""
 
     def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -191,61 +206,111 @@ def _exact(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
                 yield pd.DataFrame({"k": b["k"].iloc[at : at + len(some)], "s": [s.tobytes() for s in shingle_sets(some, words)]})
                 at += len(some)
 
+    wanted, _ = written(wanted.distinct(), "wanted")
+    return written(docs.join(small_side(wanted, wanted.count()), "k", "left_semi").mapInPandas(arrays, "k bigint, s binary"), "sets")[0]
+
+
+def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sorted arrays overlap enough."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            keep = []
-            for sa, sb in zip(b["sa"], b["sb"], strict=True):
-                x, y = np.frombuffer(sa, dtype="<u8"), np.frombuffer(sb, dtype="<u8")
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            keep = [similar(np.frombuffer(sa, dtype="<u8"), np.frombuffer(sb, dtype="<u8"), percent) for sa, sb in zip(b["sa"], b["sb"], strict=True)]
             yield b.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
-    wanted = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-    wanted, _ = written(wanted, "wanted")
-    sets, _ = written(docs.join(small_side(wanted, wanted.count()), "k", "left_semi").mapInPandas(arrays, "k bigint, s binary"), "sets")
     one, two = sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), sets.select(F.col("k").alias("b"), F.col("s").alias("sb"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInPandas(run, PAIR)
 
 
-def _crossing(tiles: DataFrame, labels: DataFrame, bitmaps: DataFrame, parts: int, percent: int) -> DataFrame:
-    """Candidates between components: of tiles that hold several, the pairs within the size band that the bitmap bound leaves."""
+def _open_rows(tiles: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
+    """(p, lo, x, y, n, label): rows of the tiles that hold several components. Tiles with one smallest component (lo) go to one
+    part, so a pair that meets in many tiles meets there; the tiles of a lo whose sets may outgrow PART_BYTES go to several."""
     named = tiles.join(labels, tiles["y"] == labels["node"], "left").select("x", "y", "n", F.coalesce("label", "y").alias("label"))
-    still = named.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("x")
-    rows = named.join(still, "x", "left_semi").join(bitmaps.select(F.col("k").alias("y"), "body"), "y")
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["x", "y", "n"]).sort_values(["x", "n", "y"], kind="stable")
-        x, y, n, label = (rows[c].to_numpy() for c in ("x", "y", "n", "label"))
-        size = rows["body"].map(len).to_numpy() // 8
-        found: list[np.ndarray] = []
-        cut = np.flatnonzero(np.r_[True, x[1:] != x[:-1], True])
-        for p, q in zip(cut[:-1], cut[1:], strict=True):
-            if (label[p:q] == label[p]).all():
-                continue
-            body = rows["body"].iloc[p:q].tolist()
-            ns, ls, ys, sz = n[p:q], label[p:q], y[p:q], size[p:q]
-            for w in np.unique(sz):  # documents whose bitmap has w words against those with w or more
-                own = np.flatnonzero(sz == w)
-                end = np.searchsorted(ns, ns[own] * 100 // percent, side="right")
-                last = int(end.max())
-                wide = np.stack([folded(np.frombuffer(body[j], dtype="<u8"), w) for j in range(own[0], last)])
-                for i, e in zip(own.tolist(), end.tolist(), strict=True):
-                    j = np.arange(i + 1, e)
-                    j = j[ls[j] != ls[i]]
-                    if len(j):
-                        differ = np.bitwise_count(wide[j - own[0]] ^ wide[i - own[0]]).sum(axis=1, dtype=np.int64)
-                        j = j[least_overlap_ok(ns[i], ns[j], differ, percent)]
-                        if len(j):
-                            found.append(np.stack([np.minimum(ys[i], ys[j]), np.maximum(ys[i], ys[j])]))
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), dtype=np.int64)
-        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
-
-    spread = rows.select(F.pmod(F.xxhash64("x"), F.lit(parts)).alias("r"), "x", "y", "n", "label", "body")
-    return spread.groupBy("r").applyInPandas(run, PAIR).distinct()
+    still = named.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("x", "lo")
+    rows, _ = written(named.join(still, "x"), "open")
+    large, _ = written(rows.groupBy("lo").agg(F.ceil(F.sum("n") * 8 / PART_BYTES).alias("k")).filter("k > 1"), "large")
+    rows = rows.join(small_side(large, large.count()), "lo", "left")
+    spread = F.pmod(F.xxhash64("x", F.lit(1)), F.coalesce("k", F.lit(1)))
+    return written(rows.select(F.pmod(F.xxhash64("lo", spread), F.lit(parts)).alias("p"), "lo", "x", "y", "n", "label"), "spread")[0]
+
+
+def _tile_pairs(rows: pd.DataFrame, body: dict[int, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each tile and document: (ys, labels, i, j): the later documents j of the tile, within the size band of i and of
+    another component, that the bitmap bound leaves, the most alike first."""
+    rows = rows.drop_duplicates(["x", "y", "n"]).sort_values(["x", "n", "y"], kind="stable")
+    x, y, n, label = (rows[c].to_numpy() for c in ("x", "y", "n", "label"))
+    cut = np.flatnonzero(np.r_[True, x[1:] != x[:-1], True])
+    for p, q in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        ys, ls, ns = y[p:q], label[p:q], n[p:q]
+        if (ls == ls[0]).all():
+            continue
+        bodies = [body[k] for k in ys.tolist()]
+        sizes = np.array([len(b) for b in bodies])
+        for w in np.unique(sizes):  # documents whose bitmap has w words against those with w or more
+            own = np.flatnonzero(sizes == w)
+            end = np.searchsorted(ns, ns[own] * 100 // percent, side="right")
+            wide = np.stack([folded(bodies[j], w) for j in range(own[0], max(int(end.max()), own[0] + 1))])
+            for i, e in zip(own.tolist(), end.tolist(), strict=True):
+                j = np.arange(i + 1, e)
+                j = j[ls[j] != ls[i]]
+                if not len(j):
+                    continue
+                differ = np.bitwise_count(wide[j - own[0]] ^ wide[i - own[0]]).sum(axis=1, dtype=np.int64)
+                ok = least_overlap_ok(ns[i], ns[j], differ, percent)
+                if ok.any():
+                    yield ys, ls, np.int64(i), j[ok][np.argsort(differ[ok], kind="stable")]
+
+
+def _still_open(rows: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The rows of documents that have a candidate in another component. rows is a written table."""
+
+    def run(key: tuple, rows: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+        body = {k: np.frombuffer(b, dtype="<u8") for k, b in zip(docs["k"], docs["body"], strict=True)}
+        keep = []
+        for lo, some in rows.groupby("lo", sort=False):
+            hit: set[int] = set()
+            for ys, _, i, j in _tile_pairs(some, body, percent):
+                hit.update(ys[j].tolist(), [int(ys[i])])
+            if hit:
+                keep.append(some[some["y"].isin(hit)])
+        return pd.concat(keep) if keep else rows.iloc[:0]
+
+    docs = rows.select(F.col("p").alias("part"), F.col("y").alias("k")).distinct().join(bitmaps.select("k", "body"), "k").select("part", "k", "body")
+    return rows.groupBy("p").cogroup(docs.groupBy("part")).applyInPandas(run, "p bigint, lo bigint, x bigint, y bigint, n bigint, label bigint")
+
+
+def _resolved(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components, decided exactly: as many as join what belongs together, not all pairs. rows is a written table."""
+
+    def run(key: tuple, rows: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+        arrays = {k: np.frombuffer(s, dtype="<u8") for k, s in zip(docs["k"], docs["s"], strict=True)}
+        body = {k: np.frombuffer(signature(s), dtype="<u8") for k, s in arrays.items()}
+        root: dict[int, int] = {}
+        apart: set[tuple[int, int]] = set()
+        links = []
+
+        def find(k: int) -> int:
+            while (up := root.get(k, k)) != k:
+                root[k] = root.get(up, up)
+                k = up
+            return k
+
+        for ys, ls, i, js in _tile_pairs(rows, body, percent):
+            a, la = int(ys[i]), int(ls[i])
+            for j in js.tolist():
+                b, lb = int(ys[j]), int(ls[j])
+                pair = (min(a, b), max(a, b))
+                if find(la) == find(lb) or pair in apart:
+                    continue
+                if similar(arrays[a], arrays[b], percent):
+                    links.append(pair)
+                    root[max(find(la), find(lb))] = min(find(la), find(lb))
+                else:
+                    apart.add(pair)
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    docs = rows.select(F.col("p").alias("part"), F.col("y").alias("k")).distinct().join(sets, "k").select("part", "k", "s")
+    return rows.groupBy("p").cogroup(docs.groupBy("part")).applyInPandas(run, PAIR)
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -259,22 +324,23 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     members, _ = written(rows.join(classes, "digest", "left").select("k", "n", "digest", F.coalesce(F.when(F.col("n") > 0, F.col("class_id")), "k").alias("class_id")), "members")
     copies = members.filter("k is not null").groupBy("k").agg(F.min(F.when(F.col("class_id") == F.col("k"), 0).otherwise(1)).alias("copy"), F.min("digest").alias("d"), F.max("digest").alias("e"))
     copies, copies_at = written(copies, "copies")
-    rest = copies.filter("copy = 1").select("k")
-    single = own.filter("k is not null").join(small_side(rest, rest.count()), "k", "left_anti")
+    equal = copies.filter("copy = 1").select("k")
+    single = own.filter("k is not null").join(small_side(equal, equal.count()), "k", "left_anti")
 
     ranges = max(64, members.count() // RANGE_DOCS)
     tiles, tiles_at = written(_tiles(_postings(single, _sketch(features), ranges, words, percent), ranges, percent), "tiles")
     bitmaps = rows.select("k", "n", "body")
     first, first_at = written(_bounded(tiles.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), bitmaps, percent), "first")
-    links, _ = written(_exact(first, single, words, percent), "links")
+    wanted = first.select(F.col("a").alias("k")).union(first.select(F.col("b").alias("k")))
+    links, _ = written(_exact(first, _sets(single, wanted, words), percent), "links")
     shared_ids = copies.filter("d != e").select("k").join(members, "k").select(F.col("k").alias("a"), F.col("class_id").alias("b"))
     labels = components(links.unionByName(shared_ids))
-    more, more_at = written(_crossing(tiles.filter("kind = 0").select("x", "y", "n"), labels, bitmaps, ranges, percent), "more")
-    more_links, _ = written(_exact(more, single, words, percent), "more-links")
+    rest, rest_at = written(_still_open(_open_rows(tiles.filter("kind = 0").select("x", "y", "n"), labels, ranges), bitmaps, percent), "rest")
+    more_links, _ = written(_resolved(rest, _sets(single, rest.select(F.col("y").alias("k")), words), percent), "more-links")
     every = links.unionByName(more_links)
     if not more_links.isEmpty():
         labels = components(every.unionByName(shared_ids))
     member = members.join(labels, members["class_id"] == labels["node"], "left").select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "class_id", F.coalesce("label", "class_id").alias("component_id"))
     member, _ = written(member, "member")
-    removed(spark, tiles_at, first_at, more_at, copies_at)
+    removed(spark, tiles_at, first_at, rest_at, copies_at)
     return member, every
