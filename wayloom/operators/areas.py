@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..settings import Settings
 from . import graph
 from .paths import dubins
-from .spatial import opposite_lane
+from .spatial import nearest_any, opposite_lane
 
 
 def junctions(edges: DataFrame, zone: DataFrame) -> DataFrame:
@@ -60,7 +60,8 @@ def intersection_links(edges: DataFrame, vertices: DataFrame, zone: DataFrame, s
 
 def intersections(edges: DataFrame, vertices: DataFrame, zone: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(area, id): the vertices of each intersection; an area is named by its smallest vertex."""
-    label = graph.components(intersection_links(edges, vertices, zone, settings))
+    edges, vertices = graph.settled(edges.select("src", "dst").distinct()), graph.settled(vertices.select("id", "x", "y", "orientation"))
+    label = graph.components(intersection_links(edges, vertices, graph.settled(zone.select("id")), settings))
     return label.select(F.col("label").alias("area"), F.col("node").alias("id"))
 
 
@@ -222,6 +223,7 @@ def zone_walks(steps: DataFrame, zone_meta: DataFrame) -> DataFrame:
 
 def useful_paths(edges: DataFrame, vertices: DataFrame, zone_meta: DataFrame, walks: DataFrame, partners: DataFrame, places: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(src, dst, kind): the edges inside zones that are needed. zone_meta: (id, meta); partners: (id, partner); places: (id)."""
+    edges, vertices, zone_meta = graph.settled(edges.select("src", "dst")), graph.settled(vertices.select("id", "x", "y", "orientation")), graph.settled(zone_meta)
     label = graph.components(edges, "src", "dst")
     part = lambda df, c: df.join(label.withColumnRenamed("node", c), c)
     zoned = part(zone_meta, "id").select("label", "id", "meta")

@@ -15,6 +15,12 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wayloom-checkpoint-"))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once, for steps that read it several times; kept in the shared checkpoint folder, so lost executors cost nothing."""
+    ensure_checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): the smallest node that each node of an edge table is joined to, directions ignored.
 

@@ -16,7 +16,7 @@ def chains(edges: DataFrame) -> DataFrame:
     edge knows the edge twice as far back, so rounds grow with the logarithm of the longest road. `road` is the first edge
     (src, dst); a ring without forks begins at its smallest edge and is emitted once."""
     graph.ensure_checkpoints(edges.sparkSession)
-    e = edges.select("src", "dst").distinct()
+    e = graph.settled(edges.select("src", "dst").distinct())
     through = graph.degrees(e).filter("outs = 1 and ins = 1").select(F.col("id").alias("src"))
     here = F.struct(F.col("src").alias("s"), F.col("dst").alias("d"))
     before = e.select(F.col("dst").alias("src"), here.alias("up")).join(through, "src")
@@ -51,7 +51,7 @@ def summaries(edges: DataFrame, vertices: DataFrame) -> DataFrame:
 
     edges: (src, dst, weight, last_traversal); vertices: (id, x, y, z, z_variance, weight). The weight is that of all edges
     with both ends on the road over its steps; the variance is the vertices' mean by weight."""
-    e = edges.select("src", "dst", "weight", "last_traversal")
+    e = graph.settled(edges.select("src", "dst", "weight", "last_traversal"))
     placed = chains(e).checkpoint()
     w = F.struct("step", "src", "dst")
     ends = placed.groupBy("road").agg(F.min_by("src", w).alias("source"), F.max_by("dst", w).alias("target"), F.count("*").alias("length"))

@@ -118,6 +118,7 @@ def redundant_part(edges: dict[tuple[int, int], int], zoned: set[int], settings:
 
 def redundant(edges: DataFrame, zone: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(src, dst): edges off the best path that lead nowhere else. Parts of the graph that have rivals are worked on one by one."""
+    edges, zone = graph.settled(edges.select("src", "dst", "weight")), graph.settled(zone.select("id"))
     label = graph.components(edges, "src", "dst")
     forked = rivals(fork_paths(edges, zone, settings)).select(F.col("start").alias("node")).distinct()
     live = label.join(forked, "node", "left_semi").select("label").distinct()

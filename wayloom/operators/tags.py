@@ -19,7 +19,8 @@ def chains(edges: DataFrame) -> DataFrame:
     broken = F.when(F.lag("b_point_id").over(w) == F.col("a_point_id"), 0).otherwise(1)
     rows = edges.withColumn("broken", broken).withColumn("chain", F.sum("broken").over(w)).drop("broken")
     run = Window.partitionBy("vehicle", "chain").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("to", F.sum("dist").over(run)).withColumn("at", F.col("to") - F.col("dist"))
+    micro = F.floor(F.col("dist") * 1e6 + 0.5)  # whole micrometres: sums are exact
+    return rows.withColumn("to", F.sum(micro).over(run) / 1e6).withColumn("at", (F.sum(micro).over(run) - micro) / 1e6)
 
 
 def propagated(edges: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -161,6 +162,7 @@ def grown_part(zone: dict[int, str], meta: dict[str, str], edges: list[tuple[int
 
 def grown(zone: DataFrame, meta: DataFrame, direct: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(id, tag): zones after growth, part by part of the road graph; parts without zones do not move."""
+    zone, direct = graph.settled(zone), graph.settled(direct.select("src", "dst"))
     parts = graph.components(direct, "src", "dst")
     zoned = zone.join(parts, zone["id"] == parts["node"]).join(meta, "tag").select("label", "id", "tag", "meta")
     live = zoned.select("label").distinct()

@@ -56,8 +56,8 @@ diggers AS (SELECT name, v.x AS x, v.y AS y, v.z AS z, v.ts AS ts FROM dg), dump
 locations AS (SELECT name, v.location AS location, v.ts AS ts FROM el), tags AS (SELECT tag, v.x AS x, v.y AS y, v.z AS z, v.ts AS ts FROM lt)"""
 TAGS = """ch0 AS (SELECT *, CASE WHEN lag(b_point_id) OVER (PARTITION BY vehicle ORDER BY seq) = a_point_id THEN 0 ELSE 1 END AS broken FROM ed),
 ch1 AS (SELECT *, sum(broken) OVER (PARTITION BY vehicle ORDER BY seq) AS chain FROM ch0),
-ch2 AS (SELECT *, sum(dist) OVER (PARTITION BY vehicle, chain ORDER BY seq) AS to_ FROM ch1),
-ch AS (SELECT *, to_ - dist AS at_ FROM ch2),
+ch2 AS (SELECT *, CAST(floor(dist*1e6 + 0.5e0) AS BIGINT) AS um, sum(CAST(floor(dist*1e6 + 0.5e0) AS BIGINT)) OVER (PARTITION BY vehicle, chain ORDER BY seq) AS tu FROM ch1),
+ch AS (SELECT *, tu / 1e6 AS to_, (tu - um) / 1e6 AS at_ FROM ch2),
 tp AS (SELECT vehicle, chain, pid, max(p) AS p, any_value(t0) AS t0, any_value(tag) AS tag FROM (
   SELECT vehicle, chain, at_ AS p, a_ts AS t0, a_point_id AS pid, a_tag AS tag FROM ch WHERE a_tag IS NOT NULL
   UNION ALL SELECT vehicle, chain, to_, b_ts, b_point_id, b_tag FROM ch WHERE b_tag IS NOT NULL) GROUP BY ALL),

@@ -11,6 +11,8 @@ from ..functions.metrics import center_angle, distance, distance2d, dubins_lengt
 from ..operators import areas, cluster, connect, equipment, graph, pairs, paths, prune, roads, spatial, suppress, tags
 from ..settings import CHORD, DUBINS, GRAVITY
 from . import oracle as o
+from ..sources import export
+from . import roadmap
 from .base import World, fixed, stable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -457,3 +459,22 @@ def cluster_members(w: World) -> DataFrame:
 @query()
 def leader_clusters(w: World) -> DataFrame:
     return cluster.leader_clusters(w.points, w.settings)
+
+
+def _map(w: World) -> roadmap.RoadMap:
+    return roadmap.road_map(roadmap.State(w.points, w.edges, w.diggers, w.dumps, w.locations, w.tags), w.settings)
+
+
+@query()
+def road_map_edges(w: World) -> DataFrame:
+    return _map(w).edges
+
+
+@query()
+def road_map_vertices(w: World) -> DataFrame:
+    return _map(w).vertices.select("id", *(F.round(c, 4).alias(c) for c in "xyz"), "weight", "areas")
+
+
+@query()
+def road_map_csv(w: World) -> DataFrame:
+    return export.csv_rows(_map(w))
