@@ -233,7 +233,7 @@ def turns(decoded: DataFrame, key: str = "conv_id", number: str = "line_no", tex
 
     A turn's number is its opening line's: found block by block, so long transcripts are not sorted in one task."""
     b = F.floor(F.col(number) / block)
-    rows = decoded.withColumn("b", b).withColumn("own", F.max(F.when("opens", F.col(number))).over(Window.partitionBy(key, "b").orderBy(number)))
+    rows = decoded.withColumn("b", b).withColumn("own", F.max(F.when(F.col("opens"), F.col(number))).over(Window.partitionBy(key, "b").orderBy(number)))
     closing = decoded.withColumn("b", b).groupBy(key, "b").agg(F.max(F.when(F.col("opens"), F.col(number))).alias("to"))
     carried = closing.select(key, "b", F.max("to").over(Window.partitionBy(key).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     rows = rows.join(carried, [key, "b"]).withColumn("turn_line", F.coalesce("own", "carried", number))
