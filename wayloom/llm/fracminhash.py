@@ -73,9 +73,9 @@ def _range_of(key: str, bounds: list[int]) -> Column:
     return rest[0]
 
 
-def with_next(docs: DataFrame, columns: list[str], key: str = "k", text: str = "text") -> DataFrame:
-    """docs with the `columns` of the next row (descending key, null keys last, equal keys by text descending) as next_*; after
-    the last comes the first. Keys are cut into ranges, each of which gets a copy of the next range's first row."""
+def with_next(docs: DataFrame, made: dict[str, Column], key: str = "k", text: str = "text") -> DataFrame:
+    """docs and the columns `made` of each row, with text and `made` of the next row as next_* (descending key, null keys
+    last, equal keys by text descending); after the last comes the first. Keys are cut into ranges, each of which gets a copy of the next range's first row."""
     n = docs.count()
     ranges = max(1, min(MOST_RANGES, n // RANGE_DOCS))
     bounds: list[int] = []
@@ -84,8 +84,9 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "k", text: str = "
         bounds = sorted(set(cuts), reverse=True)
     own = docs.withColumn("range", _range_of(key, bounds))
     firsts = {r["range"]: r["k"] for r in docs.select(key).withColumn("range", _range_of(key, bounds)).groupBy("range").agg(F.max(key).alias("k")).collect()}  # a row for each range
+    columns = [text, *made]
     if not firsts:
-        return own.withColumn("ghost", F.lit(False)).select(*docs.columns, *(F.col(c).alias(f"next_{c}") for c in columns))
+        return docs.withColumns(made).select(*docs.columns, *made, *(F.col(c).alias(f"next_{c}") for c in columns))
     order = sorted(firsts)
     before = {r: order[i - 1] for i, r in enumerate(order)}  # the first range's copy goes to the last one
     spark = docs.sparkSession
@@ -93,9 +94,9 @@ def with_next(docs: DataFrame, columns: list[str], key: str = "k", text: str = "
     heads = own.join(F.broadcast(at), "range").filter(F.col(key).eqNullSafe(F.col("first")))  # at has at most MOST_RANGES rows
     heads = heads.groupBy("range").agg(F.max(F.struct(key, text, *(c for c in docs.columns if c not in (key, text)))).alias("r"), F.first("goes_to").alias("goes_to"))
     heads, _ = written(heads.select("r.*", F.col("goes_to").alias("range")), "heads")
-    rows = own.withColumn("ghost", F.lit(False)).unionByName(heads.withColumn("ghost", F.lit(True)))
+    rows = own.withColumn("ghost", F.lit(False)).unionByName(heads.withColumn("ghost", F.lit(True))).withColumns(made)
     w = Window.partitionBy("range").orderBy("ghost", F.desc_nulls_last(key), F.desc_nulls_last(text))
-    return rows.select(*docs.columns, *(F.lead(c).over(w).alias(f"next_{c}") for c in columns), "ghost").filter("not ghost").drop("ghost")
+    return rows.select(*docs.columns, *made, *(F.lead(c).over(w).alias(f"next_{c}") for c in columns), "ghost").filter("not ghost").drop("ghost")
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, scale: int = SCALE) -> DataFrame:
@@ -106,7 +107,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
 def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, scale: int = SCALE) -> DataFrame:
     """Each text's fingerprint, that of its edited text (its second half replaced by the next document's beginning), and their likeness."""
     own = docs.select(F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = with_next(own.withColumn("fp", sketch(F.col("text"), words, scale)), ["text", "fp"])
+    rows = with_next(own, {"fp": sketch(F.col("text"), words, scale)})
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
     rows = rows.select("k", n.cast("bigint").alias("n_chars"), "fp", "next_fp", edited.alias("edited"))
