@@ -13,6 +13,7 @@ rows and no result rows.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from array import array
@@ -37,7 +38,7 @@ STOPS = (".", ",")
 #: New words encoded in one call.
 TOGETHER = 200
 #: Words kept per worker, and the longest kept; the table is emptied when full, which costs time only.
-KEPT_WORDS, KEPT_CHARS = 800_000, 48
+KEPT_WORDS, KEPT_CHARS = 1_200_000, 48
 BLOCKS = "shard int, block int, width int, n_tokens bigint, n_docs int, doc_ids binary, offsets binary, payload binary"
 
 
@@ -88,6 +89,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
