@@ -461,6 +461,55 @@ def leader_clusters(w: World) -> DataFrame:
     return cluster.leader_clusters(w.points, w.settings)
 
 
+@query(o.sql("SELECT src AS id, count(*) AS neighbours, CAST(sum(fwd) AS BIGINT) AS fwd, CAST(sum(rev) AS BIGINT) AS rev FROM (SELECT src, dst, count(*) FILTER (NOT rev) AS fwd, count(*) FILTER (rev) AS rev FROM lk GROUP BY src, dst) GROUP BY src", o.PAIRS, o.CLUSTERS, o.LINKS))
+def neighbour_counts(w: World) -> DataFrame:
+    """How many clusters each one leads to, and by how many pairs, forwards and backwards."""
+    return connect.desired(w.links).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("neighbours"), F.sum("fwd").alias("fwd"), F.sum("rev").alias("rev"))
+
+
+@query(o.sql("""SELECT src, dst, first_src, last_dst, age FROM (SELECT *, (SELECT max(dense_ts) FROM gps) - last_dst AS age FROM ss) WHERE weight < 2 AND age > 600""", o.PAIRS, o.CLUSTERS, o.LINKS))
+def stale_edges(w: World) -> DataFrame:
+    """Edges driven once and not in the last ten minutes."""
+    now = w.points.agg(F.max("dense_ts").alias("now"))
+    rows = w.statistics.join(F.broadcast(now)).withColumn("age", F.col("now") - F.col("last_dst"))  # one row
+    return rows.filter((F.col("weight") < w.settings.minimum_edge_weight) & (F.col("age") > 600)).select("src", "dst", "first_src", "last_dst", "age")
+
+
+@query(o.sql("SELECT src, dst, CAST(round(100.0 * count(*) FILTER (pt.tag IS NOT NULL) / count(*)) AS BIGINT) AS tagged FROM lk LEFT JOIN pt USING (a_point_id, b_point_id) GROUP BY src, dst", o.PAIRS, o.CLUSTERS, o.LINKS, o.TAGS))
+def tag_shares(w: World) -> DataFrame:
+    """The per cent of each edge's pairs that have a tag."""
+    return w.tagged_links.groupBy("src", "dst").agg(F.round(F.lit(100.0) * F.count("tag") / F.count("*")).cast("bigint").alias("tagged"))
+
+
+def _zone_meta(w: World) -> DataFrame:
+    zone = graph.settled(w.zone)
+    return zone.join(tags.meta_zones(zone, w.statistics), "tag").select("id", "meta")
+
+
+@query()
+def useful_paths(w: World) -> DataFrame:
+    """The edges inside zones that ways from entries to exits, and to equipment, need."""
+    s = w.settings
+    zone = graph.settled(_zone_meta(w))
+    steps = tags.chains(w.edges).select("vehicle", "chain", "seq", F.col("a_point_id").alias("point_id")).join(w.assigned.select("point_id", "id"), "point_id")
+    partners = spatial.opposite_lane(w.vertices, s.intersection_search_radius, s.intersection_search_angular_threshold, s.roadnetwork_driving_side)
+    places = spatial.nearest_any(w.diggers.unionByName(w.dumps), w.vertices, "name").select("id").distinct()
+    return areas.useful_paths(w.live, w.vertices, zone, areas.zone_walks(steps, zone), partners, places, s)
+
+
+@query()
+def zone_walks(w: World) -> DataFrame:
+    """Runs of clusters driven inside one meta zone, and how often."""
+    steps = tags.chains(w.edges).select("vehicle", "chain", "seq", F.col("a_point_id").alias("point_id")).join(w.assigned.select("point_id", "id"), "point_id")
+    return areas.zone_walks(steps, _zone_meta(w)).select("meta", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "support")
+
+
+@query()
+def road_map_areas(w: World) -> DataFrame:
+    """Rings of intersections and tag areas with their heights, as text."""
+    return _map(w).areas.select("area", "source", "n", roads.polygon("ring").alias("geometry"))
+
+
 def _map(w: World) -> roadmap.RoadMap:
     return roadmap.road_map(roadmap.State(w.points, w.edges, w.diggers, w.dumps, w.locations, w.tags), w.settings)
 
