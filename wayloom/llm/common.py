@@ -2,21 +2,46 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when it has at most this many rows of a few fixed-width columns.
 BROADCAST_ROWS = 2_000_000
-#: Python code works through texts in portions of about this many characters.
-PORTION_CHARS = 2_000_000
+
+
+#: Rows in an Arrow batch of texts: with the session's bound on its bytes this bounds a Python worker's memory.
+BATCH_ROWS = 1000
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches small enough for long texts, if it allows larger ones."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return spark
+
+
+def lean(run: Callable) -> Callable:
+    """A function over batches that gives freed memory back to the system when a task ends, as idle workers keep theirs."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,19 +81,6 @@ def small_side(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if rows <= most else df
 
 
-def portions(texts: Iterable[str | None], most: int = PORTION_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges (first, end) of consecutive texts of about `most` characters; a longer text is a range of its own."""
-    first = chars = i = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > first and chars + n > most:
-            yield first, i
-            first, chars = i, 0
-        chars += n
-    if isinstance(texts, list) and texts:
-        yield first, len(texts)
-
-
 def row_key(key: str, text: str) -> Column:
     """Names a row by its id and text: rows without an id are told apart, and equal ids with other texts too."""
     t = F.coalesce(F.col(text), F.lit(""))

@@ -23,12 +23,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import groups
+from .common import lean
 from .shingles import FOLD, _counts, word_hashes
-from .toxicity import best_threshold, held_out
+from .toxicity import held_out
 
 #: Most rows of each kind that the model is fitted on.
 MOST_POSITIVE, MOST_UNLABELLED, MOST_CHECKED = 6000, 9000, 6000
 HIDDEN, EPOCHS, BATCH, RATE = 24, 40, 256, 0.01
+#: Least steps of training, for small samples.
+LEAST_STEPS = 800
+#: The share of checked rows that another threshold than the network's must save.
+WORTH = 0.02
 N_FEATURES = 128 + 14
 
 
@@ -103,9 +108,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     params = [m.w1, m.b1, m.w2, np.zeros(1)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     t = 0
-    for _ in range(EPOCHS):
+    steps = max(1, len(xu) // BATCH)
+    for _ in range(max(EPOCHS, LEAST_STEPS // steps)):
         order_p, order_u = rng.permutation(len(xp)), rng.permutation(len(xu))
-        steps = max(1, len(xu) // BATCH)
         for k in range(steps):
             p, u = xp[order_p[k * len(xp) // steps : (k + 1) * len(xp) // steps]], xu[order_u[k * len(xu) // steps : (k + 1) * len(xu) // steps]]
             if not len(p) or not len(u):
@@ -139,11 +144,29 @@ def logits(m: Model, x: np.ndarray) -> np.ndarray:
     return np.maximum(scaled(m, x) @ m.w1 + m.b1, 0) @ m.w2 + m.b2
 
 
+def nearest_threshold(z: np.ndarray, y: np.ndarray) -> float:
+    """The network's own threshold, 0, unless another saves errors on more than WORTH of the rows; then of those that err
+    least one near 0, a tenth into their range from there."""
+    order = np.argsort(z, kind="stable")
+    z, y = z[order], y[order]
+    wrong = np.r_[0, np.cumsum(y == 1)] + np.r_[np.cumsum((y == 0)[::-1])[::-1], 0]
+    edge = np.r_[z[0] - 1, z, z[-1] + 1]
+    if wrong[np.searchsorted(z, 0.0)] - wrong.min() <= WORTH * len(z):
+        return 0.0
+    least = np.flatnonzero(wrong == wrong.min())
+    low, high = edge[least], edge[least + 1]
+    away = np.where((low < 0) & (high > 0), 0, np.minimum(np.abs(low), np.abs(high)))
+    i = int(away.argmin())
+    if low[i] < 0 < high[i]:
+        return 0.0
+    return float(low[i] + 0.1 * (high[i] - low[i]) if low[i] >= 0 else high[i] - 0.1 * (high[i] - low[i]))
+
+
 def calibrated(m: Model, x: np.ndarray, y: np.ndarray) -> Model:
     """Puts the score of 0.5 where labelled rows of the learning fold are told apart best."""
     if len(y) and y.min() != y.max():
         z = logits(m, x)
-        m.threshold = best_threshold(z, y, np.ones(len(y)))
+        m.threshold = nearest_threshold(z, y)
         m.spread = max(0.1, float(np.std(z)))
     return m
 
@@ -172,7 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "q
                 at += len(some)
 
     rows = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), key)  # bounded by the three samples
-    got = rows.select("role", "y", "t").mapInPandas(run, "role string, y int, x binary").toPandas().sort_values(["role", "y", "x"], kind="stable")
+    got = rows.select("role", "y", "t").mapInPandas(lean(run), "role string, y int, x binary").toPandas().sort_values(["role", "y", "x"], kind="stable")
     part = lambda r: np.frombuffer(b"".join(got.loc[got["role"] == r, "x"]), dtype=np.float32).reshape(-1, N_FEATURES)
     m = fit(part("p"), part("u"), estimated_prior(n.get(1, 0), n.get(0, 0)))
     return calibrated(m, part("c"), got.loc[got["role"] == "c", "y"].to_numpy())
@@ -188,5 +211,5 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
             yield b[["k"]].assign(score=np.concatenate(found) if found else np.zeros(0))
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, score double").withColumnRenamed("k", key)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(lean(run), f"k {kind}, score double").withColumnRenamed("k", key)
     return rows.select(key, held_out(key, 1, 3).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
