@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import groups
+from .common import lean
 
 #: Ids in one block, about; a longer document is a block of its own.
 BLOCK_IDS = 500_000
@@ -181,7 +182,7 @@ def blocks(docs: DataFrame, path: str, end_id: int | None, width: int, key: str
 
     own = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
     dealt = own.repartitionByRange("k").sortWithinPartitions("k", "t")
-    return dealt.select(F.coalesce("k", F.lit(0)).alias("k"), F.col("k").isNull().alias("no_key"), "t").mapInPandas(run, BLOCKS)
+    return dealt.select(F.coalesce("k", F.lit(0)).alias("k"), F.col("k").isNull().alias("no_key"), "t").mapInPandas(lean(run), BLOCKS)
 
 
 def write_ids(docs: DataFrame, tokenizer: str, out: str, end_id: int | None = None, key: str = "doc_id", text: str = "text") -> None:
@@ -213,7 +214,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                 crc = [zlib.crc32(ids[x:y].tobytes()) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pd.DataFrame({"doc_id": doc, "start": at[:-1] + r.start, "n_tokens": np.diff(at), "ids_crc32": crc})
 
-    read = read_blocks(spark, folder).mapInPandas(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    read = read_blocks(spark, folder).mapInPandas(lean(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
     return read.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(-(2**63)), F.col("doc_id")))
 
 

@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import pre_tokenizers
 
+from .common import lean
+
 #: The split pattern of byte-level BPE vocabularies (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 NO_RANK = np.int64(2**62)
 #: Words kept per worker, and the longest kept; the table is emptied when full, which costs time only.
-KEPT_WORDS, KEPT_CHARS = 600_000, 48
+KEPT_WORDS, KEPT_CHARS = 200_000, 48
 #: Symbols that one batch of merge rounds works on.
 BATCH_SYMBOLS = 1_000_000
 
@@ -41,10 +43,14 @@ def byte_alphabet() -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def unassigned() -> frozenset[str]:
-    """Characters that Python's or the regex library's Unicode tables don't assign, in which libraries may differ."""
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
-    return frozenset(c for c in every if unicodedata.category(c) == "Cn").union(regex.findall(r"\p{Cn}", every))
+def unassigned() -> bytes:
+    """For each code point whether Python's or the regex library's Unicode tables don't assign it, in which libraries may differ."""
+    out = bytearray(unicodedata.category(chr(c)) == "Cn" for c in range(0x110000))
+    for first in range(0, 0x110000, 0x1000):
+        if not 0xD800 <= first < 0xE000:
+            for c in regex.findall(r"\p{Cn}", "".join(map(chr, range(first, first + 0x1000)))):
+                out[ord(c)] = 1
+    return bytes(out)
 
 
 class ByteBpe:
@@ -151,7 +157,7 @@ class ByteBpe:
 
     def words(self, text: str) -> list[str]:
         """The text by the split pattern. Characters too new for the regex library's tables are classed by the tokenizers library."""
-        if text.isascii() or not self.late.search(text) or unassigned().isdisjoint(set(text)):
+        if text.isascii() or not self.late.search(text) or not any(map(unassigned().__getitem__, map(ord, set(text)))):
             return self.split.findall(text)
         return [text[a:b] for _, (a, b) in self.newer.pre_tokenize_str(text)]
 
@@ -185,7 +191,7 @@ def vocabulary(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def groups(texts: list[str], most: int = 1_000_000) -> Iterator[list[str]]:
+def groups(texts: list[str], most: int = 300_000) -> Iterator[list[str]]:
     """Consecutive texts of about `most` characters."""
     some, chars = [], 0
     for t in texts:
@@ -210,7 +216,7 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
                 at += len(some)
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, ids binary").withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(lean(run), f"k {kind}, ids binary").withColumnRenamed("k", key)
 
 
 def decode_ids(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -224,7 +230,7 @@ def decode_ids(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "i
                 yield pd.DataFrame({"k": some["k"], "text": [bpe.decode(x or b"") for x in some["i"]]})
 
     kind = encoded.schema[key].dataType.simpleString()
-    return encoded.select(F.col(key).alias("k"), F.col(ids).alias("i")).mapInPandas(run, f"k {kind}, text string").withColumnRenamed("k", key)
+    return encoded.select(F.col(key).alias("k"), F.col(ids).alias("i")).mapInPandas(lean(run), f"k {kind}, text string").withColumnRenamed("k", key)
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -244,4 +250,4 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"k {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, schema).withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(lean(run), schema).withColumnRenamed("k", key)

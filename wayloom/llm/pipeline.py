@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, jaccard, secrets, toxicity
-from .common import row_key, small_side, table, written
+from .common import row_key, small_side, table, tuned, written
 from .queries import TOKENIZERS
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the classifier calls toxic. It is fitted on a bounded sample of the labelled documents of the learning fold."""
+    tuned(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out("doc_id", 0, 5))
-    return toxicity.score(docs, model, docs.columns).filter("score < 0.5").drop("score")
+    return toxicity.score(docs, model, docs.columns, out="_wayloom_score").filter("_wayloom_score < 0.5").drop("_wayloom_score")
 
 
 def near_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,16 +37,16 @@ def near_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a ten-word window of a benchmark item."""
     items, _ = written(decontam.items_of(table(spark, sf_dir, "benchmark"), "item_id", "text"), "items")
-    named = docs.withColumn("_row", row_key("doc_id", "text"))
-    hit, _ = written(decontam.hit_windows(named.select(F.col("_row").alias("key"), "text"), items).select(F.col("key").alias("_row")).distinct(), "leaks")
-    return named.join(small_side(hit, hit.count()), "_row", "left_anti").select(*docs.columns)
+    named = docs.withColumn(secrets.ROW, row_key("doc_id", "text"))
+    hit, _ = written(decontam.hit_windows(named.select(F.col(secrets.ROW).alias("key"), "text"), items).select(F.col("key").alias(secrets.ROW)).distinct(), "leaks")
+    return named.join(small_side(hit, hit.count()), secrets.ROW, "left_anti").select(*docs.columns)
 
 
 def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets and linked credentials in the texts; n_chars follows where the text changed."""
-    out = secrets.redacted(docs.withColumn("_was", F.length("text")))
+    out = secrets.redacted(docs.withColumn("_wayloom_was", F.length("text")))
     if "n_chars" in docs.columns:
-        moved = (F.col("n_chars") + F.length("text") - F.col("_was")).cast(docs.schema["n_chars"].dataType)
+        moved = (F.col("n_chars") + F.length("text") - F.col("_wayloom_was")).cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.coalesce(moved, F.col("n_chars")))
     return out.select(*docs.columns)
 

@@ -30,6 +30,8 @@ ENDPOINT = r"""(https?://[^\x20\x09-\x0D"'<>]+)"""
 #: Kinds in the order that breaks ties of position.
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 SCOPE = 200
+#: Names of columns that are added for a while; no table has them.
+ROW, SPANS = "_wayloom_row", "_wayloom_spans"
 
 
 def _found(texts: DataFrame, pattern: str) -> DataFrame:
@@ -109,11 +111,11 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: in
     """docs with every reported span of the text replaced by `mark`; texts without spans are as they were, and not shuffled."""
     texts, _ = written(candidates(docs, key, text), "candidates")
     parts, _ = written(parts_of(texts), "parts")
-    found = linked(parts, scope).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    found, _ = written(found.withColumnRenamed("key", "_row"), "spans")
-    ids = small_side(found.select("_row"), found.count())
-    own = docs.withColumn("_row", row_key(key, text))
-    clean = own.join(ids, "_row", "left_anti").drop("_row")
+    found = linked(parts, scope).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(SPANS))
+    found, _ = written(found.withColumnRenamed("key", ROW), "spans")
+    ids = small_side(found.select(ROW), found.count())
+    own = docs.withColumn(ROW, row_key(key, text))
+    clean = own.join(ids, ROW, "left_anti").drop(ROW)
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
 
     def cut(acc: Column, s: Column) -> Column:
@@ -122,6 +124,6 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: in
         out = F.when(fresh, F.concat(acc["out"], before, F.lit(mark))).otherwise(acc["out"])
         return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    rebuilt = F.aggregate("spans", start, cut, lambda acc: F.concat(acc["out"], F.substr(F.col(text), (acc["at"] + 1).cast("int"))))
-    dirty = own.join(ids, "_row", "left_semi").join(found, "_row").withColumn(text, rebuilt)
+    rebuilt = F.aggregate(SPANS, start, cut, lambda acc: F.concat(acc["out"], F.substr(F.col(text), (acc["at"] + 1).cast("int"))))
+    dirty = own.join(ids, ROW, "left_semi").join(found, ROW).withColumn(text, rebuilt)
     return clean.unionByName(dirty.select(*docs.columns))

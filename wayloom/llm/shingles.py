@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes hashed at once. A longer word is hashed by another function, so memory stays bounded.
-PORTION = 1 << 20
+PORTION = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 #: Multipliers of a published 64-bit mixing function (fixed values).
 MIX = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import groups
+from .common import lean
 from .shingles import words_and_counts
 
 #: Most labelled rows of each kind that the model is fitted on.
@@ -223,14 +224,14 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "t
             cut = np.cumsum(counts)
             yield pd.DataFrame({"k": b["k"].astype(str), "y": b["y"], "w": [words[e - n : e].astype("<u2").tobytes() for e, n in zip(cut, counts, strict=True)]})
 
-    rows = sample.mapInPandas(run, "k string, y int, w binary").toPandas().sort_values(["k", "y", "w"], kind="stable")
+    rows = sample.mapInPandas(lean(run), "k string, y int, w binary").toPandas().sort_values(["k", "y", "w"], kind="stable")
     rows = rows.sample(frac=1, random_state=3)
     texts = [np.frombuffer(w, dtype="<u2").reshape(-1, 1 + len(PREFIXES)) for w in rows["w"]]
     return fit(texts, rows["y"].to_numpy(), clean_weight)
 
 
-def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:
-    """The named columns of docs and the score of each whole text."""
+def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text", out: str = "score") -> DataFrame:
+    """The named columns of docs and the score of each whole text, as column `out`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
     names = {c: f"c{i}" for i, c in enumerate(columns)}
     if text not in names:
@@ -246,8 +247,8 @@ def score(docs: DataFrame, model: Model, columns: list[str], text: str = "text")
 
     out_names = [names[c] for c in columns]
     schema = ", ".join(f"{names[c]} {docs.schema[c].dataType.simpleString()}" for c in columns)
-    own = docs.select(*(F.col(c).alias(n) for c, n in names.items())).mapInPandas(run, f"{schema}, score double")
-    return own.select(*(F.col(names[c]).alias(c) for c in columns), "score")
+    own = docs.select(*(F.col(c).alias(n) for c, n in names.items())).mapInPandas(lean(run), f"{schema}, score double")
+    return own.select(*(F.col(names[c]).alias(c) for c in columns), F.col("score").alias(out))
 
 
 def held_out(key: str, fold: int, folds: int) -> Column:
