@@ -28,16 +28,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import groups
-from .common import removed, small_side, written
+from .common import lean, removed, small_side, written
 from .components import components
 from .shingles import shingle_sets
 
 #: Counters of the sketch that orders shingles by frequency: its size never grows with the input.
 SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
-#: Documents for each range of shingle hashes, and postings gathered before they are dealt out.
-RANGE_DOCS, FLUSH = 400, 1_000_000
+#: Documents for each range of shingle hashes, the most ranges (beyond, ranges grow), and postings gathered before they are dealt out.
+RANGE_DOCS, MOST_RANGES, FLUSH = 400, 1 << 18, 1_000_000
 #: Bytes of sets, at most, that one smallest component brings to a part before its tiles are spread.
-PART_BYTES = 64_000_000
+PART_BYTES = 8_000_000
+#: Classes in a block of a component when links are counted.
+BLOCK = 256
 PAIR = "a bigint, b bigint"
 
 
@@ -82,7 +84,7 @@ def _features(docs: DataFrame, words: int) -> DataFrame:
         chunks = [(i, c) for i, c in enumerate(sketch.reshape(-1, SKETCH_CHUNK)) if c.any()]
         yield pd.DataFrame({"kind": 1, "k": [i for i, _ in chunks], "n": 0, "digest": b"", "body": [c.astype("<u4").tobytes() for _, c in chunks]})
 
-    return docs.mapInPandas(run, "kind int, k bigint, n bigint, digest binary, body binary")
+    return docs.mapInPandas(lean(run), "kind int, k bigint, n bigint, digest binary, body binary")
 
 
 def _sketch(features: DataFrame) -> np.ndarray:
@@ -140,7 +142,7 @@ def _postings(docs: DataFrame, sketch: np.ndarray, ranges: int, words: int, perc
         if hs:
             yield flush()
 
-    return docs.mapInPandas(run, "r bigint, h binary, k binary, n binary")
+    return docs.mapInPandas(lean(run), "r bigint, h binary, k binary, n binary")
 
 
 def _tiles(postings: DataFrame, ranges: int, percent: int) -> DataFrame:
@@ -181,7 +183,7 @@ def _bounded(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
 
     one = bitmaps.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("body").alias("sa"))
     two = bitmaps.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("body").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInPandas(run, PAIR)
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInPandas(lean(run), PAIR)
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -207,7 +209,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 at += len(some)
 
     wanted, _ = written(wanted.distinct(), "wanted")
-    return written(docs.join(small_side(wanted, wanted.count()), "k", "left_semi").mapInPandas(arrays, "k bigint, s binary"), "sets")[0]
+    return written(docs.join(small_side(wanted, wanted.count()), "k", "left_semi").mapInPandas(lean(arrays), "k bigint, s binary"), "sets")[0]
 
 
 def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -219,7 +221,7 @@ def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield b.loc[np.array(keep, dtype=bool), ["a", "b"]]
 
     one, two = sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), sets.select(F.col("k").alias("b"), F.col("s").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInPandas(run, PAIR)
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInPandas(lean(run), PAIR)
 
 
 def _open_rows(tiles: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
@@ -313,9 +315,57 @@ def _resolved(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("p").cogroup(docs.groupBy("part")).applyInPandas(run, PAIR)
 
 
-def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+def _counted(nodes: DataFrame, sets: DataFrame, sizes: DataFrame, parts: int, percent: int) -> DataFrame:
+    """(class_id, n): for each class the documents of other classes that link with it. nodes: (k, label); sizes: (k, docs).
+
+    Linked classes share a component. A component is cut into blocks of about BLOCK classes, and each pair of blocks is one
+    unit of work, so a large component is spread over tasks; only sums leave them."""
+    blocks = nodes.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    own = nodes.join(blocks, "label").withColumn("i", F.pmod(F.xxhash64("k"), F.col("nb")).cast("int"))
+    own = own.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    own = own.select("k", "label", "i", F.least("i", "x").alias("lo"), F.greatest("i", "x").alias("hi"))
+    own = own.join(sizes, "k").join(sets, "k").withColumn("p", F.pmod(F.xxhash64("label", "lo", "hi"), F.lit(parts)))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (_, lo, hi), g in rows.groupby(["label", "lo", "hi"], sort=False):
+            sets = [np.frombuffer(x, dtype="<u8") for x in g["s"]]
+            order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+            sets = [sets[i] for i in order]
+            k, i, docs = (g[c].to_numpy()[order] for c in ("k", "i", "docs"))
+            n = np.array([len(x) for x in sets])
+            marks = [np.frombuffer(signature(x), dtype="<u8") for x in sets]
+            found = np.zeros(len(k), dtype=np.int64)
+            for a in range(len(k)):
+                end = int(np.searchsorted(n, n[a] * 100 // percent, side="right"))
+                for b in range(a + 1, end):
+                    if lo != hi and i[a] == i[b]:
+                        continue  # met where the block meets itself
+                    words = min(len(marks[a]), len(marks[b]))
+                    differ = int(np.bitwise_count(folded(marks[a], words) ^ folded(marks[b], words)).sum())
+                    if least_overlap_ok(n[a], n[b], differ, percent) and similar(sets[a], sets[b], percent):
+                        found[a] += docs[b]
+                        found[b] += docs[a]
+            out.append(pd.DataFrame({"class_id": k, "n": found}))
+        return pd.concat(out).query("n > 0")
+
+    return own.select("p", "label", "lo", "hi", "i", "k", "docs", "s").groupBy("p").applyInPandas(run, "class_id bigint, n bigint").groupBy("class_id").agg(F.sum("n").alias("n"))
+
+
+def _with_links(members: DataFrame, labels: DataFrame, docs: DataFrame, parts: int, words: int, percent: int) -> DataFrame:
+    """members with n_links."""
+    sizes = members.filter("n > 0 and k is not null").groupBy("class_id").agg(F.count("*").alias("docs"))
+    nodes, _ = written(labels.select(F.col("node").alias("k"), "label").union(labels.select(F.col("label").alias("k"), "label")).distinct(), "nodes")
+    other, _ = written(_counted(nodes, _sets(docs, nodes.select("k"), words), sizes.withColumnRenamed("class_id", "k"), parts, percent), "counts")
+    own = sizes.join(other, "class_id", "left").select("class_id", (F.col("docs") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    linked = F.when((F.col("n") > 0) & F.col("k").isNotNull(), F.col("n_links"))
+    return members.join(own, "class_id", "left").withColumn("n_links", F.coalesce(linked, F.lit(0).cast("bigint")))
+
+
+def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, count_links: bool = False) -> tuple[DataFrame, DataFrame]:
     """(membership, links): (doc_id, n_shingles, class_id, component_id) of each row, and verified links (a, b) between classes
-    that together connect every component; class_id is the smallest doc_id with the same set."""
+    that together connect every component; class_id is the smallest doc_id with the same set. With count_links membership also
+    has n_links, the documents that a row links with, copies included."""
     spark = docs.sparkSession
     own = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
     features, _ = written(_features(own, words), "features")
@@ -327,7 +377,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     equal = copies.filter("copy = 1").select("k")
     single = own.filter("k is not null").join(small_side(equal, equal.count()), "k", "left_anti")
 
-    ranges = max(64, members.count() // RANGE_DOCS)
+    ranges = max(64, min(MOST_RANGES, members.count() // RANGE_DOCS))
     tiles, tiles_at = written(_tiles(_postings(single, _sketch(features), ranges, words, percent), ranges, percent), "tiles")
     bitmaps = rows.select("k", "n", "body")
     first, first_at = written(_bounded(tiles.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), bitmaps, percent), "first")
@@ -340,7 +390,9 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     every = links.unionByName(more_links)
     if not more_links.isEmpty():
         labels = components(every.unionByName(shared_ids))
-    member = members.join(labels, members["class_id"] == labels["node"], "left").select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "class_id", F.coalesce("label", "class_id").alias("component_id"))
+    if count_links:
+        members = _with_links(members, labels, single, ranges, words, percent)
+    member = members.join(labels, members["class_id"] == labels["node"], "left").select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "class_id", F.coalesce("label", "class_id").alias("component_id"), *(["n_links"] if count_links else []))
     member, _ = written(member, "member")
     removed(spark, tiles_at, first_at, rest_at, copies_at)
     return member, every

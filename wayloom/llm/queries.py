@@ -71,8 +71,8 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's group of texts that share four fifths of their five-word shingles."""
-    member, _ = jaccard.jaccard_join(table(spark, sf_dir, "documents"))
-    return member.select("doc_id", "n_shingles", "component_id", "class_id")
+    member, _ = jaccard.jaccard_join(table(spark, sf_dir, "documents"), count_links=True)
+    return member.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,9 +136,9 @@ FROM captures LEFT JOIN said USING (page_id)
 
 OP6_SQL = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x != '') AS w FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x != '') AS w FROM documents),
 s AS (
-  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
 n AS (SELECT doc_id, len(s)::BIGINT AS n FROM s),
 e AS (SELECT doc_id, unnest(s) AS x FROM s),
 links AS (
@@ -146,15 +146,15 @@ links AS (
   GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 80 * (p.n + q.n - count(*))),
 reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 classes AS (SELECT doc_id, CASE WHEN len(s) > 0 THEN min(doc_id) OVER (PARTITION BY list_sort(s)) ELSE doc_id END AS class_id FROM s)
-SELECT n.doc_id, n.n AS n_shingles, c.component_id, k.class_id FROM n JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = n.doc_id JOIN classes k ON k.doc_id = n.doc_id
+SELECT n.doc_id, n.n AS n_shingles, c.component_id, k.class_id, (SELECT count(*) FROM links l WHERE l.a = n.doc_id) AS n_links FROM n JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = n.doc_id JOIN classes k ON k.doc_id = n.doc_id
 """
 
 OP8_SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x != '') AS w FROM documents),
-i AS (SELECT item_id::VARCHAR AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x != '') AS w FROM benchmark WHERE item_id IS NOT NULL),
-iw AS (SELECT DISTINCT item, least(10, len(w)) AS size, unnest(list_transform(range(1, greatest(1, len(w) - 9) + 1), p -> array_to_string(w[p:p+9], ' '))) AS g FROM i WHERE len(w) > 0),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x != '') AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x != '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (SELECT DISTINCT item, least(10, len(w)) AS size, unnest(list_transform(range(1, greatest(1, len(w) - 9) + 1), lambda p: array_to_string(w[p:p+9], ' '))) AS g FROM i WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT size FROM iw),
-dw AS (SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS p, unnest(list_transform(range(1, len(w) - size + 2), q -> array_to_string(w[q:q+size-1], ' '))) AS g FROM d, sizes WHERE len(w) >= size),
+dw AS (SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS p, unnest(list_transform(range(1, len(w) - size + 2), lambda q: array_to_string(w[q:q+size-1], ' '))) AS g FROM d, sizes WHERE len(w) >= size),
 hits AS (SELECT doc_id, item, p, dw.size FROM dw JOIN iw ON iw.g = dw.g AND iw.size = dw.size),
 pos AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + size)) AS at FROM hits) GROUP BY doc_id),
 its AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY doc_id)
