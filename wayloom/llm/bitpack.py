@@ -14,7 +14,6 @@ rows and no result rows.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -36,6 +35,8 @@ LANES = 32
 #: What the last token of a word ends with, in this kind of vocabulary (fixed value).
 WORD_END = "</w>"
 STOPS = (".", ",")
+#: Characters of texts encoded together: more of them share their new words.
+GROUP_CHARS = 2_000_000
 #: New words encoded in one call.
 TOGETHER = 200
 #: Words kept per worker, and the longest kept; the table is emptied when full, which costs time only.
@@ -94,7 +95,6 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.blank = re.compile(r"[\t\r\n]")
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
@@ -128,7 +128,7 @@ class WordEncoder:
         return self.together(plain + marked, [1] * len(plain) + [2] * len(marked)) | self.alone(rest)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self.blank.sub(" ", t).split(" ") for t in texts]
+        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > KEPT_WORDS:
             self.known = {}
         known = self.known
@@ -168,7 +168,7 @@ def blocks(docs: DataFrame, path: str, end_id: int | None, width: int, key: str
         for b in batches:
             texts, at = ["" if t is None else t for t in b["t"]], 0
             ks = [None if null else k for k, null in zip(b["k"].tolist(), b["no_key"].tolist(), strict=True)]
-            for some in groups(texts):
+            for some in groups(texts, GROUP_CHARS):
                 for k, x in zip(ks[at : at + len(some)], enc.encode(some), strict=True):
                     if held and held + len(x) // 4 > BLOCK_IDS:
                         yield flush()
