@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import areas, cluster, connect, equipment, graph, paths, roads, suppress, tags
+from ..operators import areas, cluster, connect, equipment, graph, paths, roads, spatial, suppress, tags
 from ..settings import Settings
 
 #: Where an area comes from (fixed values).
@@ -69,7 +69,7 @@ def road_map(state: State, settings: Settings = Settings(), mode: str = "grid",
     partners = areas.opposite_lane(vertices, settings.intersection_search_radius, settings.intersection_search_angular_threshold, settings.roadnetwork_driving_side)
     places = zone_meta.select("id").limit(0)
     if state.diggers is not None:
-        near = areas.nearest_any(state.diggers.unionByName(state.dumps, allowMissingColumns=True), vertices, "name")
+        near = spatial.nearest_any(state.diggers.unionByName(state.dumps, allowMissingColumns=True), vertices, "name")
         places = near.select("id").distinct()
     needed = areas.useful_paths(live, vertices, zone_meta, areas.zone_walks(steps, zone_meta), partners, places, settings)
     kept = outside.unionByName(needed.select("src", "dst")).distinct()
