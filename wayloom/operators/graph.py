@@ -24,19 +24,21 @@ def settled(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label): the smallest node that each node of an edge table is joined to, directions ignored.
 
-    Each round takes the least label of all neighbours and then jumps to that label's label, so the rounds grow with the
-    logarithm of the longest chain. A node sends one number to each neighbour; no component is gathered."""
+    Each round every group of nodes with one label takes the least label next to any of them, and then that label's own
+    choice, so the rounds grow with the logarithm of the input. A node sends one number to each neighbour; no component is gathered."""
     ensure_checkpoints(edges.sparkSession)
     one = edges.select(F.col(a).alias("s"), F.col(b).alias("t")).filter("s is not null and t is not null")
     both = one.unionByName(one.select(F.col("t").alias("s"), F.col("s").alias("t"))).distinct().checkpoint()
     label = both.groupBy(F.col("s").alias("node")).agg(F.least(F.col("node"), F.min("t")).alias("label")).checkpoint()
     while True:
         near = both.join(label, both["t"] == label["node"]).groupBy("s").agg(F.min("label").alias("near"))
-        new = label.join(near, label["node"] == near["s"]).select("node", F.least("label", "near").alias("label"))
-        up = new.select(F.col("node").alias("label"), F.col("label").alias("top"))
-        new = new.join(up, "label").select("node", F.least("label", "top").alias("label"), F.col("label").alias("was")).checkpoint()
-        changed = new.join(label.withColumnRenamed("label", "old"), "node").filter("label != old").limit(1).count()
-        label = new.select("node", "label")
+        low = label.join(near, label["node"] == near["s"]).select("label", F.least("label", "near").alias("low"))
+        hook = low.groupBy("label").agg(F.min("low").alias("top"))
+        up = hook.select(F.col("label").alias("top"), F.col("top").alias("upper"))
+        hook = hook.join(up, "top").select(F.col("label").alias("old"), F.col("upper").alias("new"))
+        moved = label.join(hook, label["label"] == hook["old"]).select("node", F.col("new").alias("label"), "old").checkpoint()
+        changed = moved.filter("label != old").limit(1).count()
+        label = moved.select("node", "label")
         if not changed:
             return label
 
