@@ -126,3 +126,16 @@ def test_pending_tags_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted(r["a_ts"] for r in spark.table("tags_out").collect())
     assert got == [2.0, 3.0, 4.0, 5.0, 6.0]  # five pairs of 20 m
+
+
+def test_road_map_merges_and_finds_waypoints(spark, tmp_path):
+    jumps = [(f"j{p}", 9000.0 + 1000 * p + 6 * i, 15.0 + 60 * i, 28.5, 100.0, 10.0, 0.0) for p in range(3) for i in range(5)]
+    rows = drive("a", 2, y=28.5) + drive("b", 2, y=31.5) + jumps  # two rows of clusters 3 m apart, and pairs of 60 m
+    store = driver.Store(spark, str(tmp_path / "m"))
+    driver.apply_batch(store, native.pair_messages(native.file_order(spark.createDataFrame(rows, native.VEHICLE_POSITIONS).coalesce(1))), 0, LOOSE)
+    m = roadmap.road_map(driver.state(store), LOOSE)
+    at = {r["id"]: (r["x"], r["y"]) for r in m.vertices.collect()}
+    assert at and all((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 > 15**2 for p in at.values() for q in at.values() if p != q)
+    weight = {(at[r["src"]][0], at[r["dst"]][0]): r["weight"] for r in m.edges.collect()}
+    assert all(0 < b - a < 45 for a, b in weight)  # none jumps over a cluster
+    assert [weight[e] for e in sorted(weight)][:8] == [7] * 8  # pairs of all count on the edges in between

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.metrics import circular_mean, distance, point
 from ..settings import Settings
 from . import graph
-from .spatial import cell, radius_join
+from .spatial import cell, nearest_within, radius_join
 
 #: Room for cell numbers on either side of zero in a cluster id, and sectors of heading.
 OFFSET, WIDTH, SECTORS = 1 << 20, 1 << 21, 16
@@ -75,6 +75,45 @@ def moved_neighbours(before: DataFrame, after: DataFrame, settings: Settings = S
     return near.select(F.col("l_id").alias("moved"), F.col("r_id").alias("near"))
 
 
+def merged(assigned: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """assigned after rounds of merging close clusters and dealing points anew; those of the last preparations and of the map itself, or until nothing changes.
+
+    Dealt anew are the points of merged clusters, and of moved ones and all near them: to the nearest cluster, else to the
+    nearest after those moves. What is still without one founds clusters in order of time, named by a hash of founder and round."""
+    pose = ("id", "x", "y", "orientation")
+    known = graph.settled(cluster_stats(assigned).select(*pose))
+    for k in range(settings.final_prepare_rounds + 1):
+        pairs = graph.settled(merge_pairs(cluster_stats(assigned), settings))
+        if not pairs.isEmpty():
+            joined = assigned.join(pairs.withColumnRenamed("gone", "id"), "id", "left")
+            assigned = graph.settled(joined.withColumn("id", F.coalesce("keep", "id")).select(*assigned.columns))
+        sites = graph.settled(cluster_stats(assigned).select(*pose))
+        moved = graph.settled(moved_neighbours(known, sites, settings))
+        if pairs.isEmpty() and moved.isEmpty():
+            break
+        known = graph.settled(sites.join(moved.select(F.col("moved").alias("id")), "id", "left_semi").unionByName(known.join(moved.select(F.col("moved").alias("id")), "id", "left_anti").join(sites.select("id"), "id", "left_semi")))
+        again = pairs.select(F.col("keep").alias("id")).unionByName(moved.select(F.col("near").alias("id"))).distinct()
+        queue = graph.settled(assigned.join(again, "id", "left_semi"))
+
+        def dealt(rows: DataFrame, sites: DataFrame) -> tuple[DataFrame, DataFrame]:
+            """(point_id, to) of the rows with a cluster in reach, and the other rows."""
+            to = graph.settled(nearest_within(rows, sites, settings.cluster_radius, angular_weight=settings.angular_weight).select("point_id", F.col("id").alias("to")))
+            return to, graph.settled(rows.join(to, "point_id", "left_anti"))
+
+        def placed(to: DataFrame, assigned: DataFrame) -> DataFrame:
+            return graph.settled(assigned.join(to, "point_id", "left").withColumn("id", F.coalesce("to", "id")).select(*assigned.columns))
+
+        to, left = dealt(queue, sites)
+        assigned = placed(to, assigned)
+        if not left.isEmpty():
+            to, left = dealt(left, cluster_stats(assigned))
+            founded = leader_clusters(left, settings).select("point_id", F.xxhash64("id", F.lit(k)).alias("to"))
+            assigned = placed(to.unionByName(founded), assigned)
+        new = cluster_stats(assigned).select(*pose).join(known.select("id"), "id", "left_anti")
+        known = graph.settled(known.unionByName(new))
+    return assigned
+
+
 def _wrap(a: np.ndarray) -> np.ndarray:
     return (a + 180) % 360 - 180
 

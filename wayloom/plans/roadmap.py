@@ -37,18 +37,19 @@ class RoadMap:
 
 
 def road_map(state: State, settings: Settings = Settings(), mode: str = "grid", method: int | None = None) -> RoadMap:
-    """Assigns points, finds waypoints, zones and statistics, suppresses edges in the order little used, redundant,
-    disconnected, adds what zones need, and draws areas. mode: 'grid' or 'leader' clusters; method None: direct edges only."""
+    """Assigns points, merges clusters, finds waypoints, zones and statistics, suppresses edges in the order little used, redundant,
+    disconnected, adds what zones need, and draws areas. mode: 'grid' or 'leader' clusters; method: of waypoints, None for that of the settings."""
     if mode == "leader":
         founded = cluster.leader_clusters(state.points, settings)
         assigned = graph.settled(state.points.join(founded, "point_id"))
     else:
         assigned = graph.settled(cluster.grid_clusters(state.points, settings))
+    assigned = cluster.merged(assigned, settings)
     vertices = graph.settled(cluster.cluster_stats(assigned))
     links = graph.settled(connect.linked(state.edges, assigned).join(tags.propagated(state.edges, settings), ["a_point_id", "b_point_id"], "left"))
-    if method is not None:
-        wanted = links.select("src", "dst").distinct()
-        links = graph.settled(connect.direct_links(links, paths.connect(wanted, vertices, settings, method, state.points)))
+    wanted = links.select("src", "dst").distinct()
+    ways = graph.settled(paths.connect(wanted, vertices, settings, method, state.points))
+    links = graph.settled(connect.direct_links(links, ways))
     statistics = graph.settled(connect.statistics(links))
 
     zone = tags.zones(tags.majority(links, settings), tags.seeds(assigned))
