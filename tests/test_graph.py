@@ -93,3 +93,32 @@ def test_area_height(spark):
     v = spark.createDataFrame([(1, 5.0, 5.0, 100.0), (2, 50.0, 5.0, 300.0), (3, 99.0, 99.0, 1.0)], "id bigint, x double, y double, z double")
     got = roads.area_heights(a, m, v).collect()
     assert len(got) == 1 and {p["z"] for p in got[0]["ring"]} == {100.0}
+
+
+def test_useful_parts_of_runs():
+    # entry 1 -> 2, digger at 4, exit 5 -> 6; a truck enters, loads and leaves in one run; (3, 2) was only driven backwards
+    zone = {v: "L" for v in (2, 3, 4, 5)}
+    pose = {v: (30.0 * v, 0.0, 0.0) for v in range(1, 7)}
+    live, travel = [(1, 2), (3, 4), (5, 6)], [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6)]
+    run = [(2, 20), (2, 21), (3, 30), (4, 40), (5, 50)]
+    got, points = areas.useful_part(zone, live, pose, [("L", run)], {}, {4}, Settings(), travel)
+    assert got == [(2, 3, "H"), (3, 4, "H"), (4, 5, "H")] and points == {20, 21, 30, 40, 50}
+    got, points = areas.useful_part(zone, live, pose, [], {}, {4}, Settings(), travel)
+    assert got == [(2, 3, "D"), (3, 4, "D"), (4, 5, "D")] and not points  # over suppressed and reversed edges
+    back = areas.subwalks([(2, 20), (5, 50)], 2, {5}, {(5, 2): (5, 4, 3, 2)})
+    assert list(back) == [(5, (2, 3, 4, 5), [20, 50], 1)]
+
+
+def test_useful_ways_in_zones(spark):
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    vertices = df([(v, 30.0 * v, 0.0, 0.0) for v in range(1, 7)], "id bigint, x double, y double, orientation double")
+    zone = df([(v, "L") for v in (2, 3, 4, 5)], "id bigint, meta string")
+    links = df([(1, 2, False), (3, 2, True), (3, 4, False), (4, 5, False), (5, 6, False)], "src bigint, dst bigint, rev boolean")
+    live = df([(1, 2), (3, 4), (5, 6)], "src bigint, dst bigint")
+    chained = df([("a", 1, i, 10 + i, 11 + i) for i in range(5)], "vehicle string, chain bigint, seq bigint, a_point_id bigint, b_point_id bigint")
+    at = df([(10 + i, 1 + i) for i in range(6)], "point_id bigint, id bigint")
+    none = df([], "id bigint, partner bigint")
+    found = areas.useful_ways(live, vertices, zone, areas.zone_runs(areas.chain_points(chained).join(at, "point_id"), zone), none, df([(4,)], "id bigint"), links)
+    found = graph.settled(found)
+    assert {tuple(r) for r in areas.needed_edges(found).collect()} == {(2, 3, "H"), (3, 4, "H"), (4, 5, "H")}
+    assert {r["src"] for r in found.filter("kind = 'P'").collect()} == {11, 12, 13, 14}

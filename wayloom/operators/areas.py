@@ -5,6 +5,8 @@ from __future__ import annotations
 import heapq
 import math
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..settings import Settings
 from . import graph
+from .cluster import cluster_stats
+from .connect import desired
 from .paths import dubins
 from .spatial import opposite_lane
 
@@ -145,12 +149,36 @@ def area_rings(segments: DataFrame, out: float, back: float = 0.0, size: float =
     return segments.groupBy("area").applyInPandas(run, "area string, n int, ring array<struct<x: double, y: double, z: double>>")
 
 
-def useful_part(zone_meta: dict[int, str], edges: list[tuple[int, int]], pose: dict[int, tuple[float, float, float]], observed: dict[tuple[int, ...], int], barred: dict[int, set[int]], targets: set[int], settings: Settings) -> list[tuple[int, int, str]]:
-    """The edges of one connected part that ways through its zones need: (src, dst, 'H' observed or 'D' by Dubins length).
+def subwalks(run: list[tuple[int, int]], source: int, goals: set[int], ways: dict[tuple[int, int], tuple[int, ...]]) -> Iterator[tuple[int, tuple[int, ...], list[int], int]]:
+    """(goal, path, points, support) of the parts of a run of (cluster, point) from the source until they touch a goal.
 
-    Wanted are ways from each entry to each exit of a meta zone that are no turn-back, and to and from equipment places."""
+    Each point in the source begins a walk of its own. Paths go by the waypoints of connections, backwards where only the opposite one is there."""
+    stays = [(v, [p for _, p in g]) for v, g in groupby(run, key=lambda r: r[0])]
+    for i, (start, own) in enumerate(stays):
+        if start != source:
+            continue
+        path, points = [start], list(own)
+        for at, more in stays[i + 1 :]:
+            last = path[-1]
+            if (last, at) in ways:
+                path.extend(ways[last, at][1:])
+            elif (at, last) in ways:
+                path.extend(ways[at, last][-2::-1])
+            else:
+                path.append(at)
+            if at in goals:
+                yield at, tuple(path), [*points, more[0]], len(own)
+            points.extend(more)
+
+
+def useful_part(zone_meta: dict[int, str], edges: list[tuple[int, int]], pose: dict[int, tuple[float, float, float]], runs: list[tuple[str, list[tuple[int, int]]]], barred: dict[int, set[int]], targets: set[int], settings: Settings, travel: list[tuple[int, int]] | None = None, ways: dict[tuple[int, int], tuple[int, ...]] | None = None) -> tuple[list[tuple[int, int, str]], set[int]]:
+    """The edges of one connected part that ways through its zones need: (src, dst, 'H' observed or 'D' by Dubins length), and the points of the observed ways.
+
+    Wanted are ways from each entry to each exit of a meta zone that are no turn-back, and to and from equipment places. Live
+    edges enter and leave; ways go on all edges that were travelled, in the direction of travel. runs: (meta, [(cluster, point)]);
+    ways: waypoints by connection."""
     out, back = defaultdict(set), defaultdict(set)
-    for a, b in edges:
+    for a, b in edges if travel is None else travel:
         out[a].add(b)
         back[b].add(a)
     entries = sorted((a, b) for a, b in edges if a not in zone_meta and b in zone_meta)
@@ -180,13 +208,25 @@ def useful_part(zone_meta: dict[int, str], edges: list[tuple[int, int]], pose: d
                 if zone_meta[tail] == zone_meta[place]:
                     wanted[place].add(tail)
     need: set[tuple[int, int, str]] = set()
+    support: set[int] = set()
+    by_source: dict[int, list[list[tuple[int, int]]]] = defaultdict(list)
+    for _, run in runs:
+        for v in {v for v, _ in run}:
+            if v in wanted:
+                by_source[v].append(run)
     for source in sorted(wanted):
         goals = set(wanted[source])
-        for goal in sorted(goals):
-            ways = sorted(((-n, p) for p, n in observed.items() if p[0] == source and p[-1] == goal))
-            if ways:
-                need.update((a, b, "H") for a, b in zip(ways[0][1], ways[0][1][1:], strict=False))
-                goals.discard(goal)
+        seen: dict[int, dict[tuple[int, ...], list]] = defaultdict(dict)
+        for run in by_source[source]:
+            for goal, path, points, n in subwalks(run, source, goals, ways or {}):
+                held = seen[goal].setdefault(path, [0, set()])
+                held[0] += n
+                held[1].update(points)
+        for goal, found in sorted(seen.items()):
+            path = min(found, key=lambda p: (-found[p][0], p))  # noqa: B023
+            need.update((a, b, "H") for a, b in zip(path, path[1:], strict=False))
+            support |= found[path][1]
+            goals.discard(goal)
         if not goals:
             continue
         cost, before, queue, done = {source: 0.0}, {}, [(0.0, source)], set()
@@ -205,51 +245,86 @@ def useful_part(zone_meta: dict[int, str], edges: list[tuple[int, int]], pose: d
             while goal in before:
                 need.add((before[goal], goal, "D"))
                 goal = before[goal]
-    return sorted(need)
+    return sorted(need), support
 
 
-def zone_walks(steps: DataFrame, zone_meta: DataFrame) -> DataFrame:
-    """(path, support): runs of clusters that vehicles drove inside one meta zone, and how often. steps: (vehicle, chain, seq, id)."""
+def chain_points(chained: DataFrame) -> DataFrame:
+    """(vehicle, chain, seq, point_id): every point of unbroken runs of pairs, the last one of each included."""
+    last = Window.partitionBy("vehicle", "chain").orderBy(F.desc("seq"))
+    ends = chained.withColumn("n", F.row_number().over(last)).filter("n = 1").select("vehicle", "chain", (F.col("seq") + 1).alias("seq"), F.col("b_point_id").alias("point_id"))
+    return chained.select("vehicle", "chain", "seq", F.col("a_point_id").alias("point_id")).unionByName(ends)
 
 
+def zone_runs(steps: DataFrame, zone_meta: DataFrame) -> DataFrame:
+    """(meta, ids, points): the clusters and points of each run that a vehicle drove inside one meta zone. steps: (vehicle, chain, seq, point_id, id)."""
     w = Window.partitionBy("vehicle", "chain").orderBy("seq")
     rows = steps.join(zone_meta.select("id", "meta"), "id", "left").withColumn("new", F.when(F.lag("meta").over(w).eqNullSafe(F.col("meta")), 0).otherwise(1))
     rows = rows.withColumn("run", F.sum("new").over(w)).filter("meta is not null")
-    runs = rows.groupBy("vehicle", "chain", "run").agg(F.sort_array(F.collect_list(F.struct("seq", "id"))).alias("s"), F.first("meta").alias("meta"))
-    ids = F.col("s.id")
+    runs = rows.groupBy("vehicle", "chain", "run").agg(F.sort_array(F.collect_list(F.struct("seq", "id", "point_id"))).alias("s"), F.first("meta").alias("meta"))
+    return runs.select("meta", F.col("s.id").alias("ids"), F.col("s.point_id").alias("points"))
+
+
+def zone_walks(steps: DataFrame, zone_meta: DataFrame) -> DataFrame:
+    """(meta, path, support): runs of clusters that vehicles drove inside one meta zone, and how often."""
+    ids = F.col("ids")
     path = F.filter(F.transform(ids, lambda x, i: F.when((i == 0) | (F.get(ids, i - 1) != x), x)), lambda x: x.isNotNull())
-    return runs.select("meta", path.alias("path")).filter("size(path) > 1").groupBy("meta", "path").agg(F.count("*").alias("support"))
+    return zone_runs(steps, zone_meta).select("meta", path.alias("path")).filter("size(path) > 1").groupBy("meta", "path").agg(F.count("*").alias("support"))
 
 
-def useful_paths(edges: DataFrame, vertices: DataFrame, zone_meta: DataFrame, walks: DataFrame, partners: DataFrame, places: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(src, dst, kind): the edges inside zones that are needed. zone_meta: (id, meta); partners: (id, partner); places: (id)."""
+def useful_ways(edges: DataFrame, vertices: DataFrame, zone_meta: DataFrame, runs: DataFrame, partners: DataFrame, places: DataFrame, links: DataFrame, settings: Settings = Settings(), ways: DataFrame | None = None) -> DataFrame:
+    """(src, dst, kind): the edges inside zones that are needed, and as kind 'P' the points (src) that drove the observed ones.
+
+    edges: live ones; zone_meta: (id, meta); runs: as zone_runs; partners: (id, partner); places: (id); links: pairs of direct
+    edges, suppressed or not; ways: (src, dst, path) of connections."""
     edges, vertices, zone_meta = graph.settled(edges.select("src", "dst")), graph.settled(vertices.select("id", "x", "y", "orientation")), graph.settled(zone_meta)
-    label = graph.components(edges, "src", "dst")
+    driven = desired(links)
+    travel = driven.filter("fwd > 0").select("src", "dst").union(driven.filter("rev > 0").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    travel = graph.settled(travel.distinct())
+    label = graph.components(travel, "src", "dst")
     part = lambda df, c: df.join(label.withColumnRenamed("node", c), c)
     zoned = part(zone_meta, "id").select("label", "id", "meta")
     live = zoned.select("label").distinct()
-    none = lambda t: F.lit(None).cast(t)
-    rows = part(edges.select("src", "dst"), "src").select("label", F.lit("e").alias("k"), F.col("src").alias("a"), F.col("dst").alias("b"), none("string").alias("s"), none("array<bigint>").alias("p"), none("double").alias("x"), none("double").alias("y"), none("double").alias("h"))
-    add = lambda df, k, **c: df.select("label", F.lit(k).alias("k"), *(c.get(n, none(t)).alias(n) for n, t in (("a", "bigint"), ("b", "bigint"), ("s", "string"), ("p", "array<bigint>"), ("x", "double"), ("y", "double"), ("h", "double"))))
+    types = (("a", "bigint"), ("b", "bigint"), ("s", "string"), ("p", "array<bigint>"), ("q", "array<bigint>"), ("x", "double"), ("y", "double"), ("h", "double"))
+    add = lambda df, k, **c: df.select("label", F.lit(k).alias("k"), *(c.get(n, F.lit(None).cast(t)).alias(n) for n, t in types))
+    rows = add(part(edges, "src"), "e", a=F.col("src"), b=F.col("dst"))
+    rows = rows.unionByName(add(part(travel, "src"), "r", a=F.col("src"), b=F.col("dst")))
     rows = rows.unionByName(add(zoned, "z", a=F.col("id"), s=F.col("meta")))
     rows = rows.unionByName(add(part(vertices, "id"), "v", a=F.col("id"), x=F.col("x"), y=F.col("y"), h=F.col("orientation")))
-    first = walks.withColumn("id", F.get("path", 0))
-    rows = rows.unionByName(add(part(first, "id"), "w", b=F.col("support"), p=F.col("path")))
+    rows = rows.unionByName(add(part(runs.withColumn("id", F.get("ids", 0)), "id"), "w", s=F.col("meta"), p=F.col("ids"), q=F.col("points")))
     rows = rows.unionByName(add(part(partners.select("id", "partner"), "id"), "o", a=F.col("id"), b=F.col("partner")))
     rows = rows.unionByName(add(part(places.select("id"), "id"), "t", a=F.col("id")))
+    if ways is not None:
+        inner = ways.join(zone_meta.select(F.col("id").alias("src")), "src", "left_semi")
+        rows = rows.unionByName(add(part(inner, "src"), "c", a=F.col("src"), b=F.col("dst"), p=F.col("path")))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         of = lambda k: g[g["k"] == k]
         ints = lambda s: s.astype("int64").tolist()
+        both = lambda k: list(zip(ints(of(k)["a"]), ints(of(k)["b"]), strict=True))
         barred: dict[int, set[int]] = defaultdict(set)
-        for a, b in zip(ints(of("o")["a"]), ints(of("o")["b"]), strict=True):
+        for a, b in both("o"):
             barred[a].add(b)
-        v = of("v")
-        observed = {tuple(int(c) for c in p): int(n) for p, n in zip(of("w")["p"], of("w")["b"], strict=True)}
-        got = useful_part(
-            dict(zip(ints(of("z")["a"]), of("z")["s"], strict=True)), list(zip(ints(of("e")["a"]), ints(of("e")["b"]), strict=True)),
-            dict(zip(ints(v["a"]), zip(v["x"], v["y"], v["h"], strict=True), strict=True)), observed, barred, set(ints(of("t")["a"])), settings,
+        v, w = of("v"), of("w")
+        driven = [(s, list(zip(map(int, p), map(int, q), strict=True))) for s, p, q in zip(w["s"], w["p"], w["q"], strict=True)]
+        paths = {e: tuple(map(int, p)) for e, p in zip(both("c"), of("c")["p"], strict=True)}
+        got, points = useful_part(
+            dict(zip(ints(of("z")["a"]), of("z")["s"], strict=True)), both("e"),
+            dict(zip(ints(v["a"]), zip(v["x"], v["y"], v["h"], strict=True), strict=True)), driven, barred, set(ints(of("t")["a"])), settings, both("r"), paths,
         )
-        return pd.DataFrame(got, columns=["src", "dst", "kind"]).astype({"src": "int64", "dst": "int64"})
+        rows = [*got, *((p, 0, "P") for p in sorted(points))]
+        return pd.DataFrame(rows, columns=["src", "dst", "kind"]).astype({"src": "int64", "dst": "int64"})
+
+    return rows.join(live, "label", "left_semi").groupBy("label").applyInPandas(run, "src bigint, dst bigint, kind string")
+
+
+def needed_edges(found: DataFrame) -> DataFrame:
+    """(src, dst, kind) of the edges of useful_ways."""
+    return found.filter("kind != 'P'").groupBy("src", "dst").agg(F.max("kind").alias("kind"))
+
 
-    return rows.join(live, "label", "left_semi").groupBy("label").applyInPandas(run, "src bigint, dst bigint, kind string").groupBy("src", "dst").agg(F.max("kind").alias("kind"))
+def overridden(vertices: DataFrame, assigned: DataFrame, found: DataFrame) -> DataFrame:
+    """vertices, those on observed ways with the statistics of the points that drove them."""
+    driven = found.filter("kind = 'P'").select(F.col("src").alias("point_id")).distinct()
+    better = cluster_stats(assigned.join(driven, "point_id", "left_semi"))
+    kept = vertices.join(better.select("id"), "id", "left_anti")
+    return kept.unionByName(better.join(vertices.select("id"), "id", "left_semi"))

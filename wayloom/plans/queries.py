@@ -491,16 +491,16 @@ def useful_paths(w: World) -> DataFrame:
     """The edges inside zones that ways from entries to exits, and to equipment, need."""
     s = w.settings
     zone = graph.settled(_zone_meta(w))
-    steps = tags.chains(w.edges).select("vehicle", "chain", "seq", F.col("a_point_id").alias("point_id")).join(w.assigned.select("point_id", "id"), "point_id")
+    steps = areas.chain_points(tags.chains(w.edges)).join(w.assigned.select("point_id", "id"), "point_id")
     partners = spatial.opposite_lane(w.vertices, s.intersection_search_radius, s.intersection_search_angular_threshold, s.roadnetwork_driving_side)
     places = spatial.nearest_any(w.diggers.unionByName(w.dumps), w.vertices, "name").select("id").distinct()
-    return areas.useful_paths(w.live, w.vertices, zone, areas.zone_walks(steps, zone), partners, places, s)
+    return areas.needed_edges(areas.useful_ways(w.live, w.vertices, zone, areas.zone_runs(steps, zone), partners, places, w.links, s))
 
 
 @query()
 def zone_walks(w: World) -> DataFrame:
     """Runs of clusters driven inside one meta zone, and how often."""
-    steps = tags.chains(w.edges).select("vehicle", "chain", "seq", F.col("a_point_id").alias("point_id")).join(w.assigned.select("point_id", "id"), "point_id")
+    steps = areas.chain_points(tags.chains(w.edges)).join(w.assigned.select("point_id", "id"), "point_id")
     return areas.zone_walks(steps, _zone_meta(w)).select("meta", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), "support")
 
 

@@ -66,18 +66,18 @@ def road_map(state: State, settings: Settings = Settings(), mode: str = "grid",
     zone_meta = graph.settled(zone.join(meta, "tag").select("id", "meta"))
     a, b = zone.select(F.col("id").alias("src"), F.col("tag").alias("za")), zone.select(F.col("id").alias("dst"), F.col("tag").alias("zb"))
     outside = live.join(a, "src", "left").join(b, "dst", "left").filter("za is null or zb is null or za != zb").select("src", "dst")
-    steps = tags.chains(state.edges).select("vehicle", "chain", "seq", F.col("a_point_id").alias("point_id")).join(assigned.select("point_id", "id"), "point_id")
+    steps = areas.chain_points(tags.chains(state.edges)).join(assigned.select("point_id", "id"), "point_id")
     partners = areas.opposite_lane(vertices, settings.intersection_search_radius, settings.intersection_search_angular_threshold, settings.roadnetwork_driving_side)
     places = zone_meta.select("id").limit(0)
     if state.diggers is not None:
         near = spatial.nearest_any(state.diggers.unionByName(state.dumps, allowMissingColumns=True), vertices, "name")
         places = near.select("id").distinct()
-    needed = areas.useful_paths(live, vertices, zone_meta, areas.zone_walks(steps, zone_meta), partners, places, settings)
-    kept = outside.unionByName(needed.select("src", "dst")).distinct()
+    found = graph.settled(areas.useful_ways(live, vertices, zone_meta, areas.zone_runs(steps, zone_meta), partners, places, links, settings, ways))
+    kept = outside.unionByName(areas.needed_edges(found).select("src", "dst")).distinct()
     edges = graph.settled(kept.join(statistics, ["src", "dst"], "left").select("src", "dst", F.coalesce("weight", F.lit(0)).alias("weight"), "last_traversal"))
 
     ends = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
-    shown = graph.settled(vertices.join(ends, "id"))
+    shown = graph.settled(areas.overridden(vertices.join(ends, "id"), assigned, found))
     crossing = graph.settled(areas.intersections(edges, shown, zone, settings))
     member = crossing.select(F.concat(F.lit("intersection_"), F.col("area").cast("string")).alias("area"), "id")
     member = graph.settled(member.unionByName(zone.join(ends, "id").select(F.col("tag").alias("area"), "id")))
