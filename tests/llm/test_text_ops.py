@@ -1,4 +1,5 @@
 import collections
+import datetime
 import hashlib
 import random
 import re
@@ -9,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from wayloom.llm import bitpack, bpe, decontam, fracminhash, jaccard, queries, secrets, shingles
+from wayloom.llm import bitpack, bpe, decontam, fracminhash, jaccard, queries, secrets, shingles, url_filters
 from wayloom.llm.common import fresh_path
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -279,3 +280,12 @@ def test_sketch_estimates_and_merges(spark):
     s = {c: fracminhash.sketch(F.col(c)) for c in "abc"}
     r = df.select(fracminhash.likeness(s["a"], s["b"]).alias("ab"), fracminhash.likeness(s["a"], s["c"]).alias("ac"), fracminhash.likeness(fracminhash.merged(s["b"], s["c"]), s["c"]).alias("m")).first()
     assert r["ab"] == 1.0 and r["ac"] == 0.0 and r["m"] == 1.0
+
+
+def test_url_prefixes_of_any_depth(spark):
+    day = datetime.date(2024, 1, 1)
+    events = spark.createDataFrame([("prefix", "a.org/1/2/3/4/5/6", "add", day)], "kind string, entry string, action string, since date")
+    urls = ["https://a.org/1/2/3/4/5/6", "https://a.org/1/2/3/4/5/6/7/8?q", "https://a.org/1/2/3/4/5/67", "https://a.org/1/2/3/4/5", "https://a.org/"]
+    pages = spark.createDataFrame([(i, u, day) for i, u in enumerate(urls)], "page_id bigint, url string, fetched_at date")
+    got = {r["page_id"]: r["blocked"] for r in url_filters.temporal_join(pages, events).collect()}
+    assert got == {0: True, 1: True, 2: False, 3: False, 4: False}

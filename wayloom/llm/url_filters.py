@@ -52,10 +52,12 @@ def _asked(captures: DataFrame, url: str, key: str, at: str, depth: int) -> Data
     return rows.select("id", "at", "host", F.explode_outer(every).alias("e")).select("id", "at", "host", "e.kind", "e.entry")
 
 
-def temporal_join(captures: DataFrame, events: DataFrame, url: str = "url", key: str = "page_id", at: str = "fetched_at", depth: int = 4) -> DataFrame:
+def temporal_join(captures: DataFrame, events: DataFrame, url: str = "url", key: str = "page_id", at: str = "fetched_at") -> DataFrame:
     """(key, host, at, n_active, active, since, blocked) of each distinct capture (key, url, at); `active` lists kind:entry, sorted; `since` is the latest start."""
     spans, _ = written(intervals(events), "intervals")
     n = spans.count()
+    deepest = spans.filter("kind = 'prefix'").agg(F.max(F.size(F.split("entry", "/")))).first()[0]
+    depth = max(0, (deepest or 1) - 1)  # no beginning with more segments than the longest entry can match
     keys = spans.select("kind", "entry").distinct()
     asked = _asked(captures, url, key, at, depth)
     met = asked.join(small_side(keys, n), ["kind", "entry"], "left_semi").join(spans, ["kind", "entry"])
