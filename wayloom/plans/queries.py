@@ -335,19 +335,16 @@ def vertex_degrees(w: World) -> DataFrame:
 
 @query(o.sql("SELECT src, dst, s0, d0, step FROM rd", o.PAIRS, o.CLUSTERS, o.LINKS, _DEGREES, _ROADS, recursive=True))
 def roads_of_edges(w: World) -> DataFrame:
-    """Each edge with its road's first edge and its place; rings without forks, which have no first edge of their own, are left to the tests."""
-    placed = roads.chains(w.live)
-    ends = graph.degrees(w.live).filter("not (outs = 1 and ins = 1)").select(F.col("id").alias("s0"))
-    return placed.select("src", "dst", F.col("road.s").alias("s0"), F.col("road.d").alias("d0"), "step").join(ends, "s0", "left_semi")
+    """Each edge with its road's first edge and its place; a ring without forks begins at its smallest edge. The SQL has no such rings, nor have the given tables."""
+    return roads.chains(w.live).select("src", "dst", F.col("road.s").alias("s0"), F.col("road.d").alias("d0"), "step")
 
 
 @query(o.sql("""SELECT r.s0 AS source, arg_max(r.dst, r.step) AS target, count(*) AS length, CAST(floor(any_value(w.s) / count(*)) AS BIGINT) AS weight, CAST(floor(any_value(w.t)) AS BIGINT) AS last_traversal FROM rd r
 JOIN (SELECT n1.s0, n1.d0, sum(lv.weight) AS s, avg(lv.last_traversal) AS t FROM lv JOIN nd n1 ON n1.id = lv.src JOIN nd n2 ON n2.id = lv.dst AND n1.s0 = n2.s0 AND n1.d0 = n2.d0 GROUP BY 1, 2) w ON w.s0 = r.s0 AND w.d0 = r.d0 GROUP BY r.s0, r.d0""", o.PAIRS, o.CLUSTERS, o.LINKS, _DEGREES, _ROADS,
   "nd AS (SELECT s0, d0, src AS id FROM rd UNION SELECT s0, d0, dst FROM rd)", recursive=True))
 def road_summaries(w: World) -> DataFrame:
-    rows = roads.summaries(w.live, w.vertices)
-    ends = graph.degrees(w.live).filter("not (outs = 1 and ins = 1)").select(F.col("id").alias("source"))
-    return rows.select("source", "target", "length", "weight", "last_traversal").join(ends, "source", "left_semi")
+    """Every road; rings without forks, which the SQL does not have, are among them."""
+    return roads.summaries(w.live, w.vertices).select("source", "target", "length", "weight", "last_traversal")
 
 
 @query()
