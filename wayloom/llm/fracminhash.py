@@ -1,9 +1,11 @@
 """Document fingerprints as threshold-scaled sketches, in DataFrame functions only.
 
 A fingerprint keeps every distinct word-shingle hash below a fixed fraction of the hash range, and the least
-hash of all, so no text with words is without one. Sketches of any two texts compare, however unequal: the
-shared hashes over those of the smaller sketch estimate containment. The union of two sketches is the sketch
-of the union. Equal texts have equal fingerprints.
+hash of all, so no text with words is without one. The shared hashes over those of the smaller sketch estimate
+containment, however unequal the texts, with one limit: a text with no hash below the fraction keeps only its
+least one, which no sketch of a longer text with hashes below the fraction holds, so its likeness to that one is 0
+even if it stands in it whole. For n shingles the chance is 0.75^n: 75 % up to 5 words, 24 % at 9, 1 % at 20. The
+union of two sketches is the sketch of the union. Equal texts have equal fingerprints.
 
 Null texts count as empty; texts without words have an empty fingerprint, like (1) another empty one and
 unlike (0) all others. With fewer words than a shingle has, the whole sequence is one.
