@@ -14,7 +14,7 @@ from wayloom.llm import bitpack, bpe, decontam, fracminhash, jaccard, queries, s
 from wayloom.llm.common import fresh_path
 
 tokenizers = pytest.importorskip("tokenizers")
-BYTE, WORD = f"{queries.TOKENIZERS}/byte_bpe_50k.json", f"{queries.TOKENIZERS}/word_bpe_49k.json"
+BYTE, WORD = queries.BYTE_BPE, queries.WORD_BPE
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Nulls, empty, long and repeated texts, ties, and columns whose names operators use inside.
 ROWS = [
@@ -282,6 +282,45 @@ def test_sketch_estimates_and_merges(spark):
     assert r["ab"] == 1.0 and r["ac"] == 0.0 and r["m"] == 1.0
 
 
+def brute_blocked(url, at, events):
+    """Entries active for a URL at a time, straight from the events."""
+    m = re.match(r"(?i:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)[^/?#]*([^?#]*)", url or "")
+    if not m or at is None:
+        return set()
+    host, path = m[1].lower().removesuffix("."), [s for s in m[2].split("/") if s]
+    own = {("host", host), ("prefix", host)} | {("prefix", "/".join([host, *path[:i]])) for i in range(1, len(path) + 1)}
+    own |= {("domain", host)} if host[0] == "[" or re.fullmatch(r"[0-9]+(\.[0-9]+){3}", host) else {("domain", ".".join(host.split(".")[i:])) for i in range(host.count(".") + 1)}
+    found = set()
+    for kind, entry in own:
+        past = sorted((s, a == "remove") for k, e, a, s in events if e is not None and (k, e.split("/")[0].lower() + e[len(e.split("/")[0]) :]) == (kind, entry) and s is not None and s <= at)
+        if past and not any(off for s, off in past if s == past[-1][0]):
+            found.add(f"{kind}:{entry}")
+    return found
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_url_filters_are_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filters, "HOT_ROWS", 7)
+    rng = random.Random(8)
+    hosts = ["a.org", "b.a.org", "C.b.a.ORG", "10.0.0.1", "[2001:db8::1]", "x.com."]
+    path = lambda: "/".join(rng.choice(["A", "a", "b"]) for _ in range(rng.randrange(0, 9)))
+    day = lambda: datetime.date(2024, 1, 1 + rng.randrange(20))
+    events = [(k, rng.choice(["a.org", "b.a.org", "10.0.0.1", "0.1", "[2001:db8::1]", "x.com", "com", "org", None]), rng.choice(["add", "add", "remove"]), day()) for k in ("host", "domain") for _ in range(12)]
+    events += [("prefix", f"{rng.choice(['a.org', 'B.a.org'])}/{path()}".rstrip("/"), rng.choice(["add", "add", "remove"]), day()) for _ in range(60)]
+    caps = [(rng.choice([None, 1, 2, i]), rng.choice(["http://", "//", "HTTPS://u:p@"]) + rng.choice(hosts) + rng.choice(["", ":80"]) + "/" + path() + rng.choice(["", "/", "?q", "#f"]), rng.choice([None, day(), day()])) for i in range(300)]
+    caps += [(1, None, day()), (None, None, None), (3, "", day()), (4, "nonsense", day()), (5, "http://", day()), (1, "http://a.org/A/b", day()), (1, "http://a.org/y", day())]
+    caps += caps[:40]
+    events_df = spark.createDataFrame(events, "kind string, entry string, action string, since date")
+    rows = [(*c, "clash", 1, "x", True) for c in caps]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, fetched_at date, host string, n_active int, kind string, salt boolean")
+    got = collections.Counter((r["page_id"], r["url"], r["fetched_at"], r["active"], r["n_active"], r["blocked"]) for r in url_filters.temporal_join(df, events_df, most=most).collect())
+    want = collections.Counter()
+    for k, u, at in caps:
+        found = sorted(brute_blocked(u, at, events))
+        want[k, u, at, ",".join(found), len(found), bool(found)] += 1
+    assert got == want and sum(n for (*_, b), n in want.items() if b) > 60
+
+
 def test_url_prefixes_of_any_depth(spark):
     day = datetime.date(2024, 1, 1)
     events = spark.createDataFrame([("prefix", "a.org/1/2/3/4/5/6", "add", day)], "kind string, entry string, action string, since date")

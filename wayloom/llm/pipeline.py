@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, decontam, jaccard, secrets, toxicity
 from .common import row_key, small_side, table, tuned, written
-from .queries import TOKENIZERS
+from .queries import BYTE_BPE
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: token counts and digests of each kept document."""
-    return bpe.round_trip(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.round_trip(docs, BYTE_BPE)
 
 
 STAGES = [("toxicity", toxic_out), ("near duplicates", near_out), ("benchmark leaks", leaks_out), ("secrets", secrets_out), ("tokens", tokens)]

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bitpack, bpe, decontam, fracminhash, jaccard, quality, secrets, toxicity, transcripts, url_filters
 from .common import fresh_path, table, written
 
-#: Folder of public tokenizer files, the same on every machine.
-TOKENIZERS = os.environ.get("WAYLOOM_TOKENIZERS", "/opt/tokenizers")
+#: Tokenizer files of the installed package, the same on every machine.
+WORD_BPE, BYTE_BPE = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
 
 
 def page_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,17 +22,20 @@ def page_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def host_list(captures: DataFrame) -> DataFrame:
-    """A dated list (the tables have none), by the hash of each host: hosts, whole domains and paths that come, go and come back."""
-    hosts = captures.select(url_filters.host_of(F.col("url")).alias("host")).filter("host is not null").distinct()
+    """A dated list (the tables have none), by the hash of each host: hosts, whole domains and paths of one to six segments that
+    come, go and come back. The deeper paths are the beginnings of the host's least URL."""
+    hosts = captures.select(url_filters.host_of(F.col("url")).alias("host"), "url").filter("host is not null").groupBy("host").agg(F.min("url").alias("url"))
     of = lambda a: F.conv(F.substring(F.md5("host"), a, 2), 16, 10).cast("int")
     day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n)
-    rows = hosts.select("host", of(1).alias("h"), of(3).alias("a"), of(5).alias("b"))
+    rows = hosts.select("host", of(1).alias("h"), of(3).alias("a"), of(5).alias("b"), F.array_remove(F.split(F.regexp_extract("url", url_filters.PATH, 1), "/"), "").alias("s"))
     event = lambda kind, entry, action, since: F.struct(F.lit(kind).alias("kind"), entry.alias("entry"), F.lit(action).alias("action"), since.alias("since"))
-    host, parent, path = F.col("host"), F.regexp_replace("host", r"^[^.]+\.", ""), F.concat("host", F.lit("/en"))
+    host, parent = F.col("host"), F.regexp_replace("host", r"^[^.]+\.", "")
+    under = lambda path: F.concat_ws("/", host, path)
     a, b = F.col("a"), F.col("a") + F.col("b") + 1
     some = F.when(F.col("h") < 64, F.array(event("host", host, "add", day(a)), event("host", host, "remove", day(b)), event("host", host, "add", day(b + 30))))
     some = some.when(F.col("h") < 72, F.array(event("domain", parent, "add", day(a)), event("domain", parent, "remove", day(b))))
-    some = some.when(F.col("h") < 128, F.array(event("prefix", path, "add", day(a))))
+    some = some.when(F.col("h") < 100, F.array(event("prefix", under(F.lit("en")), "add", day(a))))
+    some = some.when(F.col("h") < 160, F.array(event("prefix", under(F.slice("s", F.lit(1), 1 + F.col("h") % 3)), "add", day(a)), event("prefix", under(F.lit("en/1/2/3/4/5")), "add", day(a))))
     return rows.select(F.explode(some).alias("e")).select("e.*")
 
 
@@ -65,7 +68,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text as ids in bit-packed files, read back; id 2 ends each document."""
     out = fresh_path(spark, "token-ids")
-    bitpack.write_ids(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", out, end_id=2)
+    bitpack.write_ids(table(spark, sf_dir, "documents"), WORD_BPE, out, end_id=2)
     return bitpack.read_documents(spark, out)
 
 
@@ -77,7 +80,7 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded."""
-    return bpe.round_trip(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return bpe.round_trip(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,15 +113,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 OP1_SQL = r"""
 WITH captures AS (
   SELECT page_id, url, DATE '2024-01-01' + CAST(((page_id * 7919) % 366 + 366) % 366 AS INTEGER) AS fetched_at,
-    nullif(rtrim(lower(regexp_extract(url, '^(?i:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.'), '') AS host
+    nullif(rtrim(lower(regexp_extract(url, '^(?i:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)', 1)), '.'), '') AS host,
+    list_filter(string_split(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x != '') AS s
   FROM pages),
 hosts AS (
-  SELECT host, ('0x' || substr(md5(host), 1, 2))::INT AS h, ('0x' || substr(md5(host), 3, 2))::INT AS a, ('0x' || substr(md5(host), 5, 2))::INT AS b
-  FROM (SELECT DISTINCT host FROM captures WHERE host IS NOT NULL)),
+  SELECT host, s, ('0x' || substr(md5(host), 1, 2))::INT AS h, ('0x' || substr(md5(host), 3, 2))::INT AS a, ('0x' || substr(md5(host), 5, 2))::INT AS b
+  FROM (SELECT host, arg_min(s, url) AS s FROM captures WHERE host IS NOT NULL GROUP BY host)),
 list AS (
-  SELECT 'host' AS kind, host AS entry, DATE '2024-01-01' + a AS since, DATE '2024-01-01' + (a + b + 1) AS until FROM hosts WHERE h < 64
-  UNION ALL SELECT 'host', host, DATE '2024-01-01' + (a + b + 31), NULL FROM hosts WHERE h < 64
-  UNION ALL SELECT 'prefix', host || '/en', DATE '2024-01-01' + a, NULL FROM hosts WHERE h BETWEEN 72 AND 127),
+  SELECT 'host' AS kind, host, host AS entry, DATE '2024-01-01' + a AS since, DATE '2024-01-01' + (a + b + 1) AS until FROM hosts WHERE h < 64
+  UNION ALL SELECT 'host', host, host, DATE '2024-01-01' + (a + b + 31), NULL FROM hosts WHERE h < 64
+  UNION ALL SELECT 'prefix', host, host || '/en', DATE '2024-01-01' + a, NULL FROM hosts WHERE h BETWEEN 72 AND 99
+  UNION ALL SELECT 'prefix', host, array_to_string(list_prepend(host, s[1:1 + h % 3]), '/'), DATE '2024-01-01' + a, NULL FROM hosts WHERE h BETWEEN 100 AND 159
+  UNION ALL SELECT 'prefix', host, host || '/en/1/2/3/4/5', DATE '2024-01-01' + a, NULL FROM hosts WHERE h BETWEEN 100 AND 159),
 events AS (
   SELECT regexp_replace(host, '^[^.]+\.', '') AS entry, DATE '2024-01-01' + a AS since, 0 AS off FROM hosts WHERE h BETWEEN 64 AND 71
   UNION ALL SELECT regexp_replace(host, '^[^.]+\.', ''), DATE '2024-01-01' + (a + b + 1), 1 FROM hosts WHERE h BETWEEN 64 AND 71),
@@ -126,12 +132,12 @@ one AS (SELECT entry, since, max(off) AS off FROM events GROUP BY ALL),
 turns AS (SELECT * FROM (SELECT *, lag(off, 1, 1) OVER (PARTITION BY entry ORDER BY since) AS was FROM one) WHERE off != was),
 domains AS (SELECT entry, since, until FROM (SELECT *, lead(since) OVER (PARTITION BY entry ORDER BY since) AS until FROM turns) WHERE off = 0),
 met AS (
-  SELECT page_id, kind || ':' || entry AS name, since FROM captures JOIN list ON kind = 'host' AND entry = host AND since <= fetched_at AND (until IS NULL OR fetched_at < until)
-  UNION ALL SELECT page_id, kind || ':' || entry, since FROM captures JOIN list ON kind = 'prefix' AND entry = host || '/' || split_part(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*(/[^?#]*)', 1), '/', 2) AND since <= fetched_at
-  UNION ALL SELECT page_id, 'domain:' || entry, since FROM captures JOIN domains ON (host = entry OR ends_with(host, '.' || entry)) AND since <= fetched_at AND (until IS NULL OR fetched_at < until)),
-said AS (SELECT page_id, list_sort(list_distinct(list(name))) AS names, max(since) AS since FROM met GROUP BY page_id)
-SELECT page_id, host, fetched_at, coalesce(len(names), 0)::BIGINT AS n_active, coalesce(array_to_string(names, ','), '') AS active, since, names IS NOT NULL AS blocked
-FROM captures LEFT JOIN said USING (page_id)
+  SELECT url, fetched_at, kind || ':' || entry AS name, since FROM captures c JOIN list l ON c.host = l.host AND since <= fetched_at AND (until IS NULL OR fetched_at < until)
+    AND (kind = 'host' OR starts_with(array_to_string(list_prepend(c.host, c.s), '/') || '/', entry || '/'))
+  UNION ALL SELECT url, fetched_at, 'domain:' || entry, since FROM captures JOIN domains ON (host = entry OR ends_with(host, '.' || entry) AND NOT regexp_matches(host, '^(\[.*|[0-9]+(\.[0-9]+){3})$')) AND since <= fetched_at AND (until IS NULL OR fetched_at < until)),
+said AS (SELECT url, fetched_at, list_sort(list_distinct(list(name))) AS names, max(since) AS since FROM met GROUP BY ALL)
+SELECT page_id, url, host, fetched_at, coalesce(len(names), 0)::BIGINT AS n_active, coalesce(array_to_string(names, ','), '') AS active, since, names IS NOT NULL AS blocked
+FROM captures LEFT JOIN said USING (url, fetched_at)
 """
 
 OP6_SQL = r"""
