@@ -266,20 +266,71 @@ def test_edited_texts(spark, monkeypatch, range_docs):
     assert fracminhash.compare_edited(empty(spark)).count() == 0
 
 
-def test_edited_ties_and_nulls(spark):
-    got = fracminhash.compare_edited(docs(spark)).collect()
-    assert len(got) == len(ROWS)
+@pytest.mark.parametrize("heavy", [False, True])
+def test_edited_ties_and_nulls(spark, monkeypatch, heavy):
+    monkeypatch.setattr(fracminhash, "RANGE_DOCS", 3)
+    monkeypatch.setattr(fracminhash, "HEAVY_RANGES", 2 if heavy else 1000)
+    rows = ROWS + [(5, f"again {i} and {i * i}") for i in range(20)] + [(None, f"nobody {i}") for i in range(20)] + [(2**63 - 1, f"top {i}") for i in range(12)]
+    got = fracminhash.compare_edited(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    tie = {r["text"]: r["h"] for r in spark.createDataFrame([(t or "",) for _, t in rows], "text string").selectExpr("text", "xxhash64(text) h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1] or ""], r[1] or ""), reverse=True)
+    want = collections.Counter()
+    for i, (k, t) in enumerate(order):
+        t, nxt = t or "", order[(i + 1) % len(order)][1] or ""
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        want[k, len(t), hashlib.sha256(edited.encode()).hexdigest()] += 1
+    assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
 
 
-def test_sketch_estimates_and_merges(spark):
+def test_sketch_estimates_containment(spark):
+    """Likeness against exact containment of word pairs, for texts of 1 to 10 000 words: contained, partly contained and disjoint."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    pairs_of = lambda t: {tuple(w[i : i + 2]) for w in [t.split()] for i in range(max(1, len(w) - 1))}
+    big = [" ".join(f"w{rng.randrange(5000)}" for _ in range(n)) for n in (400, 2000, 10_000)]
+    rows = []
+    for n in (1, 2, 3, 4, 6, 7, 8, 9, 10, 11, 20, 100, 390):
+        for _ in range(40):
+            b = rng.choice(big).split()
+            at = rng.randrange(len(b) - n)
+            part = b[at : at + n]
+            rows.append((n, " ".join(b), " ".join(part), "in"))
+            rows.append((n, " ".join(b), " ".join(f"u{rng.randrange(10**9)}" for _ in range(n)), "out"))
+            rows.append((n, " ".join(b), " ".join(part + [f"u{rng.randrange(10**9)}" for _ in range(n)]), "half"))
+    df = spark.createDataFrame(rows, "n int, a string, b string, how string").repartition(8)
+    fa, fb = (fracminhash.sketch(F.col(c)) for c in "ab")
+    got = df.select("n", "a", "b", "how", fa.alias("fa"), fb.alias("fb")).select("n", "a", "b", "how", fracminhash.likeness(F.col("fa"), F.col("fb")).alias("l"), fracminhash.evidence(F.col("fa"), F.col("fb")).alias("e")).collect()
+    errors = []
+    for r in got:
+        a, b = pairs_of(r["a"]), pairs_of(r["b"])
+        exact = len(a & b) / min(len(a), len(b))
+        if r["e"] and exact in (0.0, 1.0) and r["n"] > 1:
+            assert r["l"] == exact
+        if r["how"] == "half" and r["n"] >= 20:
+            errors.append(abs(r["l"] - exact))
+        if not r["e"]:
+            assert r["l"] == 0.0
+    assert np.mean(errors) < 0.05
+    short = [r["e"] == 0 for r in got if r["n"] >= 6 and r["how"] != "half"]
+    assert np.mean(short) < 0.01
+    assert not any(r["e"] == 0 for r in got if r["n"] >= 20)
+
+
+def test_sketch_merges(spark):
     from pyspark.sql import functions as F
 
     big = " ".join(f"w{i}" for i in range(6000))
     part = " ".join(f"w{i}" for i in range(500))
-    df = spark.createDataFrame([(big, part, "v " + " ".join(f"u{i}" for i in range(500)))], "a string, b string, c string")
-    s = {c: fracminhash.sketch(F.col(c)) for c in "abc"}
-    r = df.select(fracminhash.likeness(s["a"], s["b"]).alias("ab"), fracminhash.likeness(s["a"], s["c"]).alias("ac"), fracminhash.likeness(fracminhash.merged(s["b"], s["c"]), s["c"]).alias("m")).first()
-    assert r["ab"] == 1.0 and r["ac"] == 0.0 and r["m"] == 1.0
+    other = "v " + " ".join(f"u{i}" for i in range(500))
+    df = spark.createDataFrame([(big, part, other, "", "one", "two")], "a string, b string, c string, d string, e string, f string")
+    s = {c: fracminhash.sketch(F.col(c)) for c in "abcdef"}
+    near = lambda x, y: fracminhash.likeness(x, y)
+    union = fracminhash.merged(s["b"], s["c"])
+    r = df.select(near(s["a"], s["b"]).alias("ab"), near(s["a"], s["c"]).alias("ac"), near(union, s["c"]).alias("m"), near(s["d"], s["d"]).alias("dd"), near(s["d"], s["a"]).alias("da"), near(s["e"], s["f"]).alias("ef"), near(s["e"], s["e"]).alias("ee"), (fracminhash.merged(s["d"], s["b"]) == s["b"]).alias("du"), fracminhash.as_text(s["b"]).alias("t")).first()
+    assert (r["ab"], r["ac"], r["m"], r["dd"], r["da"], r["ef"], r["ee"], r["du"]) == (1.0, 0.0, 1.0, 1.0, 0.0, 0.0, 1.0, True)
+    assert re.fullmatch(r"([0-9A-F]{8})+", r["t"])
 
 
 def brute_blocked(url, at, events):
