@@ -137,7 +137,10 @@ def near_rows(seed, groups=25, copies=8):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard_is_brute_force(spark, seed, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 3 if seed == 1 else 256)
+    """With tiles, blocks and parts of usual size, and so small that all are cut."""
+    if seed == 1:
+        for name, small in (("BLOCK", 3), ("TILE_ROWS", 3), ("TILE_BLOCK", 2), ("PART_ROWS", 5), ("FAN_IN", 2)):
+            monkeypatch.setattr(jaccard, name, small)
     rows = near_rows(seed) + [(1000, None), (1001, ""), (1002, "one"), (1003, "one")]
     random.Random(seed).shuffle(rows)
     member, links = jaccard.jaccard_join(docs(spark, rows), count_links=True)
@@ -146,6 +149,63 @@ def test_jaccard_is_brute_force(spark, seed, monkeypatch):
     assert links.count() >= 0
 
 
+def template_rows(n, seed=5):
+    """Texts of one template, with own words scattered over it: most pairs share shingles, few are similar."""
+    rng = random.Random(seed)
+    base = [f"t{i}" for i in range(104)]
+    rows = []
+    for k in range(n):
+        w = list(base)
+        for i in rng.sample(range(104), rng.choice([1, 2, 4, 8, 24])):
+            w[i] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+def test_jaccard_of_templates(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE_ROWS", 50)
+    monkeypatch.setattr(jaccard, "TILE_BLOCK", 25)
+    monkeypatch.setattr(jaccard, "PART_ROWS", 100)
+    rows = template_rows(300)
+    member, _ = jaccard.jaccard_join(docs(spark, rows), count_links=True)
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in member.collect())
+    assert got == brute_components(rows)
+
+
+def test_jaccard_units_cover_all_pairs(spark, monkeypatch):
+    """Every pair of a large tile within the size band meets in exactly one unit, and no unit is large."""
+    monkeypatch.setattr(jaccard, "TILE_ROWS", 100)
+    monkeypatch.setattr(jaccard, "TILE_BLOCK", 40)
+    rng = random.Random(4)
+    rows = [(1, 0, k, rng.choice([30, 37, 38, 47, 48, 60, 75, 94, 100, 125]), 0, k) for k in range(500)]
+    tile = spark.createDataFrame(rows, "x bigint, lo bigint, y bigint, n bigint, q bigint, label bigint")
+    units = collections.defaultdict(list)
+    for r in jaccard._units(tile, 80).collect():
+        units[r["u"]].append(r)
+    met = collections.Counter()
+    for rs in units.values():
+        assert len(rs) <= 160
+        for i, r in enumerate(rs):
+            for s in rs[:i]:
+                if (r["own"] or r["side"] != s["side"]) and 100 * min(r["n"], s["n"]) >= 80 * max(r["n"], s["n"]):
+                    met[min(r["y"], s["y"]), max(r["y"], s["y"])] += 1
+    size = {k: n for _, _, k, n, _, _ in rows}
+    assert set(met) == {(a, b) for b in size for a in range(b) if 100 * min(size[a], size[b]) >= 80 * max(size[a], size[b])} and set(met.values()) == {1}
+
+
+def test_jaccard_one_id_of_two_texts(spark, monkeypatch):
+    """Each text of a repeated id is compared: 7 links with 1 by its short text, with 2 and 3 by its long one."""
+    monkeypatch.setattr(jaccard, "TILE_ROWS", 3)
+    monkeypatch.setattr(jaccard, "TILE_BLOCK", 2)
+    short, long = [f"s{i}" for i in range(40)], [f"l{i}" for i in range(200)]
+    other = [f"o{i}" for i in range(200)]
+    change = lambda w, at, by: " ".join(by if i == at else x for i, x in enumerate(w))
+    rows = [(7, " ".join(short)), (7, " ".join(long)), (1, change(short, 0, "a")), (2, change(long, 3, "b")), (3, change(long, 190, "c")), (8, " ".join(other)), (8, change(long, 100, "d")), (9, change(other, 100, "e")), (12, "far off " * 3)]
+    member, _ = jaccard.jaccard_join(docs(spark, rows), count_links=True)
+    got = {(r["doc_id"], r["component_id"]) for r in member.collect()}
+    assert got == {(k, 1) for k in (1, 2, 3, 7, 8, 9)} | {(12, 12)} and member.count() == len(rows)
+
+
 def test_jaccard_odd_rows(spark):
     member, _ = jaccard.jaccard_join(docs(spark))
     got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in member.collect()}

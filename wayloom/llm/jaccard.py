@@ -4,27 +4,34 @@ Two sets link when 100 * |A and B| >= percent * |A or B|. The join is exact up t
 1. Equal sets are one class, by digest; only its smallest doc_id goes on.
 2. A similar pair shares one of the first n - ceil(percent * n / 100) + 1 shingles of either set in any
    common order. The order is rare first, by a count sketch of fixed size over all documents, so common
-   passages seldom count. These shingles deal the documents into tiles, sorted by size.
+   passages seldom count. These shingles deal the documents into tiles, sorted by size. All that a pair
+   shares stands at or after the first shingle it shares, so the places there bound its overlap.
 3. In each tile, neighbours by size are candidates. Fixed per-size bitmaps bound their overlap from above;
    the rest are decided by intersecting the sorted arrays.
 4. Tiles whose documents are all in one component by now have nothing left to find. In the others, every
-   pair from two components within the size band is held against the bitmap bound, in numpy blocks. Documents
-   with a pair that passes are gathered by their tiles' smallest component, where pairs are decided exactly,
-   the most alike first, until what belongs together is joined. Rows move by document, never by pair, and no
-   link between components is lost.
+   pair from two components within the size band is held against the place and bitmap bounds, in numpy blocks.
+   A tile of more than TILE_ROWS rows is cut into size bands, and these into blocks: each pair of blocks that can
+   hold similar pairs is a unit of its own, so no task has a whole large tile. Documents with a pair that passes
+   are gathered by their units' smallest component, in parts of bounded rows and bytes, where pairs are decided
+   exactly, the most alike first, until what belongs together is joined. Rows move by document, never by pair,
+   and no link between components is lost.
 
 Null texts and texts without words have the empty set, which links with nothing. Rows without a doc_id
-have no component. Rows that share a doc_id count as one document. Other columns are ignored.
+have no component. Rows that share a doc_id count as one document, each of its texts being compared; n_links
+counts such a document once for each of its texts. Ids are taken as bigint; others become null. Other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import groups
@@ -32,14 +39,17 @@ from .common import lean, removed, small_side, written
 from .components import components
 from .shingles import shingle_sets
 
-#: Counters of the sketch that orders shingles by frequency: its size never grows with the input.
-SKETCH_BITS, SKETCH_CHUNK = 20, 1 << 14
+#: Counters of the sketch that orders shingles by frequency: its size never grows with the input; and chunks summed at once.
+SKETCH_BITS, SKETCH_CHUNK, FAN_IN = 20, 1 << 14, 64
 #: Documents for each range of shingle hashes, the most ranges (beyond, ranges grow), and postings gathered before they are dealt out.
 RANGE_DOCS, MOST_RANGES, FLUSH = 400, 1 << 18, 1_000_000
-#: Bytes of sets, at most, that one smallest component brings to a part before its tiles are spread.
-PART_BYTES = 8_000_000
-#: Classes in a block of a component when links are counted.
+#: Bytes of sets and rows, about, that one smallest component brings to a part before its units are spread.
+PART_BYTES, PART_ROWS = 8_000_000, 2000
+#: Rows of a tile that are one unit, and of a block of a larger one.
+TILE_ROWS, TILE_BLOCK = 2000, 1000
+#: Classes of a component that are one block when links are counted; with more, blocks grow and multiply by the square root.
 BLOCK = 256
+OPEN = "p bigint, lo bigint, u bigint, side int, own boolean, y bigint, n bigint, q bigint, label bigint"
 PAIR = "a bigint, b bigint"
 
 
@@ -82,26 +92,33 @@ def _features(docs: DataFrame, words: int) -> DataFrame:
                 yield pd.DataFrame({"kind": 0, "k": b["k"].iloc[at : at + len(some)], "n": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "body": [signature(s) for s in sets]})
                 at += len(some)
         chunks = [(i, c) for i, c in enumerate(sketch.reshape(-1, SKETCH_CHUNK)) if c.any()]
-        yield pd.DataFrame({"kind": 1, "k": [i for i, _ in chunks], "n": 0, "digest": b"", "body": [c.astype("<u4").tobytes() for _, c in chunks]})
+        yield pd.DataFrame({"kind": 1, "k": [i for i, _ in chunks], "n": TaskContext.get().partitionId(), "digest": b"", "body": [c.astype("<u4").tobytes() for _, c in chunks]})
 
     return docs.mapInPandas(lean(run), "kind int, k bigint, n bigint, digest binary, body binary")
 
 
 def _sketch(features: DataFrame) -> np.ndarray:
-    """The summed sketch: as many rows as it has chunks, whatever the input."""
+    """The summed sketch: FAN_IN tasks' chunks at a time, round by round; as many rows come back as it has chunks, whatever the input."""
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, dtype="<u4").astype(np.uint64) for x in rows["body"])
-        return pd.DataFrame({"k": [key[0]], "body": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
-
+        total = np.zeros(SKETCH_CHUNK, dtype=np.uint64)
+        for x in rows["body"]:
+            total += np.frombuffer(x, dtype="<u4")
+        return pd.DataFrame({"k": [key[0]], "n": [key[1]], "body": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
+
+    chunks = features.filter("kind = 1").select("k", "n", "body")
+    tasks = 1 + (chunks.agg(F.max("n")).first()[0] or 0)
+    while tasks > 1:
+        tasks = -(-tasks // FAN_IN)
+        chunks = chunks.withColumn("n", F.floor(F.col("n") / FAN_IN)).groupBy("k", "n").applyInPandas(add, "k bigint, n bigint, body binary")
     out = np.zeros((1 << SKETCH_BITS) // SKETCH_CHUNK * SKETCH_CHUNK, dtype=np.uint32).reshape(-1, SKETCH_CHUNK)
-    for r in features.filter("kind = 1").select("k", "body").groupBy("k").applyInPandas(add, "k bigint, body binary").toLocalIterator():
+    for r in chunks.toLocalIterator():
         out[r["k"]] = np.frombuffer(r["body"], dtype="<u4")
     return out.reshape(-1)
 
 
 def _postings(docs: DataFrame, sketch: np.ndarray, ranges: int, words: int, percent: int) -> DataFrame:
-    """The first shingles of each document in rare-first order, packed by range of the shingle hash."""
+    """The first shingles of each document in rare-first order with their places, packed by range of the shingle hash."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,12 +132,13 @@ def _postings(docs: DataFrame, sketch: np.ndarray, ranges: int, words: int, perc
             h = np.concatenate(hs)
             size = [len(x) for x in hs]
             k, n = np.repeat(np.array(ks, dtype=np.int64), size), np.repeat(np.array(ns, dtype=np.uint32), size)
+            q = np.concatenate([np.arange(x, dtype=np.uint32) for x in size])
             r = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
             by = np.argsort(r, kind="stable")
-            h, k, n, r = h[by], k[by], n[by], r[by]
+            h, k, n, q, r = h[by], k[by], n[by], q[by], r[by]
             first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
             cut = list(zip(first.tolist(), [*first[1:].tolist(), len(r)], strict=True))
-            return pd.DataFrame({"r": r[first], "h": [h[x:y].tobytes() for x, y in cut], "k": [k[x:y].tobytes() for x, y in cut], "n": [n[x:y].tobytes() for x, y in cut]})
+            return pd.DataFrame({"r": r[first], "h": [h[x:y].tobytes() for x, y in cut], "k": [k[x:y].tobytes() for x, y in cut], "n": [n[x:y].tobytes() for x, y in cut], "q": [q[x:y].tobytes() for x, y in cut]})
 
         for b in batches:
             texts, at = ["" if t is None else t for t in b["t"]], 0
@@ -142,25 +160,30 @@ def _postings(docs: DataFrame, sketch: np.ndarray, ranges: int, words: int, perc
         if hs:
             yield flush()
 
-    return docs.mapInPandas(lean(run), "r bigint, h binary, k binary, n binary")
+    return docs.mapInPandas(lean(run), "r bigint, h binary, k binary, n binary, q binary")
+
+
+def places_ok(na: np.ndarray, nb: np.ndarray, qa: np.ndarray, qb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets whose first common shingle is at places qa and qb can still be similar."""
+    return (100 + percent) * np.minimum(na - qa, nb - qb) >= percent * (na + nb)
 
 
 def _tiles(postings: DataFrame, ranges: int, percent: int) -> DataFrame:
-    """kind 0: (x shingle, y document, n size) of tiles with several documents; kind 1: (x, y) candidates, neighbours by size."""
+    """kind 0: (x shingle, y document, n size, q place) of tiles with several documents; kind 1: (x, y) candidates, neighbours by size."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         h = np.frombuffer(b"".join(rows["h"]), dtype=np.uint64)
         k = np.frombuffer(b"".join(rows["k"]), dtype=np.int64)
-        n = np.frombuffer(b"".join(rows["n"]), dtype=np.uint32)
+        n, q = (np.frombuffer(b"".join(rows[c]), dtype=np.uint32).astype(np.int64) for c in "nq")
         by = np.lexsort((k, n, h))
-        h, k, n = h[by], k[by], n[by]
+        h, k, n, q = h[by], k[by], n[by], q[by]
         same = h[1:] == h[:-1]
         several = np.r_[False, same] | np.r_[same, False]
-        near = same & (k[1:] != k[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64))
+        near = same & (k[1:] != k[:-1]) & (100 * n[:-1] >= percent * n[1:]) & places_ok(n[:-1], n[1:], q[:-1], q[1:], percent)
         pairs = np.unique(np.stack([np.minimum(k[:-1][near], k[1:][near]), np.maximum(k[:-1][near], k[1:][near])]), axis=1)
-        return pd.concat([pd.DataFrame({"kind": 0, "x": h[several].view(np.int64), "y": k[several], "n": n[several].astype(np.int64)}), pd.DataFrame({"kind": 1, "x": pairs[0], "y": pairs[1], "n": 0})])
+        return pd.concat([pd.DataFrame({"kind": 0, "x": h[several].view(np.int64), "y": k[several], "n": n[several], "q": q[several]}), pd.DataFrame({"kind": 1, "x": pairs[0], "y": pairs[1], "n": 0, "q": 0})])
 
-    return postings.repartition(ranges_partitions(postings, ranges), "r").groupBy("r").applyInPandas(run, "kind int, x bigint, y bigint, n bigint")
+    return postings.repartition(ranges_partitions(postings, ranges), "r").groupBy("r").applyInPandas(run, "kind int, x bigint, y bigint, n bigint, q bigint")
 
 
 def ranges_partitions(df: DataFrame, ranges: int) -> int:
@@ -199,17 +222,18 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(k, s): the sorted arrays of the wanted documents, as a written table."""
+    """(k, n, s): the sorted arrays of the wanted documents and their sizes, as a written table."""
 
     def arrays(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             texts, at = ["" if t is None else t for t in b["t"]], 0
             for some in groups(texts):
-                yield pd.DataFrame({"k": b["k"].iloc[at : at + len(some)], "s": [s.tobytes() for s in shingle_sets(some, words)]})
+                sets = shingle_sets(some, words)
+                yield pd.DataFrame({"k": b["k"].iloc[at : at + len(some)], "n": [len(s) for s in sets], "s": [s.tobytes() for s in sets]})
                 at += len(some)
 
     wanted, _ = written(wanted.distinct(), "wanted")
-    return written(docs.join(small_side(wanted, wanted.count()), "k", "left_semi").mapInPandas(lean(arrays), "k bigint, s binary"), "sets")[0]
+    return written(docs.join(small_side(wanted, wanted.count()), "k", "left_semi").mapInPandas(lean(arrays), "k bigint, n bigint, s binary"), "sets")[0]
 
 
 def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -224,69 +248,116 @@ def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInPandas(lean(run), PAIR)
 
 
-def _open_rows(tiles: DataFrame, labels: DataFrame, parts: int) -> DataFrame:
-    """(p, lo, x, y, n, label): rows of the tiles that hold several components. Tiles with one smallest component (lo) go to one
-    part, so a pair that meets in many tiles meets there; the tiles of a lo whose sets may outgrow PART_BYTES go to several."""
-    named = tiles.join(labels, tiles["y"] == labels["node"], "left").select("x", "y", "n", F.coalesce("label", "y").alias("label"))
+def _bands(n: Column, percent: int) -> Column:
+    """Size bands: similar sets are in one band or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / (math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9)).cast("bigint")
+
+
+def _units(rows: DataFrame, percent: int) -> DataFrame:
+    """rows with u, side and own: a small tile is one unit (own: all its pairs count). A large one is cut into bands of size and these into
+    blocks by document; a unit is then a block with itself, or two blocks of one band or of neighbouring ones, whose pairs of two sides count."""
+    large, _ = written(rows.groupBy("x").count().filter(F.col("count") > TILE_ROWS).select("x"), "large-tiles")
+    n_large = large.count()
+    whole = rows.join(small_side(large, n_large), "x", "left_anti").withColumns({"u": F.col("x"), "side": F.lit(0), "own": F.lit(True)}).drop("x")
+    if not n_large:
+        return whole
+    cut = rows.join(small_side(large, n_large), "x", "left_semi").withColumn("k", _bands(F.col("n"), percent))
+    blocks, _ = written(cut.groupBy("x", "k").agg(F.ceil(F.count("*") / TILE_BLOCK).cast("bigint").alias("nb")), "bands")
+    n_blocks = blocks.count()
+
+    def beside(by: int, name: str) -> DataFrame:
+        return small_side(blocks.select("x", (F.col("k") - by).alias("k"), F.col("nb").alias(name)), n_blocks)
+
+    cut = cut.join(beside(0, "nb"), ["x", "k"]).join(beside(1, "up"), ["x", "k"], "left").join(beside(-1, "down"), ["x", "k"], "left").withColumn("i", F.pmod(F.xxhash64("y"), F.col("nb")))
+    upto = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1)).otherwise(F.array().cast("array<bigint>"))
+    unit = lambda k1, k2, i1, i2, side: F.struct(F.xxhash64("x", k1, k2, i1, i2).alias("u"), side.cast("int").alias("side"), ((k1 == k2) & (i1 == i2)).alias("own"))
+    k, i = F.col("k"), F.col("i")
+    every = F.concat(
+        F.transform(upto("nb"), lambda j: unit(k, k, F.least(i, j), F.greatest(i, j), i > j)),
+        F.transform(upto("up"), lambda j: unit(k, k + 1, i, j, F.lit(0))),
+        F.transform(upto("down"), lambda j: unit(k - 1, k, j, i, F.lit(1))),
+    )
+    return whole.unionByName(cut.withColumn("e", F.explode(every)).select("lo", "y", "n", "q", "label", "e.u", "e.side", "e.own"))
+
+
+def _open_rows(tiles: DataFrame, labels: DataFrame, parts: int, percent: int) -> DataFrame:
+    """(p, lo, u, side, own, y, n, q, label): rows of the tiles that hold several components, by unit. Tiles with one smallest component
+    (lo) go to one part, so a pair that meets in many tiles meets there; a lo of more than PART_BYTES or PART_ROWS goes to several."""
+    named = tiles.join(labels, tiles["y"] == labels["node"], "left").select("x", "y", "n", "q", F.coalesce("label", "y").alias("label"))
     still = named.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("x", "lo")
     rows, _ = written(named.join(still, "x"), "open")
-    large, _ = written(rows.groupBy("lo").agg(F.ceil(F.sum("n") * 8 / PART_BYTES).alias("k")).filter("k > 1"), "large")
+    rows, _ = written(_units(rows, percent), "units")
+    much = F.ceil(F.greatest(F.sum("n") * 8 / PART_BYTES, F.count("*") / PART_ROWS))
+    large, _ = written(rows.groupBy("lo").agg(much.alias("k")).filter("k > 1"), "large")
     rows = rows.join(small_side(large, large.count()), "lo", "left")
-    spread = F.pmod(F.xxhash64("x", F.lit(1)), F.coalesce("k", F.lit(1)))
-    return written(rows.select(F.pmod(F.xxhash64("lo", spread), F.lit(parts)).alias("p"), "lo", "x", "y", "n", "label"), "spread")[0]
-
-
-def _tile_pairs(rows: pd.DataFrame, body: dict[int, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each tile and document: (ys, labels, i, j): the later documents j of the tile, within the size band of i and of
-    another component, that the bitmap bound leaves, the most alike first."""
-    rows = rows.drop_duplicates(["x", "y", "n"]).sort_values(["x", "n", "y"], kind="stable")
-    x, y, n, label = (rows[c].to_numpy() for c in ("x", "y", "n", "label"))
-    cut = np.flatnonzero(np.r_[True, x[1:] != x[:-1], True])
-    for p, q in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        ys, ls, ns = y[p:q], label[p:q], n[p:q]
-        if (ls == ls[0]).all():
+    spread = F.pmod(F.xxhash64("u", F.lit(1)), F.coalesce("k", F.lit(1)))
+    return written(rows.select(F.pmod(F.xxhash64("lo", spread), F.lit(parts)).alias("p"), "lo", "u", "side", "own", "y", "n", "q", "label"), "spread")[0]
+
+
+def _tile_pairs(rows: pd.DataFrame, body: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each unit and row: (at, i, j): the places in rows of a unit's documents; the later documents j, within the size band of i
+    and of another component, that the place and bitmap bounds leave, the most alike first. rows has `at`, the place of its bitmap in body."""
+    rows = rows.drop_duplicates(["u", "side", "at"]).sort_values(["u", "n", "at"], kind="stable")
+    u, side, own, at, n, q, label = (rows[c].to_numpy() for c in ("u", "side", "own", "at", "n", "q", "label"))
+    cut = np.flatnonzero(np.r_[True, u[1:] != u[:-1], True])
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        ls, ns, qs, ss = label[a:b], n[a:b], q[a:b], side[a:b]
+        if (ls == ls[0]).all() or (not own[a] and (ss == ss[0]).all()):
             continue
-        bodies = [body[k] for k in ys.tolist()]
-        sizes = np.array([len(b) for b in bodies])
+        bodies = [body[k] for k in at[a:b].tolist()]
+        sizes = np.array([len(x) for x in bodies])
         for w in np.unique(sizes):  # documents whose bitmap has w words against those with w or more
-            own = np.flatnonzero(sizes == w)
-            end = np.searchsorted(ns, ns[own] * 100 // percent, side="right")
-            wide = np.stack([folded(bodies[j], w) for j in range(own[0], max(int(end.max()), own[0] + 1))])
-            for i, e in zip(own.tolist(), end.tolist(), strict=True):
+            mine = np.flatnonzero(sizes == w)
+            end = np.searchsorted(ns, ns[mine] * 100 // percent, side="right")
+            wide = np.stack([folded(bodies[j], w) for j in range(mine[0], max(int(end.max()), mine[0] + 1))])
+            for i, e in zip(mine.tolist(), end.tolist(), strict=True):
                 j = np.arange(i + 1, e)
-                j = j[ls[j] != ls[i]]
+                ok = (ls[j] != ls[i]) & places_ok(ns[i], ns[j], qs[i], qs[j], percent)
+                if not own[a]:
+                    ok &= ss[j] != ss[i]
+                j = j[ok]
                 if not len(j):
                     continue
-                differ = np.bitwise_count(wide[j - own[0]] ^ wide[i - own[0]]).sum(axis=1, dtype=np.int64)
+                differ = np.bitwise_count(wide[j - mine[0]] ^ wide[i - mine[0]]).sum(axis=1, dtype=np.int64)
                 ok = least_overlap_ok(ns[i], ns[j], differ, percent)
                 if ok.any():
-                    yield ys, ls, np.int64(i), j[ok][np.argsort(differ[ok], kind="stable")]
+                    yield rows.index.to_numpy()[a:b], np.int64(i), j[ok][np.argsort(differ[ok], kind="stable")]
+
+
+def _placed(rows: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
+    """rows with `at`, the place of their set in docs (k, n); a doc_id with several texts of one size has a row for each."""
+    return rows.reset_index(drop=True).merge(pd.DataFrame({"y": docs["k"].to_numpy(), "n": docs["n"].to_numpy(), "at": np.arange(len(docs))}), on=["y", "n"])
+
+
+def _with_sets(rows: DataFrame, sets: DataFrame, body: str) -> DataFrame:
+    """(part, k, n, body) of the documents of each part, to be grouped with it."""
+    return rows.select(F.col("p").alias("part"), F.col("y").alias("k")).distinct().join(sets.select("k", "n", F.col(body).alias("body")), "k").select("part", "k", "n", "body")
 
 
 def _still_open(rows: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """The rows of documents that have a candidate in another component. rows is a written table."""
 
     def run(key: tuple, rows: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-        body = {k: np.frombuffer(b, dtype="<u8") for k, b in zip(docs["k"], docs["body"], strict=True)}
-        keep = []
-        for lo, some in rows.groupby("lo", sort=False):
-            hit: set[int] = set()
-            for ys, _, i, j in _tile_pairs(some, body, percent):
-                hit.update(ys[j].tolist(), [int(ys[i])])
-            if hit:
-                keep.append(some[some["y"].isin(hit)])
-        return pd.concat(keep) if keep else rows.iloc[:0]
+        docs = docs.drop_duplicates(["k", "n", "body"])
+        body = [np.frombuffer(b, dtype="<u8") for b in docs["body"]]
+        rows = _placed(rows, docs)
+        hit = np.zeros(len(rows), dtype=bool)
+        for at, i, j in _tile_pairs(rows, body, percent):
+            hit[at[j]] = hit[at[i]] = True
+        found = rows[hit][["lo", "at"]].drop_duplicates()  # with all units of their component, for other ways to join it
+        return rows.merge(found, on=["lo", "at"])[[c.split()[0] for c in OPEN.split(", ")]]
 
-    docs = rows.select(F.col("p").alias("part"), F.col("y").alias("k")).distinct().join(bitmaps.select("k", "body"), "k").select("part", "k", "body")
-    return rows.groupBy("p").cogroup(docs.groupBy("part")).applyInPandas(run, "p bigint, lo bigint, x bigint, y bigint, n bigint, label bigint")
+    return rows.groupBy("p").cogroup(_with_sets(rows, bitmaps, "body").groupBy("part")).applyInPandas(run, OPEN)
 
 
 def _resolved(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components, decided exactly: as many as join what belongs together, not all pairs. rows is a written table."""
 
     def run(key: tuple, rows: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
-        arrays = {k: np.frombuffer(s, dtype="<u8") for k, s in zip(docs["k"], docs["s"], strict=True)}
-        body = {k: np.frombuffer(signature(s), dtype="<u8") for k, s in arrays.items()}
+        docs = docs.drop_duplicates(["k", "n", "body"])
+        arrays = [np.frombuffer(s, dtype="<u8") for s in docs["body"]]
+        rows = _placed(rows, docs)
+        ys, ls, places = (rows[c].to_numpy() for c in ("y", "label", "at"))
         root: dict[int, int] = {}
         apart: set[tuple[int, int]] = set()
         links = []
@@ -297,30 +368,38 @@ def _resolved(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 k = up
             return k
 
-        for ys, ls, i, js in _tile_pairs(rows, body, percent):
-            a, la = int(ys[i]), int(ls[i])
-            for j in js.tolist():
-                b, lb = int(ys[j]), int(ls[j])
+        for at, i, js in _tile_pairs(rows, [np.frombuffer(signature(s), dtype="<u8") for s in arrays], percent):
+            r = at[i]
+            a, la = int(places[r]), int(ls[r])
+            for s in at[js].tolist():
+                b, lb = int(places[s]), int(ls[s])
                 pair = (min(a, b), max(a, b))
                 if find(la) == find(lb) or pair in apart:
                     continue
                 if similar(arrays[a], arrays[b], percent):
-                    links.append(pair)
+                    links.append((min(ys[r], ys[s]), max(ys[r], ys[s])))
                     root[max(find(la), find(lb))] = min(find(la), find(lb))
                 else:
                     apart.add(pair)
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    docs = rows.select(F.col("p").alias("part"), F.col("y").alias("k")).distinct().join(sets, "k").select("part", "k", "s")
-    return rows.groupBy("p").cogroup(docs.groupBy("part")).applyInPandas(run, PAIR)
+    return rows.groupBy("p").cogroup(_with_sets(rows, sets, "s").groupBy("part")).applyInPandas(run, PAIR)
+
+
+def overlaps(x: np.ndarray, flat: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The size of x's intersection with each of several sets, which lie in flat from `first` on."""
+    at = np.searchsorted(x, flat)
+    at[at == len(x)] = 0
+    return np.add.reduceat((x[at] == flat).astype(np.int64), first)
 
 
 def _counted(nodes: DataFrame, sets: DataFrame, sizes: DataFrame, parts: int, percent: int) -> DataFrame:
     """(class_id, n): for each class the documents of other classes that link with it. nodes: (k, label); sizes: (k, docs).
 
-    Linked classes share a component. A component is cut into blocks of about BLOCK classes, and each pair of blocks is one
-    unit of work, so a large component is spread over tasks; only sums leave them."""
-    blocks = nodes.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
+    Linked classes share a component. One of c classes, more than BLOCK, is cut into sqrt(c) / 4 blocks, and each pair of blocks is one unit
+    of work, so a large component is spread over tasks, and a set is copied as often as there are blocks; only sums leave them."""
+    many = F.ceil(F.when(F.count("*") > BLOCK, F.sqrt(F.count("*") / 16.0)).otherwise(1.0))
+    blocks = nodes.groupBy("label").agg(many.cast("int").alias("nb"))
     own = nodes.join(blocks, "label").withColumn("i", F.pmod(F.xxhash64("k"), F.col("nb")).cast("int"))
     own = own.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     own = own.select("k", "label", "i", F.least("i", "x").alias("lo"), F.greatest("i", "x").alias("hi"))
@@ -329,27 +408,37 @@ def _counted(nodes: DataFrame, sets: DataFrame, sizes: DataFrame, parts: int, pe
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (_, lo, hi), g in rows.groupby(["label", "lo", "hi"], sort=False):
+            g = g.sort_values(["n", "k"], kind="stable")
             sets = [np.frombuffer(x, dtype="<u8") for x in g["s"]]
-            order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-            sets = [sets[i] for i in order]
-            k, i, docs = (g[c].to_numpy()[order] for c in ("k", "i", "docs"))
-            n = np.array([len(x) for x in sets])
+            k, i, docs, n = (g[c].to_numpy() for c in ("k", "i", "docs", "n"))
+            flat = np.concatenate(sets)
+            first = np.cumsum(n) - n
             marks = [np.frombuffer(signature(x), dtype="<u8") for x in sets]
+            width = np.array([len(m) for m in marks])
             found = np.zeros(len(k), dtype=np.int64)
-            for a in range(len(k)):
-                end = int(np.searchsorted(n, n[a] * 100 // percent, side="right"))
-                for b in range(a + 1, end):
-                    if lo != hi and i[a] == i[b]:
-                        continue  # met where the block meets itself
-                    words = min(len(marks[a]), len(marks[b]))
-                    differ = int(np.bitwise_count(folded(marks[a], words) ^ folded(marks[b], words)).sum())
-                    if least_overlap_ok(n[a], n[b], differ, percent) and similar(sets[a], sets[b], percent):
-                        found[a] += docs[b]
-                        found[b] += docs[a]
+            for w in np.unique(width):
+                mine = np.flatnonzero(width == w)
+                end = np.searchsorted(n, n[mine] * 100 // percent, side="right")
+                wide = np.stack([folded(marks[j], w) for j in range(mine[0], int(end.max()))])
+                for a, e in zip(mine.tolist(), end.tolist(), strict=True):
+                    b = np.arange(a + 1, e)
+                    if lo != hi:
+                        b = b[i[b] != i[a]]  # others met where the block meets itself
+                    differ = np.bitwise_count(wide[b - mine[0]] ^ wide[a - mine[0]]).sum(axis=1, dtype=np.int64)
+                    b = b[least_overlap_ok(n[a], n[b], differ, percent)]
+                    if not len(b):
+                        continue
+                    size = n[b]
+                    start = np.cumsum(size) - size
+                    whole = flat[np.repeat(first[b] - start, size) + np.arange(size.sum())]
+                    both = overlaps(sets[a], whole, start)
+                    b = b[100 * both >= percent * (n[a] + size - both)]
+                    found[a] += docs[b].sum()
+                    found[b] += docs[a]
             out.append(pd.DataFrame({"class_id": k, "n": found}))
         return pd.concat(out).query("n > 0")
 
-    return own.select("p", "label", "lo", "hi", "i", "k", "docs", "s").groupBy("p").applyInPandas(run, "class_id bigint, n bigint").groupBy("class_id").agg(F.sum("n").alias("n"))
+    return own.select("p", "label", "lo", "hi", "i", "k", "n", "docs", "s").groupBy("p").applyInPandas(run, "class_id bigint, n bigint").groupBy("class_id").agg(F.sum("n").alias("n"))
 
 
 def _with_links(members: DataFrame, labels: DataFrame, docs: DataFrame, parts: int, words: int, percent: int) -> DataFrame:
@@ -385,7 +474,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     links, _ = written(_exact(first, _sets(single, wanted, words), percent), "links")
     shared_ids = copies.filter("d != e").select("k").join(members, "k").select(F.col("k").alias("a"), F.col("class_id").alias("b"))
     labels = components(links.unionByName(shared_ids))
-    rest, rest_at = written(_still_open(_open_rows(tiles.filter("kind = 0").select("x", "y", "n"), labels, ranges), bitmaps, percent), "rest")
+    rest, rest_at = written(_still_open(_open_rows(tiles.filter("kind = 0").select("x", "y", "n", "q"), labels, ranges, percent), bitmaps, percent), "rest")
     more_links, _ = written(_resolved(rest, _sets(single, rest.select(F.col("y").alias("k")), words), percent), "more-links")
     every = links.unionByName(more_links)
     if not more_links.isEmpty():
