@@ -87,13 +87,65 @@ def test_quality_held_out(spark):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
+def test_quality_where_all_rows_have_labels(spark):
+    """Unlabelled text is all text, so a table whose every row is labelled is learned from as well; labels of 0 change nothing."""
+    docs, labels = labelled(spark, SF)
+    docs = docs.join(labels.filter("quality is not null").select("doc_id"), "doc_id", "left_semi")
+    got = quality.classify(docs, labels).join(labels, "doc_id").filter("quality is not null").collect()
+    held = [r for r in got if r["held_out"]]
+    assert np.mean([r["predicted"] == r["quality"] for r in held]) >= 0.93 and len({r["score"] for r in got}) > 100
+    may = ~quality.held_out("doc_id", 1, 3)
+    one, two = (quality.train(docs, x, may) for x in (labels, labels.filter("quality = 1")))
+    assert all(np.array_equal(getattr(one, f), getattr(two, f)) for f in ("w1", "b1", "w2", "b2", "prior"))
+
+
 def test_risk_separates_without_negatives():
     rng = np.random.default_rng(2)
     p = rng.normal(1.0, 0.6, (500, quality.N_FEATURES)).astype(np.float32)
     u = np.concatenate([rng.normal(1.0, 0.6, (350, quality.N_FEATURES)), rng.normal(-1.0, 0.6, (150, quality.N_FEATURES))]).astype(np.float32)
-    m = quality.fit(p, u, 0.7)
-    z = quality.logits(m, u)
-    assert np.mean((z >= 0) == (np.arange(500) < 350)) >= 0.95
+    for prior in (0.7, None):
+        m = quality.fit(p, u, prior)
+        assert abs(m.prior - 0.7) < 0.08
+        assert np.mean((quality.logits(m, u) >= 0) == (np.arange(500) < 350)) >= 0.95
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
+def test_prior_from_scores(share):
+    rng = np.random.default_rng(7)
+    n = 4000
+    p, u = rng.normal(1, 1, n), np.concatenate([rng.normal(1, 1, int(n * share)), rng.normal(-3, 1, n - int(n * share))])
+    assert abs(quality.estimated_prior(p, u) - share) < 0.06
+    assert quality.estimated_prior(p[:0], u) == 0.5
+
+
+@pytest.mark.parametrize("prior", [None, 0.3, 0.95])
+def test_risk_gradient_by_finite_differences(prior):
+    rng = np.random.default_rng(3)
+    xp, xu = rng.normal(0.3, 1, (40, 6)), rng.normal(-0.3, 1, (50, 6))
+    params = [rng.normal(0, 0.5, (6, 5)), rng.normal(0, 0.5, 5), rng.normal(0, 0.5, 5), rng.normal(0, 0.5, 1)]
+    s = lambda x: 1 / (1 + np.exp(-(np.maximum(x @ params[0] + params[1], 0) @ params[2] + params[3])))
+    if prior == 0.95:  # so well told apart that the negative part is below zero
+        pool = np.concatenate([xp, xu])
+        pool = pool[np.argsort(-s(pool))]
+        xp, xu = pool[:40], pool[40:]
+    value, grads = quality.risk(params, xp, xu, prior)
+    if prior is None:
+        want = lambda: ((1 - s(xp)).mean() + s(xu).mean()) / 2
+    else:
+        negative = lambda: s(xu).mean() - prior * s(xp).mean()
+        whole = lambda: prior * (1 - s(xp)).mean() + max(0.0, negative())
+        assert value == pytest.approx(whole())
+        want = whole if negative() >= 0 else lambda: -negative()
+        assert (negative() < 0) == (prior == 0.95)
+    for w, g in zip(params, grads, strict=True):
+        for i in np.ndindex(w.shape):
+            old = w[i]
+            w[i] = old + 1e-6
+            up = want()
+            w[i] = old - 1e-6
+            down = want()
+            w[i] = old
+            assert g[i] == pytest.approx((up - down) / 2e-6, abs=1e-6)
 
 
 def test_viterbi_is_brute_force():
