@@ -69,15 +69,28 @@ def test_pack_any_width(width, ids, data):
     assert (bitpack.unpack(packed, width, n, a) == ids[a : a + n]).all()
 
 
-def test_token_files(spark):
+def test_ids_that_do_not_fit_are_refused():
+    for width, worst in ((16, 70000), (5, 32), (32, 2**32)):
+        with pytest.raises(ValueError, match="does not fit"):
+            bitpack.pack(np.array([0, worst], dtype=np.uint64), width)
+    assert bitpack.width_of(1 + 65536) == 17
+
+
+@pytest.mark.parametrize("block", [500_000, 40])
+def test_token_files(spark, monkeypatch, block):
     t = tokenizers.Tokenizer.from_file(WORD)
+    rows = ROWS + [(-(2**63), "least id"), (-5, "below zero")] + [(5, f"again {i}") for i in range(30)]
     out = fresh_path(spark, "t")
-    bitpack.write_ids(docs(spark), WORD, out, end_id=2)
+    monkeypatch.setattr(bitpack, "BLOCK_IDS", block)
+    end = 2 if block > 40 else 70_000  # an end id beyond the vocabulary widens the ids
+    bitpack.write_ids(docs(spark, rows), WORD, out, end_id=end)
+    assert {r[0] for r in spark.read.parquet(out).select("width").distinct().collect()} == {16 if end == 2 else 17}
     got = sorted(bitpack.read_documents(spark, out).collect(), key=lambda r: r["start"])
-    order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    tie = {r["text"]: r["h"] for r in spark.createDataFrame([(x,) for _, x in rows], "text string").selectExpr("text", "xxhash64(text) h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]], r[1] or ""))
     at, flat = 0, []
     for r, (k, x) in zip(got, order, strict=True):
-        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, end], dtype="<u4")
         assert tuple(r) == (k, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
         flat += ids.tolist()

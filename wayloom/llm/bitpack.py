@@ -1,14 +1,15 @@
 """Token ids in fixed-width bit packing.
 
-Each id takes the minimum bits of the vocabulary. Ids lie in blocks of whole documents; a block has
-its payload and the offsets of its documents, so numpy unpacks it at once, and any document can be
-read alone. Blocks are rows of Parquet files in the shared folder (shard, block, width, n_tokens,
-doc ids, offsets, payload), so the writer's commit protocol survives lost executors, and shards are
-in ascending doc_id order.
-
-Nulls count as the empty text, which has only the end id. Null doc_ids come first; equal doc_ids are
-ordered by text. Other columns are ignored, so their names cannot clash. An empty table gives no file
-rows and no result rows.
+Each id takes the minimum bits of the largest id; packing a larger one is an error, never a wrong id. Ids lie
+in blocks of whole documents; a block has its payload and the offsets of its documents, so numpy unpacks it at
+once, and any document can be read alone. Blocks are rows of Parquet files in the shared folder (shard, block,
+first id's place in the shard, width, n_tokens, doc ids, offsets, payload), so the writer's commit protocol
+survives lost executors, and shards are in ascending doc_id order. Readers add the totals of the shards before,
+one number for each writing task.
+
+Nulls count as the empty text, which has only the end id. Null doc_ids come first; equal doc_ids are ordered by
+the hash of their text, then by text, and may lie in several shards. Ids are taken as bigint; others become null.
+Other columns are ignored, so their names cannot clash. An empty table gives no file rows and no result rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import groups
-from .common import lean
+from .common import lean, small_side
 
 #: Ids in one block, about; a longer document is a block of its own.
 BLOCK_IDS = 500_000
@@ -41,7 +42,7 @@ GROUP_CHARS = 2_000_000
 TOGETHER = 200
 #: Words kept per worker, and the longest kept; the table is emptied when full, which costs time only.
 KEPT_WORDS, KEPT_CHARS = 1_200_000, 48
-BLOCKS = "shard int, block int, width int, n_tokens bigint, n_docs int, doc_ids binary, offsets binary, payload binary"
+BLOCKS = "shard int, block int, first bigint, width int, n_tokens bigint, n_docs int, n_null int, doc_ids binary, offsets binary, payload binary"
 
 
 def width_of(vocabulary_size: int) -> int:
@@ -52,6 +53,8 @@ def width_of(vocabulary_size: int) -> int:
 def pack(ids: np.ndarray, width: int) -> bytes:
     """ids in `width` (1 to 32) bits each, low bits first; the last word is padded with zeros."""
     n = len(ids)
+    if n and int(ids.max()) >> width:
+        raise ValueError(f"id {int(ids.max())} does not fit in {width} bits")
     if width in (8, 16, 32):  # whole bytes: the same layout without shifts
         out = np.zeros(-(-n // LANES) * LANES, dtype=f"<u{width // 8}")
         out[:n] = ids
@@ -153,7 +156,7 @@ def blocks(docs: DataFrame, path: str, end_id: int | None, width: int, key: str
     """The blocks of all documents; shards are ranges of the key."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, shard, block = encoder(path), TaskContext.get().partitionId(), 0
+        enc, shard, block, before = encoder(path), TaskContext.get().partitionId(), 0, 0
         end = b"" if end_id is None else np.uint32(end_id).tobytes()
         keys: list = []
         ids: list[bytes] = []
@@ -162,8 +165,8 @@ def blocks(docs: DataFrame, path: str, end_id: int | None, width: int, key: str
         def flush() -> pd.DataFrame:
             offsets = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype("<i8")
             flat = np.frombuffer(b"".join(ids), dtype="<u4")
-            doc_ids = np.array([-(2**63) if k is None or k != k else int(k) for k in keys], dtype="<i8")
-            return pd.DataFrame({"shard": [shard], "block": [block], "width": [width], "n_tokens": [len(flat)], "n_docs": [len(keys)], "doc_ids": [doc_ids.tobytes()], "offsets": [offsets.tobytes()], "payload": [pack(flat, width)]})
+            doc_ids = np.array([0 if k is None else k for k in keys], dtype="<i8")  # null ids come first
+            return pd.DataFrame({"shard": [shard], "block": [block], "first": [before], "width": [width], "n_tokens": [len(flat)], "n_docs": [len(keys)], "n_null": [sum(k is None for k in keys)], "doc_ids": [doc_ids.tobytes()], "offsets": [offsets.tobytes()], "payload": [pack(flat, width)]})
 
         for b in batches:
             texts, at = ["" if t is None else t for t in b["t"]], 0
@@ -172,34 +175,33 @@ def blocks(docs: DataFrame, path: str, end_id: int | None, width: int, key: str
                 for k, x in zip(ks[at : at + len(some)], enc.encode(some), strict=True):
                     if held and held + len(x) // 4 > BLOCK_IDS:
                         yield flush()
-                        block, keys, ids, held = block + 1, [], [], 0
+                        block, before, keys, ids, held = block + 1, before + held, [], [], 0
                     keys.append(k)
                     ids.append(x + end)
-                    held += len(x) // 4 + 1
+                    held += len(x + end) // 4
                 at += len(some)
         if keys:
             yield flush()
 
-    own = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
-    dealt = own.repartitionByRange("k").sortWithinPartitions("k", "t")
+    own = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    dealt = own.repartitionByRange("k", "h").sortWithinPartitions("k", "h", "t")
     return dealt.select(F.coalesce("k", F.lit(0)).alias("k"), F.col("k").isNull().alias("no_key"), "t").mapInPandas(lean(run), BLOCKS)
 
 
 def write_ids(docs: DataFrame, tokenizer: str, out: str, end_id: int | None = None, key: str = "doc_id", text: str = "text") -> None:
     """Encodes whole texts and writes their ids to folder `out` in ascending key order."""
-    width = width_of(encoder(tokenizer).tokenizer.get_vocab_size())
+    largest = max(encoder(tokenizer).tokenizer.get_vocab().values(), default=0)
+    width = width_of(1 + max(largest, end_id or 0))
     blocks(docs, tokenizer, end_id, width, key, text).write.parquet(out)
 
 
 def read_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """The blocks with `start`, the ids of all blocks before: totals of shards are summed over shards, then within each."""
+    """The blocks with `start`, the ids of all blocks before: those of earlier shards, and of the shard's own blocks before."""
     b = spark.read.schema(BLOCKS).parquet(folder)
     totals = b.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     # one row a shard: as many as writing tasks, whatever the documents
     base = totals.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
-    places = b.select("shard", "block", (F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_tokens")).alias("within"))
-    places = places.join(F.broadcast(base), "shard").select("shard", "block", (F.col("base") + F.col("within")).alias("start"))
-    return b.join(F.broadcast(places), ["shard", "block"])  # a few numbers for each block of many ids
+    return b.join(small_side(base, totals.count()), "shard").withColumn("start", F.col("base") + F.col("first"))
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -212,10 +214,10 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
                 at = np.frombuffer(r.offsets, dtype="<i8")
                 doc = np.frombuffer(r.doc_ids, dtype="<i8")
                 crc = [zlib.crc32(ids[x:y].tobytes()) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pd.DataFrame({"doc_id": doc, "start": at[:-1] + r.start, "n_tokens": np.diff(at), "ids_crc32": crc})
+                yield pd.DataFrame({"doc_id": doc, "no_id": np.arange(len(doc)) < r.n_null, "start": at[:-1] + r.start, "n_tokens": np.diff(at), "ids_crc32": crc})
 
-    read = read_blocks(spark, folder).mapInPandas(lean(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
-    return read.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(-(2**63)), F.col("doc_id")))
+    read = read_blocks(spark, folder).select("start", "width", "n_tokens", "n_null", "doc_ids", "offsets", "payload").mapInPandas(lean(run), "doc_id bigint, no_id boolean, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return read.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 def read_span(spark: SparkSession, folder: str, start: int, n: int) -> np.ndarray:
