@@ -267,17 +267,23 @@ def brute_hits(text, items):
     return len(w), len(cov), len(who), hashlib.sha256(",".join(sorted(who)).encode()).hexdigest(), bool(cov)
 
 
-def test_decontamination_is_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_is_brute_force(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(decontam, "BROADCAST_BYTES", -1)
     rng = random.Random(4)
     pool = [f"w{i}" for i in range(30)]
+    prompt = "the same prompt stands before each of these items word by word"
     items = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(1, 30)))) for i in range(12)] + [(None, "w1 w2"), (77, None), (78, "..."), (5, "Another text under an id that is there")]
+    items += [(100 + i, f"{prompt} {' '.join(rng.choice(pool) for _ in range(i))}") for i in range(8)] + [(200, " ".join(["w1"] * 14)), (201, " ".join(["w1"] * 14))]
     rows = [(i, " ".join(rng.choice(pool).title() for _ in range(rng.randrange(0, 60))) + " " + " ".join((rng.choice(items)[1] or "").split()[: rng.randrange(1, 30)])) for i in range(60)] + ROWS
-    rows = [r for r in rows if r[0] is not None]
+    rows = [r for r in rows if r[0] is not None] + [(300, f"x {prompt} y"), (301, f"{prompt} {prompt}"), (302, "w1 " * 40)]
     b = spark.createDataFrame(items, "item_id bigint, text string")
     got = collections.Counter(map(tuple, decontam.decontaminate(docs(spark, rows), b).collect()))
     assert got == collections.Counter((k, *brute_hits(t, items)) for k, t in rows)
-    assert not any(r["contaminated"] for r in decontam.decontaminate(docs(spark, rows), b.limit(0)).collect())
-    assert decontam.decontaminate(empty(spark), b).count() == 0
+    if broadcast:
+        assert not any(r["contaminated"] for r in decontam.decontaminate(docs(spark, rows), b.limit(0)).collect())
+        assert decontam.decontaminate(empty(spark), b).count() == 0
 
 
 def brute_spans(t):

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when it has at most this many rows of a few fixed-width columns.
 BROADCAST_ROWS = 2_000_000
-
-
+#: Where its columns are not of fixed width, its bytes are counted too.
+BROADCAST_BYTES = 64_000_000
 #: Rows in an Arrow batch of texts: with the session's bound on its bytes this bounds a Python worker's memory.
 BATCH_ROWS = 1000
 

@@ -38,7 +38,7 @@ def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a ten-word window of a benchmark item."""
     items, _ = written(decontam.items_of(table(spark, sf_dir, "benchmark"), "item_id", "text"), "items")
     named = docs.withColumn(secrets.ROW, row_key("doc_id", "text"))
-    hit, _ = written(decontam.hit_windows(named.select(F.col(secrets.ROW).alias("key"), "text"), items).select(F.col("key").alias(secrets.ROW)).distinct(), "leaks")
+    hit, _ = written(decontam.hit_windows(named.select(F.col(secrets.ROW).alias("key"), "text"), items, decontam.item_windows(items, 10)[0]).select(F.col("key").alias(secrets.ROW)).distinct(), "leaks")
     return named.join(small_side(hit, hit.count()), secrets.ROW, "left_anti").select(*docs.columns)
 
 
