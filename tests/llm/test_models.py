@@ -60,14 +60,55 @@ def test_network_finds_planted_words():
     assert again[0] == pytest.approx(s[0], abs=1e-6)  # a text's score does not depend on its batch
 
 
-def test_blocks_of_long_texts(monkeypatch):
+def brute_answers(m, words):
+    """The largest answer of each filter of each width over a text, window by window."""
+    out = []
+    for w in m.filters:
+        best = np.full(w.shape[2], -np.inf)
+        for i in range(len(words)):
+            a = np.zeros(w.shape[2])
+            for j in range(w.shape[0]):
+                if i + j < len(words):
+                    a += m.embedding[words[i + j]].astype(float).sum(axis=0) @ w[j].astype(float)
+            best = np.maximum(best, a)
+        out.append(best if len(words) else np.zeros(w.shape[2]))
+    return np.concatenate(out)
+
+
+def test_pooling_is_brute_force(monkeypatch):
+    """Pooled answers and scores of many texts at once against loops over one text, in blocks of words that cut texts too."""
     rng = random.Random(1)
-    texts = [" ".join(rng.choice(["a", "b", "c", "badone"]) for _ in range(n)) for n in (500, 0, 3, 700)]
+    texts = [" ".join(rng.choice(["a", "b", "c", "badone", "the"]) for _ in range(n)) for n in (90, 0, 1, 3, 130, 2, 0)]
     words, counts = words_and_counts(texts, toxicity.PREFIXES, toxicity.BITS)
-    m = toxicity.fit([words[:3]], np.array([1]))
-    whole = toxicity.pooled(m, words, counts)
-    monkeypatch.setattr(toxicity, "BLOCK_WORDS", 64)
-    assert np.allclose(toxicity.pooled(m, words, counts), whole, atol=1e-5)
+    m = toxicity.fit([words[:90], words[90:94]] * 20, np.array([1, 0] * 20))
+    m.thresholds[:] = [0.1, 0.2, 0.3, 0.4, 0.5]
+    cut = np.cumsum(counts)
+    want = np.stack([brute_answers(m, words[e - n : e]) for e, n in zip(cut, counts, strict=True)])
+    z = np.maximum(want + m.bias, 0) @ m.out + m.out_bias
+    lang = toxicity.languages_of(words, counts, toxicity.language_table())
+    score = 1 / (1 + np.exp(-(z - m.thresholds[lang]) * 2 / m.scale))
+    for block in (100_000, 64, 7):
+        monkeypatch.setattr(toxicity, "BLOCK_WORDS", block)
+        assert np.allclose(toxicity.pooled(m, words, counts), want, atol=1e-4)
+        assert np.allclose(toxicity.scores(m, texts, toxicity.language_table()), score, atol=1e-4)
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """Few ids with very many or very long texts don't grow the sample; equal inputs give equal models."""
+    monkeypatch.setattr(toxicity, "MOST_TEXT_WORDS", 50)
+    monkeypatch.setattr(toxicity, "MOST_WORDS", 600)
+    rows = [(i % 40, f"w{i} bad word {i % 7}" if i % 2 else f"w{i} good word") for i in range(2000)] + [(41, "long " * 100), (42, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(43)], "doc_id bigint, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, weight: seen.append((texts, y)))
+    for d in (docs, docs.repartition(7)):
+        toxicity.train(d, labels, F.lit(True))
+    (a, ya), (b, yb) = seen
+    assert len(a) == 41 and max(map(len, a)) <= 50 and [x.tobytes() for x in a] == [x.tobytes() for x in b] and (ya == yb).all()
+    monkeypatch.setattr(toxicity, "MOST_WORDS", 20)
+    toxicity.train(docs, labels, F.lit(True))
+    assert 0 < sum(map(len, seen[2][0])) <= 20
 
 
 def test_languages():
@@ -173,8 +214,8 @@ def talk(spark):
 
 def test_transcripts_roles_and_blocks(spark):
     lines = transcripts.raw_lines(talk(spark)).cache()
-    m = transcripts.train(lines, "role", "opens")
     block = transcripts.TURN_ROOM
+    m = transcripts.train(lines, "role", "opens", block=2 * block)
     whole = {(r["conv_id"], r["line_no"]): r["role"] for r in transcripts.decode(lines, m, block=block * 512).collect()}
     cut = {(r["conv_id"], r["line_no"]): r["role"] for r in transcripts.decode(lines, m, block=block * 2).collect()}
     assert whole == cut and len(whole) == lines.count()
@@ -186,6 +227,65 @@ def test_transcripts_roles_and_blocks(spark):
     assert transcripts.decode(lines.limit(0), m).count() == 0
 
 
+def test_counts_are_brute_force(spark):
+    """Counts in blocks against a loop over each whole transcript; odd lines: equal numbers, nulls, other roles, long lines, clashing columns."""
+    lines = transcripts.raw_lines(talk(spark)).select("conv_id", "line_no", "line", "role", "opens")
+    odd = [(1000, 5, "x: y", "user", True), (1000, 5, "a second line of that number", "user", False), (1000, 6, None, "assistant", True), (1000, None, "no number", "user", True), (None, 1, "no id", "user", True), (1000, 7, "tool says", "tool", True), (1000, 8, "word " * 30_000, "user", None)]
+    lines = lines.unionByName(spark.createDataFrame(odd, "conv_id bigint, line_no bigint, line string, role string, opens boolean")).withColumns({"c": F.lit("x"), "n": F.lit(1.5), "t": F.lit(True), "b": F.lit(3), "s": F.lit("q"), "p": F.lit(0)})
+    starts, steps = np.zeros(6), np.zeros((6, 6))
+    marks, kinds = np.zeros((6, transcripts.N_MARKS)), np.zeros((6, transcripts.N_KINDS))
+    hashed = lines.withColumn("h", F.xxhash64(F.coalesce("line", F.lit("")))).collect()
+    talks = {}
+    for r in hashed:
+        if r["conv_id"] is not None and r["line_no"] is not None and r["role"] in transcripts.ROLES:
+            talks.setdefault(r["conv_id"], []).append(r)
+    for rows in talks.values():
+        rows.sort(key=lambda r: (r["line_no"], r["h"]))
+        s = [2 * transcripts.ROLES.index(r["role"]) + (not r["opens"]) for r in rows]
+        starts[s[0]] += 1
+        for a, b in zip(s, s[1:], strict=False):
+            steps[a, b] += 1
+        for x, r in zip(s, rows, strict=True):
+            m, said = transcripts.marker(r["line"] or "")
+            marks[x, m] += 1
+            kinds[x, transcripts.kind(said)] += 1
+    want = transcripts.fit(starts, steps, marks, kinds)
+    for block in (transcripts.TURN_ROOM, 1 << 40):
+        got = transcripts.train(lines, "role", "opens", block=block)
+        assert all(np.array_equal(getattr(got, f), getattr(want, f)) for f in ("start", "step", "marks", "kinds"))
+    decoded = transcripts.decode(lines, want, block=transcripts.TURN_ROOM)
+    assert decoded.count() == sum(r["conv_id"] is not None and r["line_no"] is not None for r in hashed)
+    again = transcripts.decode(lines.unionByName(lines), want, block=transcripts.TURN_ROOM)
+    assert again.count() == 2 * decoded.count()
+
+
+def brute_turns(rows, key, number):
+    """Turns of decoded lines, one transcript at a time."""
+    out, talks = [], {}
+    for r in rows:
+        talks.setdefault(r[key], []).append(r)
+    for c, ls in talks.items():
+        ls.sort(key=lambda r: (r[number], r["said"]))
+        turn = None
+        for r in ls:
+            if r["opens"] or turn is None:
+                turn = [c, r[number], r["role"], []]
+                out.append(turn)
+            turn[3].append(r["said"])
+    return sorted((c, n, role, "\n".join(ts).strip(" ")) for c, n, role, ts in out)
+
+
+def test_turns_are_brute_force(spark):
+    rng = random.Random(5)
+    rows = [(c, i, rng.choice(transcripts.ROLES), rng.random() < 0.3, rng.choice(["", "x", " y ", "long line " * 500])) for c in range(30) for i in range(rng.randrange(1, 60))]
+    df = spark.createDataFrame(rows, "conv_id bigint, line_no bigint, role string, opens boolean, said string")
+    want = brute_turns(df.collect(), "conv_id", "line_no")
+    for block in (4, 1000):
+        got = sorted((r["conv_id"], r["turn_line"], r["role"], r["text"]) for r in transcripts.turns(df, block=block).collect())
+        assert got == want
+    assert transcripts.turns(df.limit(0)).count() == 0
+
+
 def test_url_list_history(spark):
     ev = [("host", "a.example.com", "add", "2024-01-10"), ("host", "a.example.com", "remove", "2024-02-10"), ("host", "a.example.com", "add", "2024-03-10"), ("domain", "Example.org", "add", "2024-01-01"), ("prefix", "b.example.net/x/y", "add", "2024-01-01"), ("prefix", "b.example.net/x/y", "add", "2024-01-05"), ("host", None, "add", "2024-01-01"), ("host", "z.com", "add", "2024-01-01"), ("host", "z.com", "remove", "2024-01-01")]
     events = spark.createDataFrame(ev, "kind string, entry string, action string, since string").withColumn("since", F.to_date("since"))

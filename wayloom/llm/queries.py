@@ -48,8 +48,8 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as raw lines in several marker styles, parsed back into roles and canonical turns."""
     lines, _ = written(transcripts.raw_lines(table(spark, sf_dir, "conversations")), "lines")
-    model = transcripts.train(lines, "role", "opens")
     block = transcripts.TURN_ROOM * transcripts.BLOCK_TURNS
+    model = transcripts.train(lines, "role", "opens", block=block)
     decoded, _ = written(transcripts.decode(lines, model, block=block), "decoded")
     turns = transcripts.turns(decoded, block=block)
     return turns.select("conv_id", F.col("turn_line").alias("line_no"), "role", "text", transcripts.rendered().alias("canonical"))

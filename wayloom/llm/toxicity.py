@@ -5,7 +5,9 @@ over all words of a text; the largest answer of each filter feeds a logistic out
 language, which is told from the text's own function words, and moved to a score of 0.5.
 
 Fitting takes a bounded sample of labelled rows (MOST_TOXIC, MOST_CLEAN), chosen by a hash of the id, from the learning
-fold only. Every whole text is scored, in blocks of words with bounded memory. Null texts count as empty; texts without
+fold only; of several texts of one id the one with the least hash. The sample is bounded in words too: texts of more than
+MOST_TEXT_WORDS are left out of it, and of the others those that come first by hash until MOST_WORDS are reached, so the
+driver never holds more than 6 bytes for each of MOST_WORDS. Every whole text is scored, in blocks of words with bounded memory. Null texts count as empty; texts without
 words get the score of no evidence. Labels that are null are not learned from. Extra columns are ignored. Equal texts
 have equal scores. An empty label table gives the model without evidence: score below 0.5 for all.
 """
@@ -17,15 +19,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import groups
-from .common import lean
+from .common import lean, written
 from .shingles import words_and_counts
 
 #: Most labelled rows of each kind that the model is fitted on.
 MOST_TOXIC, MOST_CLEAN = 4000, 6000
+#: Most words of the sample, and of one text in it.
+MOST_WORDS, MOST_TEXT_WORDS = 10_000_000, 200_000
 BITS, SIZE, FILTERS, WIDTHS, PREFIXES = 16, 12, 8, (1, 2, 3), (5, 7)
 EPOCHS, BATCH, RATE, HELD = 8, 32, 0.1, 5
 BLOCK_WORDS = 100_000
@@ -210,9 +214,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most_true: int, mos
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & may_learn).groupBy(key).agg(F.max(label).alias("y"))
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = known.filter("y = 1").orderBy(F.xxhash64(key), key).limit(most_true).unionByName(known.filter("y = 0").orderBy(F.xxhash64(key), key).limit(most_false))
-    rows = docs.select(F.col(key), F.col(text).alias("t")).join(F.broadcast(chosen), key)  # at most most_true + most_false rows
+    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(chosen), key)  # at most most_true + most_false ids
+    one = rows.groupBy(F.col(key).alias("k")).agg(F.min(F.struct(F.xxhash64("t"), "t", "y")).alias("v"))
     stands = lambda y, most: n.get(y, 0) / max(1, min(n.get(y, 0), most))
-    return rows.select(F.col(key).alias("k"), F.coalesce("t", F.lit("")).alias("t"), "y"), stands(0, most_false) / max(1.0, stands(1, most_true))
+    return one.select("k", "v.t", "v.y"), stands(0, most_false) / max(1.0, stands(1, most_true))
 
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "toxic", key: str = "doc_id", text: str = "text") -> Model:
@@ -224,7 +229,11 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, label: str = "t
             cut = np.cumsum(counts)
             yield pd.DataFrame({"k": b["k"].astype(str), "y": b["y"], "w": [words[e - n : e].astype("<u2").tobytes() for e, n in zip(cut, counts, strict=True)]})
 
-    rows = sample.mapInPandas(lean(run), "k string, y int, w binary").toPandas().sort_values(["k", "y", "w"], kind="stable")
+    rows, _ = written(sample.mapInPandas(lean(run), "k string, y int, w binary"), "sample")
+    size = rows.select("k", (F.length("w") / (2 + 2 * len(PREFIXES))).alias("n")).filter(F.col("n") <= MOST_TEXT_WORDS)
+    total = size.withColumn("total", F.sum("n").over(Window.orderBy(F.xxhash64("k", F.lit(5)), "k")))  # a row for each text of the sample
+    rows = rows.join(F.broadcast(total.filter(F.col("total") <= MOST_WORDS).select("k")), "k")
+    rows = rows.toPandas().sort_values(["k", "y", "w"], kind="stable")
     rows = rows.sample(frac=1, random_state=3)
     texts = [np.frombuffer(w, dtype="<u2").reshape(-1, 1 + len(PREFIXES)) for w in rows["w"]]
     return fit(texts, rows["y"].to_numpy(), clean_weight)

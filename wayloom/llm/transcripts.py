@@ -3,7 +3,8 @@ rendered in one canonical form.
 
 A transcript is a table of lines. Hidden states are a role and whether the line opens a turn or continues one. A line
 shows a marker class (whom its beginning names, or how it is quoted) and how long and of what kind it is. Transition
-and emission counts come from lines with known roles, on a bounded sample of transcripts, with smoothing.
+and emission counts come from all lines with known roles, with smoothing; they are added up where the lines are, so a
+few numbers reach the driver whatever the input.
 
 Long transcripts are cut into blocks of lines: each block gives the best score from any state before it to any state at
 its end, these small tables are put together for each transcript, and every block is then decoded between its known
@@ -38,10 +39,10 @@ NAMES = {
 MARKER = re.compile(r"^\s*(?:[#>*\-\[(<|]+\s*)?(" + "|".join(sorted({n for v in NAMES.values() for n in v}, key=len, reverse=True)) + r")\s*(?:[\])>|*]+\s*:?|[:\-])\s*", re.IGNORECASE)
 CLASS_OF = {n: i + 1 for i, r in enumerate(ROLES) for n in NAMES[r]}
 N_MARKS, N_KINDS = len(ROLES) + 3, 12
-#: Line numbers in a block, and the transcripts (of at most so many lines) that the model is fitted on at most.
-BLOCK, MOST_TRANSCRIPTS, MOST_LINES = 4096, 3000, 4096
+#: Line numbers in a block, and the lines that one task decodes together, about.
+BLOCK, PART_LINES = 4096, 50_000
 #: Room for the lines of one turn in raw_lines' numbers, and the turns of a block of these.
-TURN_ROOM, BLOCK_TURNS = 1 << 24, 512
+TURN_ROOM, BLOCK_TURNS = 1 << 24, 64
 
 
 def marker(line: str) -> tuple[int, str]:
@@ -84,17 +85,10 @@ def possible() -> np.ndarray:
     return ok
 
 
-def fit(transcripts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Model:
-    """From (states, marks, kinds) of transcripts: smoothed relative counts."""
-    n = len(STATES)
-    start, step, marks, kinds = np.full(n, 0.5), np.full((n, n), 0.5), np.full((n, N_MARKS), 0.2), np.full((n, N_KINDS), 0.5)
-    start[1::2] = 1e-9
-    for s, m, k in transcripts:
-        if len(s):
-            start[s[0]] += 1
-            np.add.at(step, (s[:-1], s[1:]), 1)
-            np.add.at(marks, (s, m), 1)
-            np.add.at(kinds, (s, k), 1)
+def fit(starts: np.ndarray, steps: np.ndarray, marked: np.ndarray, kinded: np.ndarray) -> Model:
+    """Smoothed relative counts, from the counts of first states, of steps, and of marker classes and kinds by state."""
+    start, step, marks, kinds = starts + 0.5, steps + 0.5, marked + 0.2, kinded + 0.5
+    start[1::2] = np.where(starts[1::2] > 0, start[1::2], 1e-9)
     step[~possible()] = 1e-9
     log = lambda a: np.log(a / a.sum(axis=-1, keepdims=True))
     return Model(log(start), log(step), log(marks), log(kinds))
@@ -139,17 +133,40 @@ def observed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return np.array([m for m, _ in got]), np.array([kind(t) for _, t in got]), [t for _, t in got]
 
 
-def train(lines: DataFrame, role: str, opens: str, key: str = "conv_id", number: str = "line_no", text: str = "line") -> Model:
-    """Counts from lines whose role is known, of at most MOST_TRANSCRIPTS transcripts of at most MOST_LINES lines."""
+def train(lines: DataFrame, role: str, opens: str, key: str = "conv_id", number: str = "line_no", text: str = "line", block: int = BLOCK) -> Model:
+    """Counts from all lines whose role is known. Steps are counted block by block, and between the last line of a block and the first of the next."""
+    code = F.when(F.col(role) == ROLES[0], 0)
+    for i, r in enumerate(ROLES[1:], 1):
+        code = code.when(F.col(role) == r, 2 * i)
     known = lines.filter(F.col(key).isNotNull() & F.col(number).isNotNull() & F.col(role).isin(*ROLES))
-    chosen = known.groupBy(key).count().filter(F.col("count") <= MOST_LINES).orderBy(F.xxhash64(key), key).limit(MOST_TRANSCRIPTS).select(key)
-    rows = known.join(F.broadcast(chosen), key).select(F.col(key).alias("c"), F.col(number).alias("n"), F.coalesce(text, F.lit("")).alias("t"), F.col(role).alias("r"), F.col(opens).alias("o"))
-    got = rows.toPandas().sort_values(["c", "n", "t"], kind="stable")  # bounded by the two limits
-    out = []
-    for _, g in got.groupby("c", sort=True):
-        m, k, _ = observed(g["t"].tolist())
-        out.append((np.array([2 * ROLES.index(r) + (not o) for r, o in zip(g["r"], g["o"], strict=True)]), m, k))
-    return fit(out)
+    own = known.select(F.col(key).alias("c"), F.col(number).cast("bigint").alias("n"), F.coalesce(text, F.lit("")).alias("t"), (code + F.when(F.coalesce(F.col(opens), F.lit(False)), 0).otherwise(1)).alias("s"))
+    n = len(STATES)
+
+    def emissions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = np.zeros((n, N_MARKS + N_KINDS), dtype=np.int64)
+        for b in batches:
+            m, k, _ = observed(b["t"].tolist())
+            s = b["s"].to_numpy()
+            if len(s):
+                np.add.at(count, (s, m), 1)
+                np.add.at(count, (s, N_MARKS + k), 1)
+        a, b = np.nonzero(count)
+        yield pd.DataFrame({"what": 2, "a": a, "b": b, "n": count[a, b]})
+
+    shape = "what int, a int, b int, n bigint"
+    seen = own.select("t", "s").mapInPandas(emissions, shape)
+    rows = own.select("c", F.floor(F.col("n") / block).alias("b"), "n", F.xxhash64("t").alias("h"), "s")
+    order = F.struct("n", "h")
+    inside = rows.select("s", F.lag("s").over(Window.partitionBy("c", "b").orderBy("n", "h")).alias("was")).filter("was is not null")
+    ends = rows.groupBy("c", "b").agg(F.min_by("s", order).alias("s"), F.max_by("s", order).alias("last"))
+    between_ = ends.select("s", F.lag("last").over(Window.partitionBy("c").orderBy("b")).alias("was"))  # a row for each block
+    steps = inside.unionByName(between_.filter("was is not null")).select(F.lit(1).alias("what"), F.col("was").alias("a"), F.col("s").alias("b"))
+    first = between_.filter("was is null").select(F.lit(0).alias("what"), F.lit(0).alias("a"), F.col("s").alias("b"))
+    counts = steps.unionByName(first).groupBy("what", "a", "b").agg(F.count("*").alias("n")).unionByName(seen).groupBy("what", "a", "b").agg(F.sum("n").alias("n"))
+    starts, step, emitted = np.zeros((1, n)), np.zeros((n, n)), np.zeros((n, N_MARKS + N_KINDS))
+    for r in counts.collect():  # as many as there are states, steps and observations
+        (starts, step, emitted)[r["what"]][r["a"], r["b"]] = r["n"]
+    return fit(starts[0], step, emitted[:, :N_MARKS], emitted[:, N_MARKS:])
 
 
 def decode(lines: DataFrame, model: Model, key: str = "conv_id", number: str = "line_no", text: str = "line", block: int = BLOCK) -> DataFrame:
@@ -157,7 +174,7 @@ def decode(lines: DataFrame, model: Model, key: str = "conv_id", number: str = "
     spark = lines.sparkSession
     shared = spark.sparkContext.broadcast(model)  # of fixed size
     own = lines.filter(F.col(key).isNotNull() & F.col(number).isNotNull()).select(F.col(key).alias("c"), F.col(number).cast("bigint").alias("n"), F.coalesce(text, F.lit("")).alias("t"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1) * 4
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")) * 4, own.count() // PART_LINES, 1)
     own = own.withColumn("b", F.floor(F.col("n") / block)).withColumn("p", F.pmod(F.xxhash64("c", "b"), F.lit(parts)))
     kind_of = lines.schema[key].dataType.simpleString()
     long = own.groupBy("c").agg(F.min("b").alias("lo"), F.max("b").alias("hi")).filter("lo != hi").select("c")
@@ -231,12 +248,13 @@ def first_block(model: Model, e: np.ndarray, last: int) -> np.ndarray:
 def turns(decoded: DataFrame, key: str = "conv_id", number: str = "line_no", text: str = "said", block: int = BLOCK) -> DataFrame:
     """(key, turn_line, role, text): each turn in canonical form; turn_line is the number of its first line.
 
-    A turn's number is its opening line's: found block by block, so long transcripts are not sorted in one task."""
+    A turn's number is its opening line's: found block by block, so long transcripts are not sorted in one task. Lines before the first
+    opening one are a turn that begins with the transcript's first line; lines of one number belong to one turn."""
     b = F.floor(F.col(number) / block)
     rows = decoded.withColumn("b", b).withColumn("own", F.max(F.when(F.col("opens"), F.col(number))).over(Window.partitionBy(key, "b").orderBy(number)))
-    closing = decoded.withColumn("b", b).groupBy(key, "b").agg(F.max(F.when(F.col("opens"), F.col(number))).alias("to"))
-    carried = closing.select(key, "b", F.max("to").over(Window.partitionBy(key).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    rows = rows.join(carried, [key, "b"]).withColumn("turn_line", F.coalesce("own", "carried", number))
+    closing = decoded.withColumn("b", b).groupBy(key, "b").agg(F.max(F.when(F.col("opens"), F.col(number))).alias("to"), F.min(number).alias("least"))
+    carried = closing.select(key, "b", F.max("to").over(Window.partitionBy(key).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"), F.min("least").over(Window.partitionBy(key)).alias("first"))
+    rows = rows.join(carried, [key, "b"]).withColumn("turn_line", F.coalesce("own", "carried", "first"))
     grouped = rows.groupBy(key, "turn_line").agg(F.min_by("role", number).alias("role"), F.sort_array(F.collect_list(F.struct(F.col(number), F.col(text).alias("t")))).alias("ls"))
     return grouped.select(key, "turn_line", "role", F.trim(F.array_join("ls.t", "\n")).alias("text"))
 
