@@ -312,9 +312,55 @@ def test_secret_base_spans(spark):
 def test_weak_parts_need_company(spark):
     far = " filler" * 60
     rows = [(1, "login: joe only"), (2, f"login: joe{far} token=abcdefgh"), (3, "login: joe token=abc https://h.example/x"), (4, "https://h.example/x token=abcdefgh")]
+    rows += [(5, "token=user_id=bob123"), (6, "user_id=bob123\n\npassword=abcdefgh"), (7, "user_id=bob123\npassword=abcdefgh"), (8, "é\n \t\n\n😀 user_id=bob123\nx password=abc")]
     got = {r["doc_id"]: (r["n_linked"], r["spans"]) for r in secrets.scan(docs(spark, rows)).collect()}
     assert got[1] == (0, "") and got[2][0] == 0 and got[4][0] == 0
     assert [s.split(":")[0] for s in got[3][1].split(",")] == ["id", "key", "endpoint"]
+    assert got[5] == (0, "assign:0:20")  # a part within another is no company
+    assert got[6] == (0, "assign:16:33") and got[7] == (1, "id:0:14,assign:15:32")
+    assert got[8] == (2, "id:8:22,key:25:37")
+
+
+def test_linking_is_brute_force(spark):
+    """Scopes and company of random parts against a loop over all pairs."""
+    rng = random.Random(9)
+    rows, scopes = [], []
+    for k in range(60):
+        at = 0
+        for _ in range(rng.randrange(1, 5)):
+            size = rng.choice([30, 300, 9000])
+            scopes.append((str(k), at, at + size))
+            for _ in range(rng.randrange(0, 9)):
+                a = at + rng.randrange(size - 12)
+                rows.append((str(k), a, a + rng.randrange(3, 12), rng.randrange(6), rng.choice(["id", "secret", "endpoint"]), rng.random() < 0.3))
+            at += size + rng.randrange(2, 5)
+    rows = list({r[:4]: r for r in rows}.values())
+    parts = spark.createDataFrame(rows, "key string, start bigint, end bigint, kind int, role string, strong boolean")
+    inside = secrets.scoped(parts, spark.createDataFrame(scopes, "key string, s bigint, e bigint"))
+    block = {r[:4]: next(s for k, s, e in scopes if k == r[0] and s <= r[1] < e) for r in rows}
+    assert {(tuple(r)[:4], r["scope"]) for r in inside.collect()} == set(block.items()) and inside.count() == len(rows)
+    for reach in (20, 200):
+        want = set()
+        for r in rows:
+            near = {o[4] for o in rows if o[0] == r[0] and block[o[:4]] == block[r[:4]] and (0 <= r[1] - o[2] <= reach or 0 <= o[1] - r[2] <= reach)}
+            need = {"id": {"secret"}, "secret": {"id"}, "endpoint": {"id", "secret"}}[r[4]]
+            if r[5] or need <= near:
+                want.add(r[:4])
+        assert {tuple(r)[:4] for r in secrets.linked(inside, reach).select("key", "start", "end", "kind").collect()} == want
+        assert 0 < len(want) < len(rows)
+
+
+def test_candidates_lose_no_text(spark):
+    """The word lists before the patterns are only a shortcut."""
+    from pyspark.sql import functions as F
+
+    toks = ["PassWord", "passwd", "sEcret", "TOKEN", "api_key", "APIKEY", "ſecret", "toKen", "=", ": ", "abc", "AKIA1", "0123456789abcdef" * 2, "Login", "user_id", "CLIENTID", "=bob", "Zz9" * 12, " ", "\n\n"]
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choice(toks) for _ in range(rng.randrange(9)))) for i in range(800)]
+    df = docs(spark, rows)
+    has = lambda p: F.col("text").rlike(p)
+    want = df.filter(F.col("text").contains("AKIA") | has(secrets.ASSIGN) | has(secrets.HEX) | (has(secrets.WEAK_ID) & has(secrets.OPAQUE))).count()
+    assert secrets.candidates(df).count() == want > 100
 
 
 def test_redaction(spark):

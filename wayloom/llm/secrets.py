@@ -1,10 +1,13 @@
 """Secret scans with multipart credential linking, in DataFrame functions only.
 
 Base spans stand alone: assignments to secret names, access identifiers, long hexadecimal runs. Weak candidates
-(short or unusual identifiers and secrets, endpoints) are reported only where complementary parts co-occur: within
-`scope` characters a weak identifier needs a secret, a weak secret an identifier, an endpoint both. The interval
-join runs over each document's parts in order of position: the nearest part of a role on either side decides, so
-no pairs are built.
+(short or unusual identifiers and secrets, endpoints) are reported only where complementary parts co-occur: a weak
+identifier needs a secret, a weak secret an identifier, an endpoint both. A part counts as company if it stands in the
+same scope, does not overlap the candidate, and begins or ends within `reach` characters of it. Scopes are a text's
+blocks: runs of lines without an empty line between them.
+
+Two interval joins do this, both on bins of positions, so their work is that of the parts near each other: parts with the
+scope that contains them, and candidates with the ends of parts before them and the beginnings of parts after them.
 
 Places are found by splitting a text at a pattern: lengths of the pieces and matches add up to code-point offsets.
 Null texts count as empty; texts without parts have no spans. Rows without a doc_id are told apart by their text.
@@ -29,7 +32,14 @@ OPAQUE = r"(?<![A-Za-z0-9+/])((?=[A-Za-z+/]*[0-9])[A-Za-z0-9+/]{32,}={0,2})"
 ENDPOINT = r"""(https?://[^\x20\x09-\x0D"'<>]+)"""
 #: Kinds in the order that breaks ties of position.
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
-SCOPE = 200
+#: What separates scopes, and characters between parts that belong together, at most.
+BLANK_LINES = r"\n[\x20\t\r]*\n\s*"
+REACH = 200
+#: Code points of a bin in which parts meet their scope.
+BIN = 4096
+#: One of these words is in every text with an assignment, or a weak identifier, in lower case (from the patterns).
+ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+ID_WORDS = ("keyid", "key_id", "client", "user", "login")
 #: Names of columns that are added for a while; no table has them.
 ROW, SPANS = "_wayloom_row", "_wayloom_spans"
 
@@ -62,22 +72,48 @@ def parts_of(texts: DataFrame) -> DataFrame:
     return rows.unionByName(of(ENDPOINT, kind("endpoint"), "endpoint", F.lit(False)))
 
 
-def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """The parts to report: strong ones, and weak ones with complementary parts within scope. Adds near_id and near_secret."""
-    order = Window.partitionBy("key").orderBy("start", "end", "kind")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+def scopes_of(texts: DataFrame) -> DataFrame:
+    """(key, s, e): the blocks of each text, as intervals of code points."""
+    pieces = F.arrays_zip(F.split("text", BLANK_LINES, -1).alias("piece"), F.regexp_extract_all("text", F.lit(BLANK_LINES), F.lit(0)).alias("gap"))
+    rows = texts.select("key", F.posexplode(pieces).alias("i", "m")).select("key", "i", F.length("m.piece").alias("size"), F.coalesce(F.length("m.gap"), F.lit(0)).alias("gap"))
+    end = F.sum(F.col("size") + F.col("gap")).over(Window.partitionBy("key").orderBy("i")) - F.col("gap")
+    return rows.select("key", (end - F.col("size")).alias("s"), end.alias("e"))
+
+
+def scoped(parts: DataFrame, scopes: DataFrame) -> DataFrame:
+    """parts with `scope`, the beginning of the block that they stand in: an interval join by bins of positions."""
+    bins = scopes.withColumn("bin", F.explode(F.sequence(F.floor(F.col("s") / BIN), F.floor(F.col("e") / BIN))))
+    here = parts.withColumn("bin", F.floor(F.col("start") / BIN))
+    return here.join(bins, ["key", "bin"]).filter((F.col("start") >= F.col("s")) & (F.col("start") < F.col("e"))).withColumn("scope", F.col("s")).select(*parts.columns, "scope")
 
-    def near(role: str) -> Column:
-        own = F.col("role") == role
-        left = F.max(F.when(own, F.col("end"))).over(before)
-        right = F.min(F.when(own, F.col("start"))).over(after)
-        return F.coalesce(F.col("start") - left <= scope, F.lit(False)) | F.coalesce(right - F.col("end") <= scope, F.lit(False))
 
-    named = parts.withColumn("near_id", near("id")).withColumn("near_secret", near("secret"))
+def linked(parts: DataFrame, reach: int = REACH) -> DataFrame:
+    """The parts to report: strong ones, and weak ones with complementary parts near them. parts has the column scope; near_id and near_secret are added.
+
+    A candidate looks for ends of parts in the `reach` characters before it and for beginnings in those after it, which no overlapping part has."""
+    bin_of = lambda c: F.floor(c / reach)
+    side = lambda after, place: F.struct(F.lit(after).alias("after"), bin_of(place).alias("bin"), place.cast("bigint").alias("place"))
+    ends = parts.filter("role in ('id', 'secret')").select("key", "scope", "role", F.explode(F.array(side(False, F.col("end")), side(True, F.col("start")))).alias("e")).select("key", "scope", "role", "e.*").distinct()
+    look = lambda after, lo, hi, b: F.struct(F.lit(after).alias("after"), b.alias("bin"), lo.cast("bigint").alias("lo"), hi.cast("bigint").alias("hi"))
+    start, end = F.col("start"), F.col("end")
+    looks = F.array(*(look(False, start - reach, start, bin_of(start) - i) for i in (0, 1)), *(look(True, end, end + reach, bin_of(end) + i) for i in (0, 1)))
+    weak = parts.filter("not strong").select("key", "scope", "start", "end", "kind", F.explode(looks).alias("w")).select("key", "scope", "start", "end", "kind", "w.*").distinct()
+    met = weak.join(ends, ["key", "scope", "after", "bin"]).filter("place between lo and hi")
+    near = met.groupBy("key", "start", "end", "kind").agg(F.bool_or(F.col("role") == "id").alias("near_id"), F.bool_or(F.col("role") == "secret").alias("near_secret"))
+    named = parts.join(near, ["key", "start", "end", "kind"], "left").fillna(False, ["near_id", "near_secret"])
     needs = F.when(F.col("role") == "id", F.col("near_secret")).when(F.col("role") == "secret", F.col("near_id")).otherwise(F.col("near_id") & F.col("near_secret"))
     return named.filter(F.col("strong") | needs)
 
 
+def _reported(texts: DataFrame, reach: int) -> DataFrame:
+    """The parts to report of texts, a written table."""
+    parts, _ = written(parts_of(texts), "parts")
+    weak = parts.filter("not strong").select("key").distinct()
+    some, _ = written(scoped(parts, scopes_of(texts.join(weak, "key", "left_semi"))), "scoped")
+    found = linked(some, reach).select("key", "kind", "start", "end", "strong")
+    return found.unionByName(parts.filter("strong").select(found.columns)).distinct()
+
+
 def _names(rows: Column) -> Column:
     names = F.array(*(F.lit(k) for k in KINDS))
     return F.array_join(F.transform(F.sort_array(rows), lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -88,16 +124,16 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     t = F.coalesce(F.col(text), F.lit(""))
     own = docs.select(row_key(key, text).alias("key"), t.alias("text"))
     has = lambda p: F.col("text").rlike(p)
-    access = F.col("text").contains("AKIA")
-    some = has(HEX) | has(ASSIGN) | access | (has(OPAQUE) & has(WEAK_ID))
+    low = F.lower("text")
+    named = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))  # noqa: E731  # cheaper than a pattern, and true wherever it matches
+    some = F.col("text").contains("AKIA") | (named(ASSIGN_WORDS) & has(ASSIGN)) | has(HEX) | (named(ID_WORDS) & has(WEAK_ID) & has(OPAQUE))
     return own.filter(some).dropDuplicates(["key"])
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH) -> DataFrame:
     """(key, n_assign, n_access, n_hex, base_sha256, spans, n_linked) of each row of docs."""
     texts, _ = written(candidates(docs, key, text), "candidates")
-    parts, _ = written(parts_of(texts), "parts")
-    rows = linked(parts, scope).select("key", "kind", "start", "end", (F.col("strong") & (F.col("kind") <= 2)).alias("base")).distinct()
+    rows = _reported(texts, reach).select("key", "kind", "start", "end", (F.col("strong") & (F.col("kind") <= 2)).alias("base")).distinct()
     span = F.struct("start", "kind", "end")
     count = lambda k: F.count_if(F.col("base") & (F.col("kind") == k))
     said = rows.groupBy("key").agg(count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.collect_list(F.when(F.col("base"), span)).alias("b"), F.collect_list(span).alias("a"), F.count_if(~F.col("base")).alias("n_linked"))
@@ -107,11 +143,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int =
     return every.select(F.col("id").alias(key), none("n_assign"), none("n_access"), none("n_hex"), F.sha2(F.coalesce("b", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), none("n_linked"))
 
 
-def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", scope: int = SCOPE, mark: str = "[secret]") -> DataFrame:
+def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = REACH, mark: str = "[secret]") -> DataFrame:
     """docs with every reported span of the text replaced by `mark`; texts without spans are as they were, and not shuffled."""
     texts, _ = written(candidates(docs, key, text), "candidates")
-    parts, _ = written(parts_of(texts), "parts")
-    found = linked(parts, scope).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(SPANS))
+    found = _reported(texts, reach).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(SPANS))
     found, _ = written(found.withColumnRenamed("key", ROW), "spans")
     ids = small_side(found.select(ROW), found.count())
     own = docs.withColumn(ROW, row_key(key, text))
