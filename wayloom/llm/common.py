@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import tempfile
@@ -45,18 +46,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share. Without one a local folder serves where driver and executors are one process; else it is an error."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="wayloom-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+#: Folders of work tables, by application, that are deleted when the driver's Python ends.
+_work: dict[str, str] = {}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/wayloom/{name}-{uuid.uuid4().hex}"
+    """A new place for a work table, in the application's own folder."""
+    app = spark.sparkContext.applicationId
+    if app not in _work:
+        _work[app] = f"{shared_dir(spark)}/wayloom/{app}"
+        atexit.register(_tidied, spark, _work[app])
+    return f"{_work[app]}/{name}-{uuid.uuid4().hex}"
+
+
+def _tidied(spark: SparkSession, folder: str) -> None:
+    """Deletes an application's work tables; where its JVM is gone they stay."""
+    with contextlib.suppress(Exception):
+        removed(spark, folder)
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
