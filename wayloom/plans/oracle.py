@@ -66,10 +66,47 @@ pt AS (SELECT a_point_id, b_point_id, arg_min(tp.tag, {'t': t0, 'p': pid}) AS ta
 vt AS (SELECT src, dst, pt.tag AS tag, count(*) AS votes FROM lk LEFT JOIN pt USING (a_point_id, b_point_id) GROUP BY src, dst, pt.tag),
 mj AS (SELECT src, dst, tag, votes FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY votes DESC, tag ASC NULLS LAST) AS n FROM vt) WHERE n = 1 AND tag IS NOT NULL AND votes >= 2),
 zn AS (SELECT id, max(tag) AS tag FROM (SELECT src AS id, tag FROM mj UNION ALL SELECT dst, tag FROM mj) GROUP BY id)"""
-#: Undirected reachability of the live edges.
-PARTS = """un AS (SELECT src AS a, dst AS b FROM lv UNION SELECT dst, src FROM lv),
-rc(node, label) AS (SELECT a, min(b) FROM (SELECT a, b FROM un UNION ALL SELECT a, a FROM un) GROUP BY a UNION SELECT r.node, u.b FROM rc r JOIN un u ON u.a = r.label AND u.b < r.node),
-"""
+#: Waypoints by chords: Dijkstra over each live connection's poses, one step of all connections in each round.
+_OK = f"""sqrt((P[n].x-P[prev[i]].x)*(P[n].x-P[prev[i]].x) + (P[n].y-P[prev[i]].y)*(P[n].y-P[prev[i]].y)) >= 1e-5
+  AND {center('P[i].h - ch')} BETWEEN least(-30, {center('P[prev[i]].h - ch')} - 30, {center('P[n].h - ch')} - 30) AND greatest(30, {center('P[prev[i]].h - ch')} + 30, {center('P[n].h - ch')} + 30)"""
+CHORDS = f"""cc AS (SELECT s.src, s.dst, list({{'id': m.id, 'x': m.x, 'y': m.y, 'h': m.orientation}} ORDER BY m.id) AS between_ FROM lv s JOIN st a ON a.id = s.src JOIN st b ON b.id = s.dst JOIN st m ON m.id NOT IN (s.src, s.dst)
+  AND sqrt((m.x-(a.x+b.x)/2)*(m.x-(a.x+b.x)/2) + (m.y-(a.y+b.y)/2)*(m.y-(a.y+b.y)/2)) <= sqrt((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y))/2 GROUP BY s.src, s.dst),
+po AS (SELECT s.src, s.dst, list_concat(list_concat([{{'id': a.id, 'x': a.x, 'y': a.y, 'h': a.orientation}}], coalesce(between_, [])), [{{'id': b.id, 'x': b.x, 'y': b.y, 'h': b.orientation}}]) AS P
+  FROM lv s JOIN st a ON a.id = s.src JOIN st b ON b.id = s.dst LEFT JOIN cc ON cc.src = s.src AND cc.dst = s.dst),
+dj(src, dst, P, n, cost, prev, done, ended) AS (
+  SELECT src, dst, P, len(P), list_transform(range(1, len(P) + 1), lambda k: CASE WHEN k = 1 THEN 0e0 ELSE 'inf'::DOUBLE END), list_transform(range(1, len(P) + 1), lambda k: 0::BIGINT), list_transform(range(1, len(P) + 1), lambda k: false), false FROM po
+  UNION ALL
+  SELECT src, dst, P, n, CASE WHEN shut THEN cost ELSE list_transform(range(1, n + 1), lambda k: CASE WHEN better[k] THEN way[k] ELSE cost[k] END) END,
+    CASE WHEN shut THEN prev ELSE list_transform(range(1, n + 1), lambda k: CASE WHEN better[k] THEN i ELSE prev[k] END) END, now_done, i = n
+  FROM (SELECT *, list_transform(range(1, n + 1), lambda k: NOT now_done[k] AND way[k] < cost[k]) AS better
+    FROM (SELECT *, i = n OR (i != 1 AND NOT ({_OK})) AS shut, list_transform(range(1, n + 1), lambda k: k = i OR done[k]) AS now_done,
+      list_transform(range(1, n + 1), lambda k: cost[i] + ((P[k].x-P[i].x)*(P[k].x-P[i].x) + (P[k].y-P[i].y)*(P[k].y-P[i].y))) AS way
+      FROM (SELECT *, CASE WHEN i > 1 THEN degrees(atan2(P[n].y-P[prev[i]].y, P[n].x-P[prev[i]].x)) END AS ch
+        FROM (SELECT *, list_position(open_, list_min(open_))::BIGINT AS i
+          FROM (SELECT *, list_transform(range(1, n + 1), lambda k: CASE WHEN done[k] THEN 'inf'::DOUBLE ELSE cost[k] END) AS open_ FROM dj WHERE NOT ended)))))),
+bt(src, dst, P, prev, path, k) AS (SELECT src, dst, P, prev, [P[n].id], n::BIGINT FROM dj WHERE ended UNION ALL SELECT src, dst, P, prev, list_prepend(P[prev[k]].id, path), prev[k] FROM bt WHERE k > 1),
+cp AS (SELECT src, dst, path FROM bt WHERE k = 1),
+cs AS (SELECT DISTINCT src, dst, path[k] AS s, path[k + 1] AS d FROM (SELECT src, dst, path, unnest(range(1, len(path))) AS k FROM cp))"""
+
+
+#: Zones: tails without seeds go round by round; in each round those from clusters without a way in (g), then those from clusters without a way out (h).
+ZONES = """tz(tag, ed_, S, L, g, h, phase) AS (
+  SELECT tag, list({'a': src, 'b': dst}), coalesce(any_value(s), []), list_distinct(list_concat(list(src), list(dst))), []::BIGINT[], []::BIGINT[], 1 FROM mj LEFT JOIN (SELECT tag, list(DISTINCT id) AS s FROM cl WHERE tag IS NOT NULL GROUP BY tag) USING (tag) GROUP BY tag
+  UNION ALL
+  SELECT tag, CASE WHEN turn THEN list_filter(ed_, lambda e: NOT list_contains(gh, e.a) AND NOT list_contains(gh, e.b)) ELSE ed_ END, S, CASE WHEN turn THEN list_filter(L, lambda v: NOT list_contains(gh, v)) ELSE L END,
+    CASE WHEN turn THEN [] WHEN phase = 1 THEN list_concat(g, new) ELSE g END, CASE WHEN turn THEN [] WHEN phase = 2 THEN list_concat(h, new) ELSE h END,
+    CASE WHEN len(new) > 0 THEN phase WHEN phase = 1 THEN 2 WHEN turn THEN 1 ELSE 9 END
+  FROM (SELECT *, list_concat(g, h) AS gh, phase = 2 AND len(new) = 0 AND len(g) + len(h) > 0 AS turn FROM (SELECT *, CASE WHEN phase = 1
+      THEN list_filter(L, lambda v: NOT list_contains(S, v) AND NOT list_contains(g, v) AND len(list_filter(ed_, lambda e: e.a = v)) <= 1 AND (len(list_filter(ed_, lambda e: e.b = v)) = 0 OR len(list_filter(ed_, lambda e: e.b = v AND list_contains(g, e.a))) > 0))
+      ELSE list_filter(L, lambda v: NOT list_contains(S, v) AND NOT list_contains(g, v) AND NOT list_contains(h, v) AND len(list_filter(ed_, lambda e: e.b = v)) <= 1 AND (len(list_filter(ed_, lambda e: e.a = v)) = 0 OR len(list_filter(ed_, lambda e: e.a = v AND list_contains(h, e.b))) > 0)) END AS new FROM tz WHERE phase < 9))),
+zo AS (SELECT id, max(tag) AS tag FROM (SELECT tag, unnest(L) AS id FROM tz WHERE phase = 9) GROUP BY id),
+zt AS (SELECT DISTINCT a.tag AS a, b.tag AS b FROM ss JOIN zo a ON a.id = src JOIN zo b ON b.id = dst WHERE a.tag != b.tag), zu AS (SELECT a, b FROM zt UNION SELECT b, a FROM zt),
+zr(node, label) AS (SELECT tag, tag FROM zo UNION SELECT r.node, u.b FROM zr r JOIN zu u ON u.a = r.label),
+zm AS (SELECT id, meta FROM zo JOIN (SELECT node, min(label) AS meta FROM zr GROUP BY node) ON node = tag)"""
+#: Runs of points inside one meta zone, in chains of pairs.
+RUNS = """cpt AS (SELECT vehicle, chain, seq, a_point_id AS point_id FROM ch UNION ALL SELECT vehicle, chain, max(seq) + 1, arg_max(b_point_id, seq) FROM ch GROUP BY vehicle, chain),
+zs AS (SELECT vehicle, chain, cpt.seq AS seq, point_id, cl.id, meta FROM cpt JOIN cl USING (point_id, vehicle) LEFT JOIN zm ON zm.id = cl.id),
+zq AS (SELECT *, sum(nw) OVER (PARTITION BY vehicle, chain ORDER BY seq) AS run FROM (SELECT *, CASE WHEN lag(meta) OVER (PARTITION BY vehicle, chain ORDER BY seq) IS NOT DISTINCT FROM meta THEN 0 ELSE 1 END AS nw FROM zs))"""
 
 
 def sql(body: str, *parts: str, recursive: bool = False) -> str:

@@ -47,9 +47,13 @@ def pair_filter(w: World) -> DataFrame:
     return rows.groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-@query(o.sql("SELECT a_point_id AS point_id, 'next' AS side, 1::BIGINT AS n FROM ed WHERE false", o.PAIRS))
+@query(o.sql("""SELECT a AS point_id, 'next' AS side, count(DISTINCT b) AS n FROM tv GROUP BY a HAVING count(DISTINCT b) > 1
+UNION ALL SELECT b, 'previous', count(DISTINCT a) FROM tv GROUP BY b HAVING count(DISTINCT a) > 1""", o.PAIRS, """tv AS (SELECT a_point_id AS a, b_point_id AS b FROM ed
+  UNION ALL SELECT a, b FROM (SELECT point_id AS a, lead(point_id, 2) OVER (PARTITION BY vehicle ORDER BY seq) AS b, seq FROM gps) WHERE seq % 7 = 0 AND b IS NOT NULL)"""))
 def trajectory_violations(w: World) -> DataFrame:
-    return pairs.violations(w.edges)
+    """Points with several next or previous ones, when every seventh point is paired with the second after it too."""
+    skip = w.points.select("seq", F.col("point_id").alias("a_point_id"), F.lead("point_id", 2).over(Window.partitionBy("vehicle").orderBy("seq")).alias("b_point_id"))
+    return pairs.violations(w.edges.select("a_point_id", "b_point_id").unionByName(skip.filter("seq % 7 = 0 and b_point_id is not null").drop("seq")))
 
 
 @query(o.sql(f"SELECT point_id, round({o.center('orientation + 540')}, 6) AS turned, round({o.center('3*orientation - 190')}, 6) AS scaled FROM gps"))
@@ -180,7 +184,9 @@ def close_cluster_pairs(w: World) -> DataFrame:
     return cluster.close_pairs(w.vertices, w.settings.cluster_merge_radius).withColumn("dist", fixed(F.col("dist"), 5))
 
 
-@query()
+@query(o.sql("SELECT keep, gone FROM mg WHERE keep IS NOT NULL", o.CLUSTERS, f"""nn AS MATERIALIZED (SELECT a, b, row_number() OVER (ORDER BY a) AS i FROM (SELECT a.id AS a, arg_min(b.id, {{'d': {_POSE}, 'b': b.id}}) AS b FROM st a JOIN st b ON a.id != b.id AND abs(a.x-b.x) <= 15 AND abs(a.y-b.y) <= 15 WHERE {_POSE} <= 15 GROUP BY a.id)),
+  mg(i, used, keep, gone) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT UNION ALL SELECT nn.i, CASE WHEN list_has_any(used, [a, b]) THEN used ELSE list_concat(used, [a, b]) END,
+    CASE WHEN NOT list_has_any(used, [a, b]) THEN least(a, b) END, CASE WHEN NOT list_has_any(used, [a, b]) THEN greatest(a, b) END FROM mg JOIN nn ON nn.i = mg.i + 1)""", recursive=True))
 def merge_pairs(w: World) -> DataFrame:
     return cluster.merge_pairs(w.vertices, w.settings)
 
@@ -244,7 +250,7 @@ def valid_intermediates(w: World) -> DataFrame:
     return connect.valid_intermediates(connect.circle_candidates(w.live, w.vertices), w.vertices, w.settings)
 
 
-@query()
+@query(o.sql("SELECT src, dst, path FROM cp", o.PAIRS, o.CLUSTERS, o.LINKS, o.CHORDS, recursive=True))
 def chord_paths(w: World) -> DataFrame:
     return paths.connect(w.live, w.vertices, w.settings, CHORD)
 
@@ -259,12 +265,18 @@ def gravity_paths(w: World) -> DataFrame:
     return paths.connect(w.live, w.vertices, w.settings, GRAVITY, w.points)
 
 
-@query()
+@query(o.sql("SELECT cs.src, cs.dst, min(w) AS bottleneck FROM cs JOIN (SELECT s, d, CAST(sum(weight) AS BIGINT) AS w FROM cs JOIN ss USING (src, dst) GROUP BY s, d) USING (s, d) GROUP BY cs.src, cs.dst", o.PAIRS, o.CLUSTERS, o.LINKS, o.CHORDS, recursive=True))
 def path_bottlenecks(w: World) -> DataFrame:
     """The least weight along each connection's path."""
     return connect.path_weights(paths.connect(w.live, w.vertices, w.settings, CHORD), w.statistics)
 
 
+@query(o.sql("""SELECT s AS src, d AS dst, count(*) AS weight, min(src_ts) AS first_src, max(dst_ts) AS last_dst, greatest(max(src_ts), max(dst_ts)) AS last_traversal FROM lk JOIN cs USING (src, dst) GROUP BY s, d""", o.PAIRS, o.CLUSTERS, o.LINKS, o.CHORDS, recursive=True))
+def waypoint_stats(w: World) -> DataFrame:
+    """Statistics of direct edges when each pair counts on every edge of its connection's path."""
+    return connect.statistics(connect.direct_links(w.links, paths.connect(w.live, w.vertices, w.settings, CHORD)))
+
+
 @query(o.sql("SELECT * FROM pt", o.PAIRS, o.CLUSTERS, o.LINKS, o.TAGS))
 def tag_propagation(w: World) -> DataFrame:
     return tags.propagated(w.edges, w.settings)
@@ -286,7 +298,7 @@ def meta_zones(w: World) -> DataFrame:
     return tags.meta_zones(w.vote_zone, w.statistics)
 
 
-@query()
+@query(o.sql("SELECT id, tag FROM zo", o.PAIRS, o.CLUSTERS, o.LINKS, o.TAGS, o.ZONES, recursive=True))
 def zones(w: World) -> DataFrame:
     return w.zone
 
@@ -309,9 +321,10 @@ def components(w: World) -> DataFrame:
     return suppress.part_sizes(w.live)
 
 
-@query(o.sql("SELECT src, dst FROM lv JOIN ps ON id = src WHERE size < 10", o.PAIRS, o.CLUSTERS, o.LINKS, _REACH, recursive=True))
+@query(o.sql("SELECT src, dst FROM lw JOIN ps ON id = src WHERE size < 10", o.PAIRS, o.CLUSTERS, o.LINKS, "lw AS (SELECT * FROM lv WHERE weight >= 6)", _REACH.replace("FROM lv", "FROM lw"), recursive=True))
 def disconnected(w: World) -> DataFrame:
-    return suppress.disconnected(w.live, w.settings)
+    """Small parts of what is left of the graph without the edges that were driven less than six times."""
+    return suppress.disconnected(w.live.filter("weight >= 6"), w.settings)
 
 
 @query(o.sql("""SELECT p.start, p.goal, count(*) AS paths FROM wk p GROUP BY p.start, p.goal HAVING count(*) > 1 AND count(DISTINCT p.path[2]) > 1 AND count(DISTINCT p.path[len(p.path)-1]) > 1""", o.PAIRS, o.CLUSTERS, o.LINKS,
@@ -348,11 +361,14 @@ def road_summaries(w: World) -> DataFrame:
     return roads.summaries(w.live, w.vertices).select("source", "target", "length", "weight", "last_traversal")
 
 
-@query()
+@query(o.sql("""SELECT 'LINESTRING Z (' || string_agg(printf('%.3f %.3f %.3f', x, y, z), ', ' ORDER BY step) || ')' AS geometry, 'aa_road' AS type,
+  arg_min(id, step)::VARCHAR || '->' || arg_max(id, step)::VARCHAR AS name, floor(sum(z_variance * weight) / sum(weight) * 1e3 + 0.5e0) / 1e3 AS z_variance
+FROM (SELECT nd.*, floor(x*100 + 0.5e0)/100 AS x, floor(y*100 + 0.5e0)/100 AS y, floor(z*100 + 0.5e0)/100 AS z, z_variance, weight FROM nd JOIN st USING (id)) GROUP BY s0, d0""", o.PAIRS, o.CLUSTERS, o.LINKS, _DEGREES, _ROADS,
+  "nd AS (SELECT s0, d0, src AS id, step FROM rd UNION ALL SELECT s0, d0, arg_max(dst, step), max(step) + 1 FROM rd GROUP BY s0, d0)", recursive=True))
 def wkt_roads(w: World) -> DataFrame:
-    """Roads as well-known text."""
-    rows = roads.summaries(w.live, w.vertices)
-    return rows.select(F.col("wkt").alias("geometry"), F.lit("aa_road").alias("type"), F.concat_ws("->", F.col("source").cast("string"), F.col("target").cast("string")).alias("name"), F.round("z_variance", 6).alias("z_variance"))
+    """Roads as well-known text, of coordinates in whole centimetres."""
+    rows = roads.summaries(w.live, w.vertices.withColumns({c: fixed(F.col(c), 2) for c in "xyz"}))
+    return rows.select(F.col("wkt").alias("geometry"), F.lit("aa_road").alias("type"), F.concat_ws("->", F.col("source").cast("string"), F.col("target").cast("string")).alias("name"), fixed(F.col("z_variance"), 3).alias("z_variance"))
 
 
 @query(o.sql("SELECT id, printf('LINESTRING Z (%.3f %.3f %.3f, %.3f %.3f %.3f)', x, y, z, x + 1, y + 1, z) AS wkt FROM (SELECT id, floor(x*100 + 0.5e0)/100 AS x, floor(y*100 + 0.5e0)/100 AS y, floor(z*100 + 0.5e0)/100 AS z FROM st)", o.CLUSTERS))
@@ -383,15 +399,41 @@ def lane_partners(w: World) -> DataFrame:
     return areas.lane_partners(w.live, w.vertices, w.no_zone, w.settings).withColumn("dist", fixed(F.col("dist"), 5))
 
 
-@query()
+_WALKS = """{n}(first, path) AS (SELECT id, [id] FROM dgr WHERE {start} UNION ALL SELECT first, list_append(path, {to}) FROM {n} JOIN lv ON {at} = path[len(path)] WHERE len(path) <= 4)"""
+
+
+@query(o.sql("SELECT min(label) AS area, node AS id FROM ri GROUP BY node", o.PAIRS, o.CLUSTERS, o.LINKS, _DEGREES,
+  _WALKS.format(n="wf", start="outs > 1 AND ins <= 1", to="dst", at="src"), _WALKS.format(n="wb", start="ins > 1 AND outs <= 1", to="src", at="dst"),
+  f"""il AS (SELECT id AS a, partner AS b FROM ({_OPPOSITE}) WHERE id IN (SELECT id FROM dgr WHERE outs > 1) AND partner IN (SELECT id FROM dgr WHERE ins > 1)
+    UNION SELECT path[k], path[k + 1] FROM (SELECT path, unnest(range(1, len(path))) AS k FROM wf WHERE len(path) > 1 AND path[len(path)] IN (SELECT id FROM dgr WHERE ins > 1))
+    UNION SELECT path[k + 1], path[k] FROM (SELECT path, unnest(range(1, len(path))) AS k FROM wb WHERE len(path) > 1 AND path[len(path)] IN (SELECT id FROM dgr WHERE outs > 1))),
+  iu AS (SELECT a, b FROM il UNION SELECT b, a FROM il), ri(node, label) AS (SELECT DISTINCT a, a FROM iu UNION SELECT r.node, u.b FROM ri r JOIN iu u ON u.a = r.label)""", recursive=True))
 def intersections(w: World) -> DataFrame:
     return areas.intersections(w.live, w.vertices, w.no_zone, w.settings)
 
 
-@query(o.sql("SELECT tag AS area, round(avg(z), 4) AS h, count(*) AS n FROM zn JOIN st USING (id) GROUP BY tag", o.PAIRS, o.CLUSTERS, o.LINKS, o.TAGS))
+_RING = (("0", "-150e0"), ("200e0", "-20e0"), ("40e0", "160e0"), ("-120e0", "60e0"))
+
+
+def _ring_hits() -> str:
+    """How many sides of the ring around (cx, cy) a ray from (x, y) to the right meets."""
+    ends = [((f"(cx + {ax})", f"(cy + {ay})"), (f"(cx + {bx})", f"(cy + {by})")) for (ax, ay), (bx, by) in zip(_RING, [*_RING[1:], _RING[0]], strict=True)]
+    return " + ".join(f"CASE WHEN ({ay} > y) != ({by} > y) AND x < ({bx} - {ax}) * (y - {ay}) / ({by} - {ay}) + {ax} THEN 1 ELSE 0 END" for (ax, ay), (bx, by) in ends)
+
+
+@query(o.sql(f"SELECT tag AS area, round(avg(z), 4) AS h, count(*) AS n FROM zn JOIN st USING (id) JOIN ct USING (tag) WHERE ({_ring_hits()}) % 2 = 1 GROUP BY tag", o.PAIRS, o.CLUSTERS, o.LINKS, o.TAGS,
+  f"ct AS (SELECT tag, {o.fixed('sum(CAST(floor(x*1e6 + 0.5e0) AS BIGINT)) / 1e6 / count(*)', 2)} AS cx, {o.fixed('sum(CAST(floor(y*1e6 + 0.5e0) AS BIGINT)) / 1e6 / count(*)', 2)} AS cy FROM zn JOIN st USING (id) GROUP BY tag)"))
 def area_z(w: World) -> DataFrame:
-    rows = w.vote_zone.join(w.vertices, "id")
-    return rows.groupBy(F.col("tag").alias("area")).agg(F.round(F.avg("z"), 4).alias("h"), F.count("*").alias("n"))
+    """Heights of areas: the mean z of the vertices that an area owns and its ring, four corners around their middle, contains."""
+    own = w.vote_zone.select("id", F.col("tag").alias("area"))
+    rows = own.join(w.vertices, "id")
+    middle = lambda c: fixed(F.sum(F.floor(F.col(c) * 1e6 + 0.5)) / F.lit(1e6) / F.count("*"), 2)
+    center = rows.groupBy("area").agg(middle("x").alias("cx"), middle("y").alias("cy"))
+    corner = lambda x, y: F.struct((F.col("cx") + float(x.removesuffix("e0"))).alias("x"), (F.col("cy") + float(y.removesuffix("e0"))).alias("y"), F.lit(None).cast("double").alias("z"))
+    rings = center.select("area", F.array(*(corner(x, y) for x, y in _RING)).alias("ring"))
+    heights = roads.area_heights(rings, own, w.vertices).select("area", F.round(F.get("ring", F.lit(0))["z"], 4).alias("h"))
+    n = rings.join(rows.select("area", "x", "y"), "area").filter(spatial.in_ring(F.col("x"), F.col("y"), F.col("ring"))).groupBy("area").agg(F.count("*").alias("n"))
+    return heights.join(n, "area")
 
 
 @query(o.sql("""SELECT CAST(floor(timestamp / 60) AS BIGINT) * 60 AS minute, count(*) AS points, count(*) FILTER (tag IS NOT NULL) AS tags FROM gps GROUP BY 1"""))
@@ -465,12 +507,12 @@ def neighbour_counts(w: World) -> DataFrame:
     return connect.desired(w.links).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("neighbours"), F.sum("fwd").alias("fwd"), F.sum("rev").alias("rev"))
 
 
-@query(o.sql("""SELECT src, dst, first_src, last_dst, age FROM (SELECT *, (SELECT max(dense_ts) FROM gps) - last_dst AS age FROM ss) WHERE weight < 2 AND age > 600""", o.PAIRS, o.CLUSTERS, o.LINKS))
+@query(o.sql("""SELECT src, dst, first_src, last_dst, age FROM (SELECT *, (SELECT max(dense_ts) FROM gps) - last_dst AS age FROM ss) WHERE weight < 2 AND age > 120""", o.PAIRS, o.CLUSTERS, o.LINKS))
 def stale_edges(w: World) -> DataFrame:
-    """Edges driven once and not in the last ten minutes."""
+    """Edges driven once and not in the last two minutes."""
     now = w.points.agg(F.max("dense_ts").alias("now"))
     rows = w.statistics.join(F.broadcast(now)).withColumn("age", F.col("now") - F.col("last_dst"))  # one row
-    return rows.filter((F.col("weight") < w.settings.minimum_edge_weight) & (F.col("age") > 600)).select("src", "dst", "first_src", "last_dst", "age")
+    return rows.filter((F.col("weight") < w.settings.minimum_edge_weight) & (F.col("age") > 120)).select("src", "dst", "first_src", "last_dst", "age")
 
 
 @query(o.sql("SELECT src, dst, CAST(round(100.0 * count(*) FILTER (pt.tag IS NOT NULL) / count(*)) AS BIGINT) AS tagged FROM lk LEFT JOIN pt USING (a_point_id, b_point_id) GROUP BY src, dst", o.PAIRS, o.CLUSTERS, o.LINKS, o.TAGS))
@@ -495,7 +537,9 @@ def useful_paths(w: World) -> DataFrame:
     return areas.needed_edges(areas.useful_ways(w.live, w.vertices, zone, areas.zone_runs(steps, zone), partners, places, w.links, s))
 
 
-@query()
+@query(o.sql("""SELECT meta, path, count(*) AS support FROM (SELECT meta, string_agg(id::VARCHAR, '>' ORDER BY seq) AS path, count(*) AS n FROM (
+  SELECT *, lag(id) OVER (PARTITION BY vehicle, chain, run ORDER BY seq) IS DISTINCT FROM id AS fresh FROM zq WHERE meta IS NOT NULL) WHERE fresh GROUP BY vehicle, chain, run, meta) WHERE n > 1 GROUP BY meta, path""",
+  o.PAIRS, o.CLUSTERS, o.LINKS, o.TAGS, o.ZONES, o.RUNS, recursive=True))
 def zone_walks(w: World) -> DataFrame:
     """Runs of clusters driven inside one meta zone, and how often."""
     steps = areas.chain_points(tags.chains(w.edges)).join(w.assigned.select("point_id", "id"), "point_id")
