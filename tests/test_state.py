@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,18 +61,101 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     assert q.exception() is None
     store = driver.Store(spark, str(tmp_path / "store"))
-    assert store.version() >= 1  # several micro-batches
+    assert store.batch() >= 1  # several micro-batches
     once = driver.Store(spark, str(tmp_path / "once"))
     driver.apply_batch(once, m, 0, LOOSE)
     key = lambda s: sorted(map(str, s.read("points").drop("seq").collect()))
     assert key(store) == key(once) and store.read("links").count() == once.read("links").count() == 3 * 29
     before = store.version()
-    driver.apply_batch(store, m, before, LOOSE)  # run again: no change
+    driver.apply_batch(store, m, store.batch(), LOOSE)  # run again: no change
     assert store.version() == before
     got = driver.current_road_map(store, LOOSE)
     assert [r["weight"] for r in got.edges.collect()] and {r["weight"] for r in got.edges.collect()} == {3}
 
 
+def folder_bytes(path):
+    return sum(f.stat().st_size for f in path.rglob("*") if f.is_file())
+
+
+def test_stream_with_disorder_tags_and_near_points(spark, tmp_path):
+    """Shuffled messages of positions, tags and places, and points shaken by less than epsilon, in many batches over two days: the state is that of one batch."""
+    rng = random.Random(3)
+    rows = drive("a", 3) + drive("b", 2, y=12.0, heading=-180.0, start=86_000.0)
+    shaken = [(n, t, x + 0.00004, y - 0.00003, z, s, h) for n, t, x, y, z, s, h in rows[::5]]
+    read = lambda r: native.file_order(spark.createDataFrame(r, native.VEHICLE_POSITIONS).coalesce(1))
+    m = native.pair_messages(read(rows)).unionByName(native.pair_messages(read(shaken), source=3))
+    tags = [("a0", 1000.0 + i, 10.0 * i, 0.0, 100.0, 0.0, 8.0, t) for i, t in ((3, "LOAD_1"), (20, "DUMP_1"))]
+    m = m.unionByName(native.tag_messages(native.file_order(spark.createDataFrame(tags, native.TAGGED_POSITIONS).coalesce(1))))
+    places = [("LOAD_1", 1000.0, 30.0, 5.0, 100.0, 0.0), ("DUMP_1", 1000.0, 200.0, 5.0, 100.0, 0.0)]
+    m = m.unionByName(native.endpoint_messages(native.file_order(spark.createDataFrame(places, native.ENDPOINT_POSITIONS).coalesce(1))))
+    every = m.collect()
+    rng.shuffle(every)
+    once = driver.Store(spark, str(tmp_path / "once"))
+    driver.apply_batch(once, spark.createDataFrame(every, m.schema), 0, LOOSE)
+    store = driver.Store(spark, str(tmp_path / "many"))
+    for i in range(8):
+        driver.apply_batch(store, spark.createDataFrame(every[i::8], m.schema), i, LOOSE)
+    stored = lambda s: {(r["vehicle"], r["timestamp"], round(r["x"], 3), round(r["y"], 3), r["tag"]) for r in s.read("points").collect()}
+    assert stored(store) == stored(once) and len(stored(once)) == len(rows) == once.read("points").count() == store.read("points").count()
+    assert {r[4] for r in stored(once)} == {None, "LOAD_1", "DUMP_1"}
+    named = lambda s: s.read("links").join(s.read("points").selectExpr("point_id a_point_id", "vehicle v", "timestamp t"), "a_point_id").join(s.read("points").selectExpr("point_id b_point_id", "timestamp u"), "b_point_id")
+    links = lambda s: sorted(tuple(r) for r in named(s).select("v", "t", "u").collect())
+    assert links(store) == links(once)
+    latest = lambda s: sorted((r["kind"], r["name"], r["x"]) for r in s.read("latest").collect())
+    assert latest(store) == latest(once)
+    assert len(store.parts()["points"]) == 2  # two days
+    counts = store.read("stats").first()
+    assert counts["messages"] == len(every) and counts["late"] > 0
+    assert len(store.versions()) == 2 and folder_bytes(tmp_path / "many") < 3 * folder_bytes(tmp_path / "once")  # this version and the one before
+
+
+def test_a_batch_touches_its_days_only(spark, tmp_path):
+    store = driver.Store(spark, str(tmp_path / "s"))
+    day = lambda d: native.pair_messages(native.file_order(spark.createDataFrame(drive(f"v{d}", 1, start=1000.0 + 86400 * d), native.VEHICLE_POSITIONS).coalesce(1)))
+    for d in range(3):
+        driver.apply_batch(store, day(d), d, LOOSE)
+    assert [p.split("/v=")[1].split("/")[0] for _, p in sorted(store.parts()["points"].items())] == ["0", "1", "2"]
+    driver.apply_batch(store, day(1).withColumn("name", F.lit("other")), 3, LOOSE)
+    assert [p.split("/v=")[1].split("/")[0] for _, p in sorted(store.parts()["points"].items())] == ["0", "3", "2"]
+    assert store.read("points").count() == 4 * 30
+
+
+def test_live_messages_wait_for_slow_sources(spark, tmp_path):
+    store = driver.Store(spark, str(tmp_path / "s"))
+    rows = native.pair_messages(native.file_order(spark.createDataFrame(drive("a", 1, n=300), native.VEHICLE_POSITIONS).coalesce(1)))
+    slow = native.pair_messages(native.file_order(spark.createDataFrame(drive("b", 1, y=50.0, n=50), native.VEHICLE_POSITIONS).coalesce(1)), source=1)
+    driver.apply_batch(store, rows.unionByName(slow), 0, LOOSE, live=True)
+    newest = 1000 + 299
+    assert store.read("points").agg(F.max("timestamp")).first()[0] == newest - LOOSE.grace  # the slow source ended long before that
+    assert store.read("held").agg(F.min("ts")).first()[0] > newest - LOOSE.grace
+    late = native.pair_messages(native.file_order(spark.createDataFrame([("b0", 1049.0, 490.0, 50.0, 100.0, 8.0, 0.0), ("b0", 1250.0, 500.0, 50.0, 100.0, 8.0, 0.0)], native.VEHICLE_POSITIONS).coalesce(1)), source=1)
+    driver.apply_batch(store, late, 1, LOOSE, live=True)
+    assert store.read("points").agg(F.max("timestamp")).first()[0] == 1250
+    m = driver.finish(store, LOOSE)
+    assert store.read("held").isEmpty() and store.read("points").agg(F.max("timestamp")).first()[0] == newest
+    assert m.edges.count() >= 0 and store.read("clusters").count() > 0 and driver.idle(store, LOOSE) == []
+
+
+def test_maintenance_by_counts_and_nearness_tags(spark, tmp_path):
+    often = Settings(minimum_road_network_component_size=2, assign_points_every=20, update_connections_every=50, auto_tag_gps_points_based_on_equipment_proximity=True)
+    store = driver.Store(spark, str(tmp_path / "s"))
+    places = [("LOAD_1", 900.0, 30.0, 5.0, 100.0, 0.0), ("DUMP_1", 900.0, 230.0, 5.0, 100.0, 0.0)]
+    driver.apply_batch(store, native.endpoint_messages(native.file_order(spark.createDataFrame(places, native.ENDPOINT_POSITIONS).coalesce(1))), 0, often)
+    assert store.read("clusters").isEmpty()
+    rows = native.pair_messages(native.file_order(spark.createDataFrame(drive("a", 1), native.VEHICLE_POSITIONS).coalesce(1)))
+    driver.apply_batch(store, rows, 1, often)
+    assert store.read("clusters").count() > 0 and store.read("connections").isEmpty()
+    got = {r["timestamp"] - 1000: r["tag"] for r in store.read("points").collect()}
+    assert got == {i: "DUMP_1" if abs(10 * i - 230) ** 2 + 25 < 75**2 else "LOAD_1" if abs(10 * i - 30) ** 2 + 25 < 75**2 else None for i in range(30)}
+    driver.apply_batch(store, rows.withColumn("name", F.lit("c")), 2, often)
+    assert store.read("connections").count() > 0 and store.read("stats").first()["since_update"] == 0
+    bucket = spark.createDataFrame([(2, 1, 1000.0 + 1805, "BUCKET_POSITION", "D", 0.0, 0.0, 100.0)], "source int, seq bigint, ts double, type string, name string, x double, y double, z double")
+    message = spark.createDataFrame([], native.MESSAGE).unionByName(bucket, allowMissingColumns=True)
+    before = store.read("points").count()
+    driver.apply_batch(store, message, 3, often)
+    assert before - store.read("points").count() == 4  # two vehicles' points at 0 and 10 m, half an hour older
+
+
 def test_road_map_straight_and_export(spark, tmp_path):
     store = driver.Store(spark, str(tmp_path / "s"))
     rows = native.file_order(spark.createDataFrame(drive("a", 3) + drive("b", 2, y=12.0, heading=-180.0), native.VEHICLE_POSITIONS).coalesce(1))
