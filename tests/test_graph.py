@@ -58,6 +58,70 @@ def test_redundant_shortcut(spark):
     assert (1, 5) not in {tuple(r) for r in suppress.redundant(led, none).collect()}
 
 
+def test_redundant_by_parts_is_that_of_the_whole(spark):
+    """Parts of starts that share clusters against one pass over the whole connected graph, in which most parts hang together by roads."""
+    rng = random.Random(21)
+    edges, n = {}, 0
+    for _ in range(25):
+        k = rng.randrange(4, 9)
+        for _ in range(rng.randrange(k, 2 * k)):
+            a, b = rng.sample(range(n, n + k), 2)
+            edges[a, b] = rng.randrange(2, 9)
+        for i in range(6):  # a road of six edges to the next lot
+            edges[n + k - 1 + i, n + k + i] = 5
+        n += k + 6
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src bigint, dst bigint, weight bigint")
+    zoned = set(rng.sample(range(n), n // 10))
+    zone = spark.createDataFrame([(v, "L") for v in sorted(zoned)], "id bigint, tag string")
+    want = set(suppress.redundant_part(edges, zoned, Settings()))
+    assert {tuple(r) for r in suppress.redundant(df, zone).collect()} == want and len(want) > 20
+
+
+def brute_leaders(xs, ys, hs, s):
+    """Sequential leader clustering by loops over all leaders, and rounds over all pairs."""
+    import math
+
+    wrap = lambda a: (a + 180) % 360 - 180
+    far = lambda m, i: math.sqrt((m[0] - xs[i]) ** 2 + (m[1] - ys[i]) ** 2 + (s.angular_weight * wrap(m[2] - hs[i])) ** 2)
+    means, owner, founder = [], [], []
+    for i in range(len(xs)):
+        best = min(((far(m, i), k) for k, m in enumerate(means)), default=(math.inf, -1))
+        if best[0] <= s.cluster_radius:
+            m = means[best[1]]
+            m[3] += 1
+            m[0] += (xs[i] - m[0]) / m[3]
+            m[1] += (ys[i] - m[1]) / m[3]
+            m[2] = wrap(m[2] + wrap(hs[i] - m[2]) / m[3])
+            owner.append(best[1])
+        else:
+            owner.append(len(means))
+            founder.append(i)
+            means.append([xs[i], ys[i], hs[i], 1])
+    for _ in range(s.final_assign_rounds):
+        own = [[i for i, o in enumerate(owner) if o == k] for k in range(len(founder))]
+        rad = [math.radians(h) for h in hs]
+        means = [[sum(xs[i] for i in g) / len(g), sum(ys[i] for i in g) / len(g), math.degrees(math.atan2(sum(math.sin(rad[i]) for i in g), sum(math.cos(rad[i]) for i in g)))] if g else None for g in own]
+        new = []
+        for i in range(len(xs)):
+            best = min((far(m, i), k) for k, m in enumerate(means) if m)
+            new.append(best[1] if best[0] <= s.cluster_radius else owner[i])
+        if new == owner:
+            break
+        owner = new
+    return [founder[o] for o in owner]
+
+
+def test_leaders_are_brute_force():
+    import numpy as np
+
+    from wayloom.operators import cluster
+
+    rng = np.random.default_rng(6)
+    for n, width in ((0, 1), (1, 1), (300, 120), (400, 600)):
+        xs, ys, hs = rng.uniform(-width, width, n), rng.uniform(-width, width, n), rng.uniform(-180, 180, n).round(1)
+        assert cluster.lead(xs, ys, hs, Settings()).tolist() == brute_leaders(xs.tolist(), ys.tolist(), hs.tolist(), Settings()) if n else True
+
+
 def test_trim_and_growth():
     assert tags.trimmed([(1, 2), (2, 3), (3, 4), (4, 5)], {3}) == {3}
     assert tags.trimmed([(1, 2), (2, 1)], set()) == {1, 2}

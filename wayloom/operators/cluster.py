@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -126,33 +128,60 @@ def lead(xs: np.ndarray, ys: np.ndarray, hs: np.ndarray, settings: Settings) ->
     w, r = settings.angular_weight, settings.cluster_radius
     n = len(xs)
     owner = np.full(n, -1)
-    mean = np.zeros((0, 4))  # x, y, heading, points
+    mean = np.zeros((64, 4))  # x, y, heading, points
     founder: list[int] = []
+    here = lambda x, y: (int(x // r), int(y // r))
+    at: dict[tuple[int, int], list[int]] = defaultdict(list)  # leaders by the cell of their mean: those within the radius are in neighbouring cells
+
+    def around(c: tuple[int, int]) -> list[int]:
+        return sorted(k for i in (-1, 0, 1) for j in (-1, 0, 1) for k in at.get((c[0] + i, c[1] + j), ()))
+
+    def distances(m: np.ndarray, x, y, h) -> np.ndarray:
+        return np.sqrt((m[..., 0] - x) ** 2 + (m[..., 1] - y) ** 2 + (w * _wrap(m[..., 2] - h)) ** 2)
+
     for i in range(n):
-        if len(founder):
-            d = np.sqrt((mean[:, 0] - xs[i]) ** 2 + (mean[:, 1] - ys[i]) ** 2 + (w * _wrap(mean[:, 2] - hs[i])) ** 2)
-            k = int(d.argmin())
-            if d[k] <= r:
+        some = around(here(xs[i], ys[i]))
+        if some:
+            d = distances(mean[some], xs[i], ys[i], hs[i])
+            best = int(d.argmin())
+            k = some[best]
+            if d[best] <= r:
                 owner[i] = k
+                was = here(mean[k, 0], mean[k, 1])
                 mean[k, 3] += 1
                 mean[k, :2] += (np.array([xs[i], ys[i]]) - mean[k, :2]) / mean[k, 3]
                 mean[k, 2] = _wrap(mean[k, 2] + _wrap(hs[i] - mean[k, 2]) / mean[k, 3])
+                now = here(mean[k, 0], mean[k, 1])
+                if now != was:
+                    at[was].remove(k)
+                    at[now].append(k)
                 continue
-        owner[i] = len(founder)
+        k = owner[i] = len(founder)
         founder.append(i)
-        mean = np.vstack([mean, [xs[i], ys[i], hs[i], 1]])
+        if k == len(mean):
+            mean = np.vstack([mean, np.zeros_like(mean)])
+        mean[k] = (xs[i], ys[i], hs[i], 1)
+        at[here(xs[i], ys[i])].append(k)
+    cells = defaultdict(list)
+    for i in range(n):
+        cells[here(xs[i], ys[i])].append(i)
+    members = {c: np.array(rows) for c, rows in cells.items()}
     for _ in range(settings.final_assign_rounds):
         k = len(founder)
-        count = np.maximum(np.bincount(owner, minlength=k), 1)
-        mx, my = np.bincount(owner, xs, k) / count, np.bincount(owner, ys, k) / count
+        size = np.bincount(owner, minlength=k)
+        count = np.maximum(size, 1)
         mh = np.degrees(np.arctan2(np.bincount(owner, np.sin(np.radians(hs)), k), np.bincount(owner, np.cos(np.radians(hs)), k)))
+        m = np.stack([np.bincount(owner, xs, k) / count, np.bincount(owner, ys, k) / count, mh], axis=1)
+        at = defaultdict(list)
+        for j in np.flatnonzero(size).tolist():
+            at[here(m[j, 0], m[j, 1])].append(j)
         new = owner.copy()
-        for at in range(0, n, 512):
-            s = slice(at, at + 512)
-            d = np.sqrt((mx - xs[s, None]) ** 2 + (my - ys[s, None]) ** 2 + (w * _wrap(mh - hs[s, None])) ** 2)
-            d[:, np.bincount(owner, minlength=k) == 0] = np.inf
-            best = d.argmin(axis=1)
-            new[s] = np.where(d[np.arange(len(best)), best] <= r, best, owner[s])
+        for c, rows in members.items():
+            some = np.array(around(c), dtype=np.int64)
+            if len(some):
+                d = distances(m[some][None], xs[rows, None], ys[rows, None], hs[rows, None])
+                best = d.argmin(axis=1)
+                new[rows] = np.where(d[np.arange(len(rows)), best] <= r, some[best], owner[rows])
         if (new == owner).all():
             break
         owner = new

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """A checkpoint folder: the cluster's where it names one, else a local one."""
+    """A checkpoint folder: the cluster's. Without one a local folder serves where driver and executors are one process; else it is an error."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wayloom-checkpoint-"))
+        where = context.getConf().get("spark.checkpoint.dir")
+        if not where and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="wayloom-checkpoint-"))
 
 
 def settled(df: DataFrame) -> DataFrame:

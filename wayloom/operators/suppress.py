@@ -67,8 +67,8 @@ def rivals(paths: DataFrame) -> DataFrame:
     return n.filter("paths > 1 and firsts > 1 and lasts > 1").join(best, ["start", "goal"]).select("start", "goal", "paths", "best")
 
 
-def redundant_part(edges: dict[tuple[int, int], int], zoned: set[int], settings: Settings) -> list[tuple[int, int]]:
-    """The redundant edges of one connected part; starts are taken in order of id, and each sees what the earlier ones left out."""
+def redundant_part(edges: dict[tuple[int, int], int], zoned: set[int], settings: Settings, starts: set[int] | None = None) -> list[tuple[int, int]]:
+    """The redundant edges of one part; starts (all forks, or some) are taken in order of id, and each sees what the earlier ones left out."""
     out, back = defaultdict(set), defaultdict(set)
     for a, b in edges:
         out[a].add(b)
@@ -76,7 +76,7 @@ def redundant_part(edges: dict[tuple[int, int], int], zoned: set[int], settings:
     incoming = {v: frozenset(s) for v, s in back.items()}
     gone: list[tuple[int, int]] = []
     for start in sorted(out):
-        if len(out[start]) <= 1 or (settings.multipath_search_ignore_zones and start in zoned):
+        if (starts is not None and start not in starts) or len(out[start]) <= 1 or (settings.multipath_search_ignore_zones and start in zoned):
             continue
         by_goal: dict[int, list[tuple[int, ...]]] = defaultdict(list)
         grow = [(start, v) for v in sorted(out[start])]
@@ -117,18 +117,24 @@ def redundant_part(edges: dict[tuple[int, int], int], zoned: set[int], settings:
 
 
 def redundant(edges: DataFrame, zone: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(src, dst): edges off the best path that lead nowhere else. Parts of the graph that have rivals are worked on one by one."""
+    """(src, dst): edges off the best path that lead nowhere else.
+
+    A start looks at the clusters of its rival paths and the edges at these, and leaves out edges between them. So starts whose rival paths
+    share no cluster do not see each other: what shares some is one part, one task, however large the connected map is. Edges that are
+    left out make no new rivals, so those of the whole graph are all."""
     edges, zone = graph.settled(edges.select("src", "dst", "weight")), graph.settled(zone.select("id"))
-    label = graph.components(edges, "src", "dst")
-    forked = rivals(fork_paths(edges, zone, settings)).select(F.col("start").alias("node")).distinct()
-    live = label.join(forked, "node", "left_semi").select("label").distinct()
-    part = edges.join(label, edges["src"] == label["node"]).join(live, "label", "left_semi").select("label", "src", "dst", "weight")
+    walks = fork_paths(edges, zone, settings)
+    apart = rivals(walks).select("start", "goal")
+    on = graph.settled(walks.join(apart, ["start", "goal"]).select("start", F.explode("path").alias("v")).distinct())
+    label = graph.components(on.filter("start != v"), "start", "v")
+    starts = on.select(F.col("start").alias("src")).distinct().withColumn("fork", F.lit(True))
+    at = edges.join(label, edges["src"] == label["node"]).unionByName(edges.join(label, edges["dst"] == label["node"])).select("label", "src", "dst", "weight").distinct()
     z = zone.select("id", F.lit(True).alias("zoned"))
-    rows = part.join(z, part["src"] == z["id"], "left").select("label", "src", "dst", "weight", F.coalesce("zoned", F.lit(False)).alias("zoned"))
+    rows = at.join(starts, "src", "left").join(z, at["src"] == z["id"], "left").select("label", "src", "dst", "weight", F.coalesce("fork", F.lit(False)).alias("fork"), F.coalesce("zoned", F.lit(False)).alias("zoned"))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         w = {(a, b): n for a, b, n in g[["src", "dst", "weight"]].sort_values(["src", "dst"]).itertuples(index=False)}
-        got = redundant_part(w, set(g.loc[g["zoned"], "src"].tolist()), settings)
-        return pd.DataFrame(sorted(set(got)), columns=["src", "dst"], dtype="int64")
+        of = lambda c: set(g.loc[g[c], "src"].tolist())
+        return pd.DataFrame(sorted(set(redundant_part(w, of("zoned"), settings, of("fork")))), columns=["src", "dst"], dtype="int64")
 
-    return rows.groupBy("label").applyInPandas(run, "src bigint, dst bigint")
+    return rows.groupBy("label").applyInPandas(run, "src bigint, dst bigint").distinct()
