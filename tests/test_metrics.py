@@ -56,8 +56,6 @@ def brute(poses, method, s):
     for k in range(n - 1):
         for mid in itertools.permutations(range(1, n - 1), k):
             p = [0, *mid, n - 1]
-            if method == CHORD and any(not intermediate_ok(poses[a], poses[-1], poses[b], s.angular_threshold) for a, b in zip(p, p[1:-1], strict=False)):
-                continue
             step = (lambda a, b: (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) if method == CHORD else (lambda a, b: float(dubins(a, b, s.dubins_turning_radius)) ** 2)
             c = sum(step(poses[a], poses[b]) for a, b in zip(p, p[1:], strict=False))
             if best is None or c < best[0] - 1e-9:
@@ -75,3 +73,16 @@ def test_search_is_least(spark):
         got = search(poses, s, DUBINS)
         assert got[0] == 0 and got[-1] == 5
         assert sum(float(dubins(poses[a], poses[b], 10.0)) ** 2 for a, b in zip(got, got[1:], strict=False)) == pytest.approx(c)
+
+
+def test_chord_search_is_least_and_closes_what_does_not_fit():
+    """Where every pose fits, the way of least squared chords; a pose that heads elsewhere is closed when it is reached, so no way leads on from it."""
+    rng = np.random.default_rng(8)
+    s = Settings()
+    for _ in range(20):
+        mid = np.column_stack([rng.uniform(5, 60, 4), rng.uniform(-3, 3, 4), rng.uniform(-10, 10, 4)])
+        poses = np.vstack([[0, 0, 0], mid, [100, 0, 0]])
+        assert all(intermediate_ok(a, poses[-1], b, s.angular_threshold) for a in poses[:-1] for b in mid)
+        assert search(poses, s, CHORD) == brute(poses, CHORD, s)[1]
+        poses[2, 2] = 150.0
+        assert search(poses, s, CHORD) == [i if i < 2 else i + 1 for i in brute(np.delete(poses, 2, axis=0), CHORD, s)[1]]
