@@ -43,7 +43,7 @@ from .shingles import shingle_sets
 SKETCH_BITS, SKETCH_CHUNK, FAN_IN = 20, 1 << 14, 64
 #: Documents for each range of shingle hashes, the most ranges (beyond, ranges grow), and postings gathered before they are dealt out.
 RANGE_DOCS, MOST_RANGES, FLUSH = 400, 1 << 18, 1_000_000
-#: Bytes of sets and rows, about, that one smallest component brings to a part before its units are spread.
+#: Bytes of sets and rows that one smallest component brings to a part, beyond which its units are spread.
 PART_BYTES, PART_ROWS = 8_000_000, 2000
 #: Rows of a tile that are one unit, and of a block of a larger one.
 TILE_ROWS, TILE_BLOCK = 2000, 1000
@@ -282,7 +282,8 @@ def _units(rows: DataFrame, percent: int) -> DataFrame:
 
 def _open_rows(tiles: DataFrame, labels: DataFrame, parts: int, percent: int) -> DataFrame:
     """(p, lo, u, side, own, y, n, q, label): rows of the tiles that hold several components, by unit. Tiles with one smallest component
-    (lo) go to one part, so a pair that meets in many tiles meets there; a lo of more than PART_BYTES or PART_ROWS goes to several."""
+    (lo) go to one part, so a pair that meets in many tiles meets there; a lo of more than PART_BYTES or PART_ROWS goes to
+    several, its large units each to one of their own and the small ones dealt over as many as it needs."""
     named = tiles.join(labels, tiles["y"] == labels["node"], "left").select("x", "y", "n", "q", F.coalesce("label", "y").alias("label"))
     still = named.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("x", "lo")
     rows, _ = written(named.join(still, "x"), "open")
@@ -290,8 +291,11 @@ def _open_rows(tiles: DataFrame, labels: DataFrame, parts: int, percent: int) ->
     much = F.ceil(F.greatest(F.sum("n") * 8 / PART_BYTES, F.count("*") / PART_ROWS))
     large, _ = written(rows.groupBy("lo").agg(much.alias("k")).filter("k > 1"), "large")
     rows = rows.join(small_side(large, large.count()), "lo", "left")
-    spread = F.pmod(F.xxhash64("u", F.lit(1)), F.coalesce("k", F.lit(1)))
-    return written(rows.select(F.pmod(F.xxhash64("lo", spread), F.lit(parts)).alias("p"), "lo", "u", "side", "own", "y", "n", "q", "label"), "spread")[0]
+    alone, _ = written(rows.filter("k > 1").groupBy("u").count().filter(F.col("count") >= PART_ROWS / 2).select("u", F.lit(True).alias("alone")), "alone")
+    rows = rows.join(small_side(alone, alone.count()), "u", "left")
+    spread = F.when(F.col("alone"), F.col("u")).otherwise(F.pmod(F.xxhash64("u", F.lit(1)), F.col("k")))
+    part = F.when(F.col("k") > 1, parts + F.pmod(F.xxhash64("lo", spread), F.lit(4 * parts))).otherwise(F.pmod(F.xxhash64("lo"), F.lit(parts)))
+    return written(rows.select(part.cast("bigint").alias("p"), "lo", "u", "side", "own", "y", "n", "q", "label"), "spread")[0]
 
 
 def _tile_pairs(rows: pd.DataFrame, body: list[np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
