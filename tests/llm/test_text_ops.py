@@ -152,9 +152,9 @@ def near_rows(seed, groups=25, copies=8):
 def test_jaccard_is_brute_force(spark, seed, monkeypatch):
     """With tiles, blocks and parts of usual size, and so small that all are cut."""
     if seed == 1:
-        for name, small in (("BLOCK", 3), ("TILE_ROWS", 3), ("TILE_BLOCK", 2), ("PART_ROWS", 5), ("FAN_IN", 2)):
+        for name, small in (("BLOCK", 3), ("TILE_ROWS", 3), ("TILE_BLOCK", 2), ("PART_ROWS", 5), ("FAN_IN", 2), ("HOT_ROWS", 2)):
             monkeypatch.setattr(jaccard, name, small)
-    rows = near_rows(seed) + [(1000, None), (1001, ""), (1002, "one"), (1003, "one")]
+    rows = near_rows(seed) + [(1000, None), (1001, ""), (1002, "one"), (1003, "one")] + [(2000 + i, "many copies of this very text") for i in range(9)]
     random.Random(seed).shuffle(rows)
     member, links = jaccard.jaccard_join(docs(spark, rows), count_links=True)
     got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in member.collect())

@@ -47,6 +47,8 @@ RANGE_DOCS, MOST_RANGES, FLUSH = 400, 1 << 18, 1_000_000
 PART_BYTES, PART_ROWS = 8_000_000, 2000
 #: Rows of a tile that are one unit, and of a block of a larger one.
 TILE_ROWS, TILE_BLOCK = 2000, 1000
+#: A class of more rows than this, and than one in so many of all rows, is hot: its rows are not gathered by their class.
+HOT_ROWS, HOT_SHARE = 500, 1_000_000
 #: Classes of a component that are one block when links are counted; with more, blocks grow and multiply by the square root.
 BLOCK = 256
 OPEN = "p bigint, lo bigint, u bigint, side int, own boolean, y bigint, n bigint, q bigint, label bigint"
@@ -78,6 +80,13 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def _by_class(rows: DataFrame, classes: DataFrame, hot: DataFrame, key: str) -> DataFrame:
+    """rows, left-joined with a table that has one row a class. Rows of the hot classes, whose few keys are broadcast, stay where they are."""
+    few = F.broadcast(hot.select(key))
+    own = classes.join(few, key, "left_semi")
+    return rows.join(few, key, "left_semi").join(F.broadcast(own), key, "left").unionByName(rows.join(few, key, "left_anti").join(classes, key, "left"))
+
+
 def _features(docs: DataFrame, words: int) -> DataFrame:
     """kind 0: a document's set size, digest and bitmap; kind 1: a chunk of a task's sketch."""
 
@@ -445,14 +454,14 @@ def _counted(nodes: DataFrame, sets: DataFrame, sizes: DataFrame, parts: int, pe
     return own.select("p", "label", "lo", "hi", "i", "k", "n", "docs", "s").groupBy("p").applyInPandas(run, "class_id bigint, n bigint").groupBy("class_id").agg(F.sum("n").alias("n"))
 
 
-def _with_links(members: DataFrame, labels: DataFrame, docs: DataFrame, parts: int, words: int, percent: int) -> DataFrame:
+def _with_links(members: DataFrame, labels: DataFrame, docs: DataFrame, hot: DataFrame, parts: int, words: int, percent: int) -> DataFrame:
     """members with n_links."""
     sizes = members.filter("n > 0 and k is not null").groupBy("class_id").agg(F.count("*").alias("docs"))
     nodes, _ = written(labels.select(F.col("node").alias("k"), "label").union(labels.select(F.col("label").alias("k"), "label")).distinct(), "nodes")
     other, _ = written(_counted(nodes, _sets(docs, nodes.select("k"), words), sizes.withColumnRenamed("class_id", "k"), parts, percent), "counts")
     own = sizes.join(other, "class_id", "left").select("class_id", (F.col("docs") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     linked = F.when((F.col("n") > 0) & F.col("k").isNotNull(), F.col("n_links"))
-    return members.join(own, "class_id", "left").withColumn("n_links", F.coalesce(linked, F.lit(0).cast("bigint")))
+    return _by_class(members, own, hot, "class_id").withColumn("n_links", F.coalesce(linked, F.lit(0).cast("bigint")))
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, count_links: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -463,14 +472,19 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     own = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
     features, _ = written(_features(own, words), "features")
     rows = features.filter("kind = 0")
-    classes = rows.filter("n > 0 and k is not null").groupBy("digest").agg(F.min("k").alias("class_id"))
-    members, _ = written(rows.join(classes, "digest", "left").select("k", "n", "digest", F.coalesce(F.when(F.col("n") > 0, F.col("class_id")), "k").alias("class_id")), "members")
+    n = rows.count()
+    classes = rows.filter("n > 0 and k is not null").groupBy("digest").agg(F.min("k").alias("class_id"), F.count("*").alias("docs"))
+    hot, _ = written(classes.filter(F.col("docs") > max(HOT_ROWS, n // HOT_SHARE)).select("digest", "class_id"), "hot")  # at most HOT_SHARE rows
+    hot_ids = hot.select("class_id").distinct()
+    sized = rows.select("k", "n", "digest")
+    named = _by_class(sized.filter("n > 0"), classes.drop("docs"), hot, "digest").select("k", "n", "digest", F.coalesce("class_id", "k").alias("class_id"))
+    members, _ = written(named.unionByName(sized.filter("n = 0").withColumn("class_id", F.col("k"))), "members")  # empty sets are no class
     copies = members.filter("k is not null").groupBy("k").agg(F.min(F.when(F.col("class_id") == F.col("k"), 0).otherwise(1)).alias("copy"), F.min("digest").alias("d"), F.max("digest").alias("e"))
     copies, copies_at = written(copies, "copies")
     equal = copies.filter("copy = 1").select("k")
     single = own.filter("k is not null").join(small_side(equal, equal.count()), "k", "left_anti")
 
-    ranges = max(64, min(MOST_RANGES, members.count() // RANGE_DOCS))
+    ranges = max(64, min(MOST_RANGES, n // RANGE_DOCS))
     tiles, tiles_at = written(_tiles(_postings(single, _sketch(features), ranges, words, percent), ranges, percent), "tiles")
     bitmaps = rows.select("k", "n", "body")
     first, first_at = written(_bounded(tiles.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), bitmaps, percent), "first")
@@ -484,8 +498,8 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     if not more_links.isEmpty():
         labels = components(every.unionByName(shared_ids))
     if count_links:
-        members = _with_links(members, labels, single, ranges, words, percent)
-    member = members.join(labels, members["class_id"] == labels["node"], "left").select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "class_id", F.coalesce("label", "class_id").alias("component_id"), *(["n_links"] if count_links else []))
+        members = _with_links(members, labels, single, hot_ids, ranges, words, percent)
+    member = _by_class(members, labels.withColumnRenamed("node", "class_id"), hot_ids, "class_id").select(F.col("k").alias(key), F.col("n").alias("n_shingles"), "class_id", F.coalesce("label", "class_id").alias("component_id"), *(["n_links"] if count_links else []))
     member, _ = written(member, "member")
     removed(spark, tiles_at, first_at, rest_at, copies_at)
     return member, every
