@@ -71,18 +71,17 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
     return hits % 2 == 1
 
 
-def deduped(points: DataFrame, epsilon: float = 1e-4, order: str = "point_id", rank: str | None = None, equal: tuple[str, ...] = ()) -> DataFrame:
-    """(point_id, stored_id): points whose second is equal and whose numbers differ by at most epsilon are one; the first by order is stored.
+def deduped(points: DataFrame, epsilon: float = 1e-4, order: str = "point_id", rank: str | None = None, equal: tuple[str, ...] = (), numbers: tuple[str, ...] = ("x", "y", "z", "speed", "orientation")) -> DataFrame:
+    """(point_id, stored_id): points whose second is equal and whose numbers, x and y among them, differ by at most epsilon are one; the first by order is stored.
 
     Cells are 1 m wide, so a point meets all within epsilon in its own or a neighbouring cell. rank, if any, comes before order; the columns of
     `equal` are equal too."""
-    cols = ("x", "y", "z", "speed", "orientation")
     place = F.struct(F.col(rank) if rank else F.lit(0), F.col(order))
-    p = points.select(F.col(order).alias("id"), place.alias("place"), F.col("ts").cast("bigint").alias("ts"), *cols, *(F.col(c).alias(f"same_{c}") for c in equal))
+    p = points.select(F.col(order).alias("id"), place.alias("place"), F.col("ts").cast("bigint").alias("ts"), *numbers, *(F.col(c).alias(f"same_{c}") for c in equal))
     a = p.withColumn("cx", cell(F.col("x"), 1.0)).withColumn("cy", cell(F.col("y"), 1.0))
     b = p.select(*(F.col(c).alias(f"o_{c}") for c in p.columns)).withColumn("c", F.explode(around(F.col("o_x"), F.col("o_y"), 1.0)))
     near = a.join(b, (F.col("ts") == F.col("o_ts")) & (F.col("cx") == F.col("c.cx")) & (F.col("cy") == F.col("c.cy")) & (F.col("o_place") <= F.col("place")))
-    for c in cols:
+    for c in numbers:
         near = near.filter(F.abs(F.col(c) - F.col(f"o_{c}")) <= epsilon)
     for c in equal:
         near = near.filter(F.col(f"same_{c}").eqNullSafe(F.col(f"o_same_{c}")))
