@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import CHORD, DUBINS, GRAVITY, Settings
+from . import graph
 from .connect import circle_candidates
 from .spatial import cell
 
@@ -106,18 +107,25 @@ def gravity(a: np.ndarray, b: np.ndarray, points: np.ndarray, settings: Settings
     unit = span / max(1e-9, np.hypot(*span))
     heading = math.degrees(math.atan2(unit[1], unit[0]))
     like = points[np.abs(wrap(points[:, 2] - heading)) <= settings.gravity_angle + abs(float(wrap(np.float64(a[2] - heading))))] if len(points) else points
+    if len(like):  # pieces move sideways only: each meets the points of its stretch of the chord
+        along = (like[:, :2] - a[:2]) @ unit
+        order = np.argsort(along, kind="stable")
+        like, along = like[order], along[order]
+        at = (line[1:-1] - a[:2]) @ unit
+        spans = list(zip(np.searchsorted(along, at - radius - 1e-6).tolist(), np.searchsorted(along, at + radius + 1e-6, "right").tolist(), strict=True))
     for _ in range(settings.gravity_rounds):
         inner = line[1:-1]
         spring = (line[:-2] + line[2:]) / 2 - inner
         pull = np.zeros_like(inner)
         if len(like):
-            v = like[None, :, :2] - inner[:, None]
-            d = np.hypot(v[..., 0], v[..., 1])
-            w = np.where(d <= radius, (radius - d) / radius, 0)
-            total = w.sum(axis=1)
-            some = total > 0
-            mean = (v * w[..., None]).sum(axis=1)[some] / total[some][:, None]
-            pull[some] = mean - (mean @ unit)[:, None] * unit  # sideways only
+            for k, (first, last) in enumerate(spans):
+                v = like[first:last, :2] - inner[k]
+                d = np.hypot(v[:, 0], v[:, 1])
+                w = np.where(d <= radius, (radius - d) / radius, 0)
+                total = w.sum()
+                if total > 0:
+                    mean = (v * w[:, None]).sum(axis=0) / total
+                    pull[k] = mean - (mean @ unit) * unit  # sideways only
         line = np.vstack([line[:1], inner + spring / 2 + pull / 2, line[-1:]])
     return line
 
@@ -155,38 +163,61 @@ def connect(connections: DataFrame, clusters: DataFrame, settings: Settings = Se
 
 
 def _gravity_paths(connections: DataFrame, clusters: DataFrame, points: DataFrame, settings: Settings) -> DataFrame:
-    """Gravity lines snapped to the nearest clusters within the radius, in the order of first meeting."""
-    size = 60.0
+    """Gravity lines snapped to the nearest clusters within the radius, in the order of first meeting.
+
+    A connection needs the points in the cells of its box. Those whose boxes begin in one tile of two by two cells are one task,
+    which gets each point once, however many connections pass it."""
+    size, tile = 60.0, 2
     c = clusters.select("id", "x", "y", "orientation")
     ends = connections.select("src", "dst").distinct().join(c.select(F.col("id").alias("src"), F.struct("id", "x", "y", "orientation").alias("a")), "src").join(c.select(F.col("id").alias("dst"), F.struct("id", "x", "y", "orientation").alias("b")), "dst")
     margin = settings.cluster_radius
     low = lambda n: cell(F.least(F.col(f"a.{n}"), F.col(f"b.{n}")) - margin, size)
     high = lambda n: cell(F.greatest(F.col(f"a.{n}"), F.col(f"b.{n}")) + margin, size)
-    boxed = ends.withColumn("cx", F.explode(F.sequence(low("x"), high("x")))).withColumn("cy", F.explode(F.sequence(low("y"), high("y"))))
-    at = lambda df, pose: df.select(pose.alias("o"), cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"))
-    gathered = boxed.join(at(points, F.struct("x", "y", "orientation")), ["cx", "cy"]).groupBy("src", "dst").agg(F.collect_list("o").alias("near"))
-    sites = boxed.join(at(c, F.struct("id", "x", "y", "orientation")), ["cx", "cy"]).groupBy("src", "dst").agg(F.sort_array(F.collect_list("o")).alias("sites"))
-    rows = ends.join(gathered, ["src", "dst"], "left").join(sites, ["src", "dst"], "left")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in batches:
-            out = []
-            for src, dst, a, b, near, some in g[["src", "dst", "a", "b", "near", "sites"]].itertuples(index=False):
-                pa, pb = (np.array([p["x"], p["y"], p["orientation"]], dtype=float) for p in (a, b))
-                pts = np.array([[p["x"], p["y"], p["orientation"]] for p in (near if near is not None else [])], dtype=float).reshape(-1, 3)
-                poses, ids = _poses(list(some) if some is not None else [])
-                path = [src]
-                for x, y in gravity(pa, pb, pts, settings)[1:-1]:
-                    if len(ids):
-                        d = np.hypot(poses[:, 0] - x, poses[:, 1] - y)
-                        k = int(d.argmin())
-                        if ids[k] == dst:
-                            break
-                        if d[k] <= settings.cluster_radius and ids[k] not in path:
-                            path.append(ids[k])
-                out.append((src, dst, [*path, dst]))
-            yield pd.DataFrame(out, columns=["src", "dst", "path"])
-
-    return rows.mapInPandas(run, SCHEMA)
-
-
+    rows = ends.withColumns({"x0": low("x"), "x1": high("x"), "y0": low("y"), "y1": high("y")}).withColumns({"tx": F.floor(F.col("x0") / tile), "ty": F.floor(F.col("y0") / tile)})
+    rows = graph.settled(rows)
+    cells = rows.withColumn("cx", F.explode(F.sequence("x0", "x1"))).withColumn("cy", F.explode(F.sequence("y0", "y1"))).select(F.col("tx").alias("px"), F.col("ty").alias("py"), "cx", "cy").distinct()
+    at = lambda df, *kept: df.select(*kept, "x", "y", "orientation", cell(F.col("x"), size).alias("cx"), cell(F.col("y"), size).alias("cy"))
+    places = at(points, F.lit(0).cast("bigint").alias("id"), F.lit(False).alias("site")).unionByName(at(c, "id", F.lit(True).alias("site"))).join(cells, ["cx", "cy"])
+    numbers = ("ax", "ay", "ah", "bx", "by", "bh", "x0", "x1", "y0", "y1")
+    flat = rows.select("tx", "ty", "src", "dst", *(F.col(f"{e}.{n}").alias(f"{e}{k}") for e in "ab" for n, k in (("x", "x"), ("y", "y"), ("orientation", "h"))), "x0", "x1", "y0", "y1")
+
+    def run(key: tuple, e: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["cx", "cy"], kind="stable")
+        own = p["site"].to_numpy(dtype=bool)
+        split = [_Cells(q) for q in (p[~own], p[own].sort_values(["cx", "cy", "id"], kind="stable"))]
+        out = []
+        for src, dst, ax, ay, ah, bx, by, bh, x0, x1, y0, y1 in e[["src", "dst", *numbers]].itertuples(index=False):
+            pts, _ = split[0].box(x0, x1, y0, y1)
+            poses, ids = split[1].box(x0, x1, y0, y1)
+            order = np.argsort(ids, kind="stable")
+            poses, ids = poses[order], ids[order].tolist()
+            path = [src]
+            for x, y in gravity(np.array([ax, ay, ah]), np.array([bx, by, bh]), pts, settings)[1:-1]:
+                if len(ids):
+                    d = np.hypot(poses[:, 0] - x, poses[:, 1] - y)
+                    k = int(d.argmin())
+                    if ids[k] == dst:
+                        break
+                    if d[k] <= settings.cluster_radius and ids[k] not in path:
+                        path.append(ids[k])
+            out.append((src, dst, [*path, dst]))
+        return pd.DataFrame(out, columns=["src", "dst", "path"])
+
+    return flat.groupBy("tx", "ty").cogroup(places.groupBy("px", "py")).applyInPandas(run, SCHEMA)
+
+
+class _Cells:
+    """Places (x, y, heading) and ids, sorted by cell, to be taken out by boxes of cells."""
+
+    def __init__(self, p: pd.DataFrame):
+        self.poses = p[["x", "y", "orientation"]].to_numpy(dtype=float)
+        self.ids = p["id"].to_numpy()
+        cx, cy = p["cx"].to_numpy(), p["cy"].to_numpy()
+        first = np.flatnonzero(np.r_[True, (cx[1:] != cx[:-1]) | (cy[1:] != cy[:-1])]) if len(cx) else np.zeros(0, dtype=int)
+        self.spans = {(int(cx[i]), int(cy[i])): slice(i, j) for i, j in zip(first.tolist(), [*first[1:].tolist(), len(cx)], strict=True)}
+
+    def box(self, x0: int, x1: int, y0: int, y1: int) -> tuple[np.ndarray, np.ndarray]:
+        some = [self.spans[i, j] for i in range(x0, x1 + 1) for j in range(y0, y1 + 1) if (i, j) in self.spans]
+        if not some:
+            return self.poses[:0], self.ids[:0]
+        return np.concatenate([self.poses[s] for s in some]), np.concatenate([self.ids[s] for s in some])
