@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -124,68 +126,91 @@ def lead(xs: np.ndarray, ys: np.ndarray, hs: np.ndarray, settings: Settings) ->
     """Leader clustering of points in the given order: for each the index of its cluster's founder.
 
     A point joins the best leader within the radius, whose position is the mean of its points then, or founds a cluster.
-    Afterwards points are dealt to the nearest mean anew, until none moves or the rounds are over."""
+    Afterwards points are dealt to the nearest mean anew, until none moves or the rounds are over. Leaders are kept by cell of
+    place and heading, with a list for each cell of those in it and next to it, as most points move no leader to another cell."""
     w, r = settings.angular_weight, settings.cluster_radius
     n = len(xs)
+    sectors = max(1, int(360 * w / r - 1e-9))  # none narrower than the radius
+    width, wide = 360 / sectors, 1 << 26
     owner = np.full(n, -1)
-    mean = np.zeros((64, 4))  # x, y, heading, points
-    founder: list[int] = []
-    here = lambda x, y: (int(x // r), int(y // r))
-    at: dict[tuple[int, int], list[int]] = defaultdict(list)  # leaders by the cell of their mean: those within the radius are in neighbouring cells
-
-    def around(c: tuple[int, int]) -> list[int]:
-        return sorted(k for i in (-1, 0, 1) for j in (-1, 0, 1) for k in at.get((c[0] + i, c[1] + j), ()))
-
-    def distances(m: np.ndarray, x, y, h) -> np.ndarray:
-        return np.sqrt((m[..., 0] - x) ** 2 + (m[..., 1] - y) ** 2 + (w * _wrap(m[..., 2] - h)) ** 2)
-
-    for i in range(n):
-        some = around(here(xs[i], ys[i]))
-        if some:
-            d = distances(mean[some], xs[i], ys[i], hs[i])
-            best = int(d.argmin())
-            k = some[best]
-            if d[best] <= r:
-                owner[i] = k
-                was = here(mean[k, 0], mean[k, 1])
-                mean[k, 3] += 1
-                mean[k, :2] += (np.array([xs[i], ys[i]]) - mean[k, :2]) / mean[k, 3]
-                mean[k, 2] = _wrap(mean[k, 2] + _wrap(hs[i] - mean[k, 2]) / mean[k, 3])
-                now = here(mean[k, 0], mean[k, 1])
-                if now != was:
-                    at[was].remove(k)
-                    at[now].append(k)
-                continue
-        k = owner[i] = len(founder)
-        founder.append(i)
-        if k == len(mean):
-            mean = np.vstack([mean, np.zeros_like(mean)])
-        mean[k] = (xs[i], ys[i], hs[i], 1)
-        at[here(xs[i], ys[i])].append(k)
-    cells = defaultdict(list)
-    for i in range(n):
-        cells[here(xs[i], ys[i])].append(i)
-    members = {c: np.array(rows) for c, rows in cells.items()}
+    mx, my, mh, points, place, founder = [], [], [], [], [], []
+    near: dict[int, list[int]] = {}  # leaders by the cells around that of their mean: those within the radius are among them
+
+    def keys(x: np.ndarray, y: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return (np.floor_divide(x, r).astype(np.int64) * wide + np.floor_divide(y, r).astype(np.int64)) * sectors + np.floor_divide(h + 180, width).astype(np.int64) % sectors
+
+    def around(c: int) -> list[int]:
+        at, s = divmod(c, sectors)
+        turns = {(s + k) % sectors for k in (-1, 0, 1)}
+        return [(at + i * wide + j) * sectors + t for i in (-1, 0, 1) for j in (-1, 0, 1) for t in turns]
+
+    for begin in range(0, n, 1 << 17):
+        part = slice(begin, begin + (1 << 17))
+        px, py, ph = xs[part], ys[part], hs[part]
+        own = []
+        for x, y, h, c in zip(px.tolist(), py.tolist(), ph.tolist(), keys(px, py, ph).tolist(), strict=True):
+            best, least = -1, r
+            for k in near.get(c, ()):
+                dx, dy = mx[k] - x, my[k] - y
+                if -r <= dx <= r and -r <= dy <= r:
+                    dh = w * ((mh[k] - h + 180) % 360 - 180)
+                    d = math.sqrt(dx * dx + dy * dy + dh * dh)
+                    if d < least or (d == least and (best < 0 or k < best)):
+                        best, least = k, d
+            if best < 0:
+                best = len(founder)
+                founder.append(begin + len(own))
+                mx.append(x)
+                my.append(y)
+                mh.append(h)
+                points.append(1)
+                place.append(c)
+                for a in around(c):
+                    near.setdefault(a, []).append(best)
+            else:
+                m = points[best] = points[best] + 1
+                x = mx[best] = mx[best] + (x - mx[best]) / m
+                y = my[best] = my[best] + (y - my[best]) / m
+                h = mh[best] = (mh[best] + ((h - mh[best] + 180) % 360 - 180) / m + 180) % 360 - 180
+                now = (int(x // r) * wide + int(y // r)) * sectors + int((h + 180) // width) % sectors
+                if now != place[best]:
+                    for a in around(place[best]):
+                        near[a].remove(best)
+                    for a in around(now):
+                        near.setdefault(a, []).append(best)
+                    place[best] = now
+            own.append(best)
+        owner[part] = own
+    cells = keys(xs, ys, hs)
+    order = np.argsort(cells, kind="stable")
+    ends = np.flatnonzero(np.diff(cells[order], append=cells[order[-1:]] + 1)) + 1 if n else np.zeros(0, dtype=np.int64)
+    rows = list(zip([0, *ends[:-1].tolist()], ends.tolist(), cells[order[ends - 1]].tolist(), strict=False))
+    ox, oy, oh = xs[order], ys[order], hs[order]
+    sine, cosine = np.sin(np.radians(hs)), np.cos(np.radians(hs))
+    del cells
+    k = len(founder)
     for _ in range(settings.final_assign_rounds):
-        k = len(founder)
         size = np.bincount(owner, minlength=k)
         count = np.maximum(size, 1)
-        mh = np.degrees(np.arctan2(np.bincount(owner, np.sin(np.radians(hs)), k), np.bincount(owner, np.cos(np.radians(hs)), k)))
-        m = np.stack([np.bincount(owner, xs, k) / count, np.bincount(owner, ys, k) / count, mh], axis=1)
+        m = np.stack([np.bincount(owner, xs, k) / count, np.bincount(owner, ys, k) / count, np.degrees(np.arctan2(np.bincount(owner, sine, k), np.bincount(owner, cosine, k)))], axis=1)
         at = defaultdict(list)
-        for j in np.flatnonzero(size).tolist():
-            at[here(m[j, 0], m[j, 1])].append(j)
+        for j, c in zip(range(k), keys(m[:, 0], m[:, 1], m[:, 2]).tolist(), strict=True):
+            if size[j]:
+                for a in around(c):
+                    at[a].append(j)
         new = owner.copy()
-        for c, rows in members.items():
-            some = np.array(around(c), dtype=np.int64)
-            if len(some):
-                d = distances(m[some][None], xs[rows, None], ys[rows, None], hs[rows, None])
+        for first, last, c in rows:
+            some = np.array(at.get(c, ()), dtype=np.int64)
+            for begin in range(first, last if len(some) else first, 1 << 16):
+                s = slice(begin, min(last, begin + (1 << 16)))
+                d = np.sqrt((m[some, 0] - ox[s, None]) ** 2 + (m[some, 1] - oy[s, None]) ** 2 + (w * _wrap(m[some, 2] - oh[s, None])) ** 2)
                 best = d.argmin(axis=1)
-                new[rows] = np.where(d[np.arange(len(rows)), best] <= r, some[best], owner[rows])
+                at_ = order[s]
+                new[at_] = np.where(d[np.arange(len(best)), best] <= r, some[best], owner[at_])
         if (new == owner).all():
             break
         owner = new
-    return np.array(founder)[owner]
+    return np.array(founder, dtype=np.int64)[owner]
 
 
 def leader_clusters(points: DataFrame, settings: Settings = Settings(), key: str = "point_id", ts: str = "dense_ts") -> DataFrame:
@@ -202,12 +227,33 @@ def leader_clusters(points: DataFrame, settings: Settings = Settings(), key: str
     label = graph.components(touch.join(cells.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b"))
     grouped = p.withColumn("c", place).join(label, F.col("c") == label["node"], "left").withColumn("g", F.coalesce("label", "c"))
 
-    def run(key_: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["ts", "k"], kind="stable")
-        first = lead(g["x"].to_numpy(), g["y"].to_numpy(), g["orientation"].to_numpy(), settings)
-        return pd.DataFrame({"k": g["k"].to_numpy(), "id": g["k"].to_numpy()[first]})
-
-    return grouped.select("g", "k", "ts", "x", "y", "orientation").groupBy("g").applyInPandas(run, "k bigint, id bigint").withColumnRenamed("k", key)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for held in _by_group(batches):
+            k, x, y, h = (np.concatenate([b[c].to_numpy() for b in held]) for c in ("k", "x", "y", "orientation"))
+            held.clear()
+            first = lead(x, y, h, settings)
+            for i in range(0, len(k), 1 << 20):
+                yield pd.DataFrame({"k": k[i : i + (1 << 20)], "id": k[first[i : i + (1 << 20)]]})
+
+    ordered = grouped.select("g", "k", "ts", "x", "y", "orientation").repartition("g").sortWithinPartitions("g", "ts", "k").drop("ts")
+    return ordered.mapInPandas(run, "k bigint, id bigint").withColumnRenamed("k", key)
+
+
+def _by_group(batches: Iterator[pd.DataFrame]) -> Iterator[list[pd.DataFrame]]:
+    """The rows of each value of g, in parts; rows of one value are neighbours."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        g = batch["g"].to_numpy()
+        cuts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a == b or not len(g):
+                continue
+            if held and held[-1]["g"].iloc[-1] != g[a]:
+                yield held
+                held = []
+            held.append(batch.iloc[a:b])
+    if held:
+        yield held
 
 
 def assignment_near(assigned: DataFrame, clusters: DataFrame, x: float, y: float, radius: float = 500.0) -> DataFrame:
