@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cluster, connect, equipment, pairs, suppress, tags
+from ..operators import cluster, connect, equipment, graph, pairs, suppress, tags
 from ..settings import Settings
 from ..sources.derive import gps_points
 
@@ -32,6 +32,14 @@ class World:
     def __init__(self, spark: SparkSession, sf_dir: str, settings: Settings = Settings()):
         self.spark, self.sf_dir, self.settings = spark, sf_dir, settings
 
+    def hold(self, *names: str) -> None:
+        """Computes what zones read many times once, before it is first asked for: pairs, links, and the named small tables of edges and clusters."""
+        kept = ("vehicle", "seq", "a_point_id", "b_point_id", "a_tag", "b_tag", "a_ts", "b_ts", "dist", "rev")
+        self.edges = graph.settled(self.edges.select(*kept))
+        self.links = graph.settled(self.links)
+        for name in names:
+            setattr(self, name, graph.settled(getattr(self, name)))
+
     @cached_property
     def points(self) -> DataFrame:
         return gps_points(self.spark, self.sf_dir)
